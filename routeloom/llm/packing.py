@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,38 +25,55 @@ END_ID, LENGTH = 50256, 2048
 #: UTF-8 bytes of text per shard, about; ids take at most two bytes for each.
 SHARD_BYTES = 32 << 20
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
+
+
+#: White space besides the space and line feed.
+_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _plain(text: str) -> bool:
+    """Whether each space stands alone between two characters that aren't white space."""
+    if text[:1] in ("", " ") or text[-1] == " " or "  " in text or "\n " in text or " \n" in text:
+        return False
+    return not _OTHER_SPACE.search(text)
 
 
 class Tokenizer:
-    """Byte-level BPE ids of whole texts as 16-bit values; words between single spaces are looked up when seen before."""
+    """Byte-level BPE ids of whole texts as 16-bit values; words between single spaces are looked up when seen before.
+
+    The pattern joins no characters across a single space between two others that aren't white space, so such a text's
+    ids are those of its first word and of a space with each further word.
+    """
 
     def __init__(self, ranks: bytes):
         import tiktoken
 
-        pairs = (line.split() for line in ranks.splitlines() if line)
-        self.encoding = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+        pairs = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        self.encoding = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
+        self.sizes = np.zeros(max(pairs.values()) + 1, np.int64)
+        for token, i in pairs.items():
+            self.sizes[i] = len(token)
         self.seen: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), np.uint16)
 
     def __call__(self, text: str) -> bytes:
-        # The pattern never joins characters across a single space between two others that aren't white space.
-        if not text or "  " in text or any(a + " " in text or " " + a in text for a in "\n\t\r\v\f") or text[0] == " " or text[-1] == " " or len(max(text.split(" "), key=len)) > 200:
-            return self._ids(text)
-        if not text.isascii() and any(c.isspace() for c in set(text) - set(" \n\t\r\v\f")):
-            return self._ids(text)
+        if not _plain(text):
+            return self._ids(text).tobytes()
         first, *rest = text.split(" ")
-        seen, out = self.seen, [self._ids(first)]
-        for w in rest:
-            ids = seen.get(w)
-            if ids is None:
-                ids = self._ids(" " + w)
-                if len(seen) < REMEMBERED:
-                    seen[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        out = list(map(self.seen.get, rest))
+        if None in out:
+            new = list(dict.fromkeys(w for w, ids in zip(rest, out) if ids is None))
+            ids = self._ids(" " + " ".join(new))
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
+            raw, cuts = ids.tobytes(), [0, *(2 * ends).tolist()]
+            known = {w: raw[a:b] for w, a, b in zip(new, cuts, cuts[1:])}
+            out = [known[w] if ids is None else ids for w, ids in zip(rest, out)]
+            if len(self.seen) < REMEMBERED:
+                self.seen.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        return b"".join([self._ids(first).tobytes(), *out])
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, ranks_path: str = RANKS) -> DataFrame:

@@ -23,12 +23,8 @@ from routeloom.llm.common import bounded_batches, table
 
 MODEL = os.path.join(os.environ.get("ROUTELOOM_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 SPACE, MASKED = 0x2581, 0x110000
-#: Words with more characters get their lattice in logarithms, one by one.
-LONG = 48
 #: Lattice states kept between batches, at most; beyond, the table starts anew.
-KEPT_STATES = 600_000
-#: Added to an edge's log weight for each of its characters.
-LIFT = 7.0
+KEPT_STATES = 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,8 +111,8 @@ class Vocabulary:
 
 
 class Lattices:
-    """Backward-sampling tables of words. A state is an end position in a word; its edges lie together, with
-    state + cumulative probability ascending over the whole table, so that one search draws for many words."""
+    """Backward-sampling tables of words. A state is an end position in a word; its edges lie together, longest first,
+    each with the cumulative probability, its piece and the state before it (-1 at the word's start)."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -124,92 +120,82 @@ class Lattices:
 
     def reset(self):
         self.end: dict[str, int] = {}
-        self.states = 0
-        self.chunks: list[tuple] = []
-        self.flat = None
+        none = np.zeros(0, np.int32)
+        self.first, self.cum, self.piece, self.prev = none, none.astype(np.float32), none, none
 
     def add(self, words: list[str]):
-        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        """Forward filtering of new words, all at once: depth by depth, in logarithms."""
+        words = sorted(words, key=len, reverse=True)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        cps = np.where(cps == SPACE, MASKED, cps)
         offs = np.cumsum(lengths) - lengths
         full = np.full(int(lengths.sum()), SPACE, np.int64)
-        full[np.delete(np.arange(len(full)), offs)] = cps
+        inner = np.ones(len(full), bool)
+        inner[offs] = False
+        full[inner] = np.where(cps == SPACE, MASKED, cps)
         word = np.repeat(np.arange(len(words)), lengths)
-        room = (offs + lengths)[word] - np.arange(len(full))
-        start, n, piece = self.v.matches(full, room)
+        depth = np.arange(len(full)) - offs[word]
+        start, n, piece = self.v.matches(full, lengths[word] - depth)
         single = np.zeros(len(full), bool)
         single[start[n == 1]] = True
         bare = np.flatnonzero(~single)
-        start, n = np.concatenate([start, bare]), np.concatenate([n, np.ones(len(bare), np.int64)])
-        logw = np.concatenate([self.v.log_weight[piece], np.full(len(bare), self.v.rare)])
-        piece = np.concatenate([piece, self.v.size + full[bare]])
-        stop = start + n  # the state before position p is p itself, shifted by one slot a word
-        order = np.argsort(stop, kind="stable")
-        start, stop, piece, logw = start[order], stop[order], piece[order], logw[order]
-        # forward filtering: log total weight of the paths to each end
-        local_stop = stop - offs[word[start]]
-        alpha = np.zeros(len(full) + 1)  # of the end at each position, scaled by the word's position
-        is_long = lengths[word[start]] > LONG
-        w = np.exp(logw + LIFT * n[order])  # the same factor on all paths to an end; keeps sums in range
-        first = start == offs[word[start]]
-        weight = np.where(first, w, 0.0)
-        by_depth = np.argsort(local_stop[~is_long], kind="stable")
-        rows = np.flatnonzero(~is_long)[by_depth]
-        cuts = np.searchsorted(local_stop[rows], np.arange(1, LONG + 2))
-        for j in range(1, LONG + 1):
-            some = rows[cuts[j - 1] : cuts[j]]
-            if len(some):
-                more = some[~first[some]]
-                weight[more] = w[more] * alpha[start[more]]
-                np.add.at(alpha, stop[some], weight[some])
-        prob = np.zeros(len(start))
-        short = ~is_long
-        prob[short] = weight[short] / alpha[stop[short]]
-        if is_long.any():
-            self._long(np.flatnonzero(is_long), start, stop, logw, first, prob)
-        base = self.states
-        state = base + stop - 1
-        cum = np.cumsum(prob)
-        head = np.flatnonzero(np.append(True, stop[1:] != stop[:-1]))
-        sizes = np.diff(np.append(head, len(stop)))
-        before = np.repeat(cum[head] - prob[head], sizes)
-        frac = np.minimum(cum - before, 1.0)
-        frac[np.append(head[1:], len(stop)) - 1] = 1.0
-        prev = np.where(first, -1, base + start - 1)
-        self.chunks.append((state + frac, piece, prev))
-        self.flat = None
-        self.end.update(zip(words, (base + offs + lengths - 1).tolist()))
-        self.states = base + len(full)
-
-    @staticmethod
-    def _long(rows, start, stop, logw, first, prob):
-        """Long words: running log sums, end by end; every end of a word has an edge, so none is missing."""
-        log_alpha: dict[int, float] = {}
-        heads = np.flatnonzero(np.append(True, stop[rows][1:] != stop[rows][:-1]))
-        for group in np.split(rows, heads[1:]):
-            x = np.array([logw[k] + (0.0 if first[k] else log_alpha[int(start[k])]) for k in group])
-            top = x.max()
-            total = top + math.log(np.exp(x - top).sum())
-            log_alpha[int(stop[group[0]])] = total
-            prob[group] = np.exp(x - total)
-
-    def tables(self):
-        if self.flat is None:
-            self.chunks = [tuple(np.concatenate(c) for c in zip(*self.chunks))]
-            self.flat = self.chunks[0]
-        return self.flat
+        start = np.concatenate([start, bare])[::-1]
+        n = np.concatenate([n, np.ones(len(bare), np.int64)])[::-1]
+        logw = np.concatenate([self.v.log_weight[piece], np.full(len(bare), self.v.rare)])[::-1]
+        piece = np.concatenate([piece, self.v.size + full[bare]])[::-1]
+        # words by falling length: the states of one depth are those of the first words, and depths follow each other
+        deep = int(lengths[0])
+        at_depth = np.searchsorted(-lengths, -np.arange(1, deep + 1), side="right")
+        level = np.append(0, np.cumsum(at_depth))
+        w, d = word[start], depth[start]
+        state = level[d + n - 1] + w
+        order = np.argsort(state, kind="stable")
+        state, logw, piece = state[order], logw[order], piece[order]
+        prev = np.where(d == 0, -1, level[d - 1] + w)[order]
+        sizes = np.bincount(state, minlength=int(level[-1]))
+        first = np.cumsum(sizes) - sizes
+        log_alpha = np.zeros(int(level[-1]) + 1)  # the last is that of -1, the word's start
+        cum = np.empty(len(state), np.float32)
+        bounds = np.append(first, len(state))[level].tolist()
+        for j in range(deep):
+            a, b, lo, hi = bounds[j], bounds[j + 1], level[j], level[j + 1]
+            heads, size = first[lo:hi] - a, sizes[lo:hi]
+            x = logw[a:b] + log_alpha[prev[a:b]]
+            top = np.maximum.reduceat(x, heads)
+            x = np.exp(x - np.repeat(top, size))
+            total = np.add.reduceat(x, heads)
+            log_alpha[lo:hi] = top + np.log(total)
+            run = x / np.repeat(total, size)
+            for r in range(1, int(size.max())):  # summed state by state, so that no other word matters
+                at = heads[size > r] + r
+                run[at] += run[at - 1]
+            cum[a:b] = run
+        cum[np.append(first[1:], len(state)) - 1] = 2
+        states, edges = len(self.first), len(self.cum)
+        self.end.update(zip(words, (states + level[lengths - 1] + np.arange(len(words))).tolist()))
+        self.first = np.concatenate([self.first, (edges + first).astype(np.int32)])
+        self.cum = np.concatenate([self.cum, cum])
+        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
+        self.prev = np.concatenate([self.prev, np.where(prev < 0, -1, states + prev).astype(np.int32)])
 
     def ends(self, words: list[str]) -> np.ndarray:
-        end = self.end
-        new = [w for w in dict.fromkeys(words) if w not in end]
-        if new:
-            if self.states > KEPT_STATES:
+        """The end states of words."""
+        got = list(map(self.end.get, words))
+        if None in got:
+            if len(self.first) > KEPT_STATES:
                 self.reset()
-                new = list(dict.fromkeys(words))
-            self.add(new)
-        end = self.end
-        return np.fromiter((end[w] for w in words), np.int64, len(words))
+            self.add(list({w for w in words if w not in self.end}))
+            got = list(map(self.end.__getitem__, words))
+        return np.array(got, np.int64)
+
+    def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each state, by a uniform number."""
+        edge = self.first[state]
+        beyond = np.flatnonzero(u >= self.cum[edge])
+        while len(beyond):
+            edge[beyond] += 1
+            beyond = beyond[u[beyond] >= self.cum[edge[beyond]]]
+        return edge
 
 
 def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,19 +206,17 @@ def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray) -> tupl
     if not words:
         return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
     state = lattices.ends(words)
-    grid, piece, prev = lattices.tables()
     within = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     seed = _mix(np.repeat(keys.astype(np.uint64), counts) + _M * (within.astype(np.uint64) + np.uint64(1)))
     active, steps, got = np.arange(len(words)), np.zeros(len(words), np.int64), []
     k = 0
     while len(active):
-        # 24 bits: state + u is exact, so a draw never leaves its state, whose last edge is at state + 1
-        u = (_mix(seed[active] + _M * np.uint64(2 * k + 1)) >> np.uint64(40)).astype(np.float64) * 2.0**-24
-        edge = np.searchsorted(grid, state[active] + u, side="right")
-        got.append((active, piece[edge]))
+        u = (_mix(seed[active] + _M * np.uint64(2 * k + 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        edge = lattices.draw(state, u)
+        got.append((active, lattices.piece[edge]))
         steps[active] += 1
-        state[active] = prev[edge]
-        active = active[prev[edge] >= 0]
+        state = lattices.prev[edge]
+        active, state = active[state >= 0], state[state >= 0]
         k += 1
     last = np.cumsum(steps)
     ids = np.empty(int(last[-1]), np.int64)
