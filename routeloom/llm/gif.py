@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from routeloom.llm.common import bounded_batches, table
 UNIT, WIDTH, ROWS = 576, 24, 384
 DELAY_MS = 100
 GREY = bytes(v for i in range(256) for v in (i, i, i))
-FRAMES = "array<struct<frame:int,start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,interlaced:boolean,local_palette:boolean,sha256:string,histogram:array<int>>>"
+FRAMES = "array<struct<frame:int,start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,interlaced:boolean,local_palette:boolean,xxh64:string,histogram:array<int>>>"
 DECODED = f"struct<width:int,height:int,loops:int,samples:binary,frames:{FRAMES},histogram:array<long>,error:string>"
 
 
@@ -57,10 +58,10 @@ def lzw_compress(data: bytes) -> bytes:
         codes.append(w)
     codes.append(257)
     widths = np.concatenate([_widths(8, 4096)[: b - a] for a, b in zip([0, *cuts], [*cuts, len(codes)])])
-    all_codes = np.array([256, *codes])
-    bits = (all_codes[:, None] >> np.arange(12)) & 1
-    used = np.arange(12) < np.append(9, widths)[:, None]
-    return np.packbits(bits[used].astype(np.uint8), bitorder="little").tobytes()
+    widths = np.append(9, widths)
+    bits = np.unpackbits(np.array([256, *codes], "<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    runs = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(widths)]
+    return np.packbits(np.concatenate([bits[a:b, : widths[a]].ravel() for a, b in zip(runs, runs[1:])]), bitorder="little").tobytes()
 
 
 def lzw_expand(stream: bytes, min_code: int, limit: int) -> bytes:
@@ -79,19 +80,30 @@ def lzw_expand(stream: bytes, min_code: int, limit: int) -> bytes:
         codes = ((raw[b] | raw[b + 1] << 8 | raw[b + 2] << 16) >> (offs & 7)) & ((1 << w) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else n
-        for c in codes[:stop].tolist():
+        todo = codes[:stop].tolist()
+        if todo and prev is None:
+            if todo[0] >= clear:
+                raise ValueError("bad LZW code")
+            prev = table_[todo[0]]
+            out.append(prev)
+            got += len(prev)
+            todo = todo[1:]
+        room = 4096 - len(table_)
+        for c in todo[:room]:  # each code but the first adds an entry, while there is room
             if c < len(table_):
                 entry = table_[c]
-                if prev is not None and len(table_) < 4096:
-                    table_.append(prev + entry[:1])
-            elif prev is not None and c == len(table_) and c < 4096:
+                table_.append(prev + entry[:1])
+            else:
+                if c > len(table_):
+                    raise ValueError("bad LZW code")
                 entry = prev + prev[:1]
                 table_.append(entry)
-            else:
-                raise ValueError("bad LZW code")
-            prev = entry
             out.append(entry)
             got += len(entry)
+            prev = entry
+        rest = [table_[c] for c in todo[room:]]
+        out += rest
+        got += sum(map(len, rest))
         if got >= limit or not n or (stop < n and codes[stop] == end):
             break
         if stop < n:
@@ -175,12 +187,16 @@ def read_frames(data: bytes):
     yield loops
 
 
+def colour_bins(colours: np.ndarray) -> np.ndarray:
+    """Bin of each colour among 4 x 4 x 4 of red, green and blue."""
+    c = colours >> 6
+    return c[..., 0] << 4 | c[..., 1] << 2 | c[..., 2]
+
+
 def histogram64(rgba: np.ndarray) -> np.ndarray:
-    """Counts of visible pixels in 4 x 4 x 4 bins of red, green and blue."""
+    """Counts of visible pixels in colour_bins."""
     flat = rgba.reshape(-1, 4)
-    c = flat >> 6
-    key = c[:, 0] << 4 | c[:, 1] << 2 | c[:, 2]
-    return np.bincount(key[flat[:, 3] > 0], minlength=64)
+    return np.bincount(colour_bins(flat)[flat[:, 3] > 0], minlength=64)
 
 
 def decode_gif(data: bytes) -> dict:
@@ -209,9 +225,12 @@ def decode_gif(data: bytes) -> dict:
             seen = shown != f["transparent"]
             canvas[area][seen, :3] = colours[shown[seen]]
             canvas[area][seen, 3] = 255
-        bins = histogram64(canvas)
+        if shown.shape == canvas.shape[:2] and f["transparent"] < 0:  # all of the canvas is this frame
+            bins = np.bincount(colour_bins(colours)[shown.ravel()], minlength=64)
+        else:
+            bins = histogram64(canvas)
         total += bins
-        frames.append((len(frames), clock, f["delay"], f["left"], f["top"], index.shape[1], index.shape[0], f["disposal"], f["transparent"], f["interlaced"], f["local"], hashlib.sha256(canvas.tobytes()).hexdigest(), bins.tolist()))
+        frames.append((len(frames), clock, f["delay"], f["left"], f["top"], index.shape[1], index.shape[0], f["disposal"], f["transparent"], f["interlaced"], f["local"], xxhash.xxh64_hexdigest(canvas), bins.tolist()))
         samples.append(index.tobytes())
         clock += f["delay"]
         if f["disposal"] == 2:
