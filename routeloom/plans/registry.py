@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from routeloom.plans.queries import QUERIES
+from routeloom.plans.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
