@@ -26,20 +26,27 @@ from routeloom.llm.common import bounded_batches, saved, table
 #: Labelled positives used to fit, at most (those with the least hash of their id); unlabelled rows have no bound.
 POSITIVES = 20_000
 FEATURES = (
-    "log_words", "word_length", "distinct_words", "top_word", "repeats", "short_words", "symbol_ends", "symbols", "digits", "upper",
+    "length", "word_length", "distinct_words", "top_word", "repeats", "short_words", "symbol_ends", "symbols", "digits", "upper",
     "commas", "stops", "bangs", "pipes", "line_words", "repeated_lines", "non_ascii", "shout_words", "bigrams", "compressed",
 )
+#: Features of junk: their square roots are used, and their squares too.
+RARE = {"repeats", "symbol_ends", "symbols", "digits", "bangs", "pipes", "shout_words", "repeated_lines"}
+CHANCE = {"word_length", "distinct_words", "top_word", "short_words", "commas", "stops", "line_words", "non_ascii", "compressed", "upper", "bigrams"}
+#: Values that texts shorter than a few lines are drawn to.
+TYPICAL = (0.0, 5.2, 0.75, 0.07, 0.0, 0.3, 0.0, 0.0, 0.0, 0.03, 0.009, 0.015, 0.0, 0.0, 3.7, 0.0, 0.024, 0.0, 0.93, 0.5)
+_SQUARED = [i for i, f in enumerate(FEATURES) if f in RARE]
 _SYMBOLS = b"#$%&*|@^~<>{}[]=+_\\/"
 _DIGITS = b"0123456789"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def features(text: str) -> list[float]:
-    """FEATURES of a whole text, mostly shares of its words or bytes; an empty text has 0 everywhere."""
+    """FEATURES of a whole text: shares of its words or bytes, square roots of those that clean text has next to none of.
+    Those that vary by chance in short texts are halved at 25 words towards TYPICAL. An empty text has TYPICAL values."""
     words = text.split()
     n = len(words)
     if not n:
-        return [0.0] * len(FEATURES)
+        return list(TYPICAL)
     raw = text.encode()
     size = len(raw)
     count = lambda chars: (size - len(raw.translate(None, chars))) / size
@@ -48,13 +55,16 @@ def features(text: str) -> list[float]:
     ends = sum(1 for w in counts if len(w) > 1 and not (w[-1].isalnum() or w[-2].isalnum()))
     shout = sum(c for w, c in counts.items() if len(w) > 1 and w.isupper())
     packed = sum(len(zlib.compress(raw[i : i + 65536], 1)) for i in range(0, size, 65536))
-    return [
-        np.log1p(n), (len(text) - n + 1) / n, len(counts) / n, max(counts.values()) / n,
+    near = n / (n + 25)
+    values = [
+        near, (len(text) - n + 1) / n, len(counts) / n, max(counts.values()) / n,
         sum(a == b for a, b in zip(words, words[1:])) / n, sum(c for w, c in counts.items() if len(w) <= 3) / n,
         ends / len(counts), count(_SYMBOLS), count(_DIGITS), count(_UPPER), count(b","), count(b"."), count(b"!?"), count(b"|"),
         np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), 1 - len(text) / size, shout / n,
-        len(set(zip(words, words[1:]))) / n, packed / size,
+        len(set(zip(words, words[1:]))) / max(n - 1, 1), packed / size,
     ]
+    values = [v**0.5 if f in RARE else v for f, v in zip(FEATURES, values)]
+    return [t + near * (v - t) if f in CHANCE else v for f, v, t in zip(FEATURES, values, TYPICAL)]
 
 
 def feature_column(text_col: str) -> Column:
@@ -88,7 +98,7 @@ def _summed(x: DataFrame, fn, size: int) -> np.ndarray:
 
 def _design(m: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     z = np.clip((m - mean) / sd, -6, 6)
-    return np.concatenate([np.ones((len(m), 1)), z, z * z - 1], axis=1)
+    return np.concatenate([np.ones((len(m), 1)), z, z[:, _SQUARED] ** 2 - 1], axis=1)
 
 
 def _loss(g):
@@ -96,7 +106,7 @@ def _loss(g):
 
 
 class Model:
-    """Means, deviations and weights of the design [1, z, z^2 - 1]."""
+    """Means, deviations and weights of the design [1, z, z^2 - 1 of RARE]."""
 
     def __init__(self, mean, sd, weights, prior):
         self.mean, self.sd, self.weights, self.prior = mean, sd, weights, prior
@@ -160,7 +170,7 @@ def fit(x: DataFrame, positives: np.ndarray, steps: int = 10, ridge: float = 0.0
         return None
     mean = v[1 : k + 1] / v[0]
     sd = np.sqrt(np.maximum(v[k + 1 :] / v[0] - mean**2, 1e-8))
-    w = np.zeros(2 * k + 1)
+    w = np.zeros(1 + k + len(_SQUARED))
     first = _newton(x, positives, mean, sd, 0.5, w, 5, ridge)
     prior = estimate_prior(x, positives, Model(mean, sd, first, 0.5))
     return Model(mean, sd, _newton(x, positives, mean, sd, prior, w, steps, ridge), prior)
