@@ -27,7 +27,7 @@ def last_number(text: Column) -> Column:
 
 
 def non_blank_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def after_last(text: Column, pattern: str) -> Column:
