@@ -24,7 +24,7 @@ from routeloom.llm.common import bounded_batches, table
 MODEL = os.path.join(os.environ.get("ROUTELOOM_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 SPACE, MASKED = 0x2581, 0x110000
 #: Lattice states kept between batches, at most; beyond, the table starts anew.
-KEPT_STATES = 2_000_000
+KEPT_STATES = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     """(doc_id, text, ids): a sampled segmentation of each whole text. Null and empty texts have no ids. The draws
     depend on the seed, the id and the text's words alone: repeated rows agree, and rows with a null id share the key 42.
     The model (some 500 kB) is read by the driver and sent with the function."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 256)
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches):
