@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import answers as A
 from routeloom.functions import text as T
-from routeloom.operators import allocation, learned, outcomes, routing, statistics, sweeps
+from routeloom.operators import allocation, analysis, learned, outcomes, routing, statistics, sweeps
 from routeloom.plans import inputs as I
 from routeloom.sources import writers
 from routeloom.streaming.metrics import windowed_outcomes
@@ -301,6 +301,54 @@ def _tree(name):
 
 learned_tree, learned_forest, learned_boosting = _tree("tree"), _tree("random_forest"), _tree("boosting")
 
+def feature_contrast(s, d):
+    return analysis.feature_differences(group_feature_rates(s, d), "revise_only", "both")
+
+
+def univariate_summary(s, d):
+    o = I.outcomes(s, d)
+    return analysis.univariate_summary(o, {"tokens": F.col("tokens"), "milli": F.round(F.col("confidence") * 1000)}, outcomes.outcome_groups(F.col("rg"), F.col("dpr")))
+
+
+def level_distribution(s, d):
+    return analysis.level_distribution(I.candidates(s, d).select((F.col("cost") % 5).alias("level")), "level", 7)
+
+
+def gain_table(s, d):
+    o = I.read(s, d, "orders")
+    k = [(F.col("o_custkey") % m < r).cast("int") for m, r in ((10, 5), (10, 7), (4, 3))]
+    return o.select(F.col("o_orderkey").alias("question_id"), *analysis.gain_table(*k))
+
+
+def dataset_checks(s, d):
+    x = I.read(s, d, "documents").join(stratified_split(s, d).withColumnRenamed("question_id", "doc_id"), "doc_id", "left").select(F.col("source").alias("key"), "doc_id", "split")
+    return analysis.dataset_checks(x, "key", ["doc_id", "split"], "split")
+
+
+def compare_datasets(s, d):
+    o = I.outcomes(s, d)
+    return analysis.compare_datasets(o.where("question_id % 5 <> 0"), o.where("question_id % 7 <> 0").withColumn("rg", F.when(F.col("question_id") % 2 == 0, F.col("rg"))), "question_id", ["rg", "dpr"])
+
+
+def token_grid(s, d):
+    return analysis.token_grid(I.outcomes(s, d), "tokens", F.col("rg"), F.col("dpr"), [None, 20.0, 60.0], [None, 40.0, 200.0])
+
+
+def token_grid_choice(s, d):
+    return analysis.nearest_rate(token_grid(s, d), 0.3)
+
+
+def best_gini_split(s, d):
+    o = I.outcomes(s, d).withColumn("y", (F.col("dpr") > F.col("rg")).cast("int"))
+    return analysis.best_gini_split(o.withColumn("c", F.floor(F.col("confidence") * 100)), ["tokens", "c"], "y")
+
+
+def budgeted_escalation(s, d):
+    o = I.outcomes(s, d)
+    r = o.select("instance", "question_id", F.col("tokens").alias("score"), (F.col("tokens") % 3 + 1).alias("want"), F.lit(25).alias("budget"))
+    return analysis.budgeted_escalation(r, "instance", "question_id")
+
+
 NAMES = [
     "policy_comparison", "confidence_sweep", "operating_point", "budget_curve", "cost_ratio_sensitivity", "nearest_point", "outcome_breakdown", "policy_efficiency", "policy_ranking",
     "escalation_decisions", "token_router", "ranked_escalation", "weighted_signals", "question_features", "target_features", "first_pass_features", "question_hardness", "numeric_answers",
@@ -308,5 +356,6 @@ NAMES = [
     "disagreement", "label_distribution", "binary_metrics", "group_feature_rates", "signal_firing", "stratified_split", "assembled", "missed_revise", "regime_union", "argmax_actions",
     "candidate_rows", "candidate_utility", "greedy_upgrade", "knapsack", "lambda_search", "equal_shares", "robust_curves", "paired_bootstrap", "hard_selection", "class_balance",
     "event_windows", "out_of_fold", "learned_tree", "learned_forest", "learned_boosting",
+    "feature_contrast", "univariate_summary", "level_distribution", "gain_table", "dataset_checks", "compare_datasets", "token_grid", "token_grid_choice", "best_gini_split", "budgeted_escalation",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -66,6 +66,11 @@ _S = lambda k: f"least(greatest(0.5 * {_R(k)} + 0.5 * {_MEAN}, 0), 1)"  # noqa:
 _FEATURES = {"low_confidence": "confidence < 0.5", "high_error": "error >= 0.34", "long": "tokens > 150"}
 _D = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE CAST({a} AS DOUBLE) / ({b}) END"
 
+_GRID = [(lo, hi) for lo in (None, 20.0, 60.0) for hi in (None, 40.0, 200.0) if (lo, hi) != (None, None) and not (lo and hi and lo > hi)]
+_COND = lambda lo, hi: " OR ".join(x for x in (f"tokens <= {lo}" if lo else "", f"tokens >= {hi}" if hi else "") if x)
+_NUM = lambda x: f"CAST({x or 'NULL'} AS DOUBLE)"
+_TOKEN_GRID = f"WITH {OUTCOMES}, g AS (" + " UNION ALL ".join(f"SELECT {_NUM(lo)} AS low, {_NUM(hi)} AS high, count(*) AS n, CAST(sum(CASE WHEN {_COND(lo, hi)} THEN dpr ELSE rg END) AS DOUBLE) / count(*) AS accuracy, CAST(count(*) FILTER ({_COND(lo, hi)}) AS DOUBLE) / count(*) AS revise_rate FROM o" for lo, hi in _GRID) + ")"
+
 ORACLE_SQL = {
     "policy_comparison": f"{_POLICIES} SELECT * FROM m",
     "confidence_sweep": f"{_SWEEP} SELECT * FROM sweep",
@@ -131,4 +136,23 @@ ORACLE_SQL = {
     "hard_selection": f"WITH {OUTCOMES} SELECT question_id, round(0.7 * (tokens - avg(tokens) OVER ()) / stddev_pop(tokens) OVER () + 0.3 * (error - avg(error) OVER ()) / stddev_pop(error) OVER (), 6) AS z_score FROM o",
     "class_balance": f"WITH {CANDIDATES} SELECT action_name, count(*) AS n, avg(correct) AS mean_correct, avg(CAST(round(final_utility * 100) AS BIGINT)) AS mean_utility FROM c GROUP BY action_name",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS action, count(*) AS n, CAST(sum(CAST(value > 50 AS INT)) AS BIGINT) AS correct FROM events GROUP BY 1, 2",
+    "univariate_summary": f"""WITH {OUTCOMES}, u AS (SELECT {_GROUP} AS class, 'tokens' AS feature, CAST(tokens AS DOUBLE) AS v FROM o UNION ALL SELECT {_GROUP}, 'milli', round(confidence * 1000) FROM o),
+      g AS (SELECT feature, class, count(*) AS n, avg(v) AS mean FROM u GROUP BY feature, class) SELECT *, max(mean) OVER (PARTITION BY feature) - min(mean) OVER (PARTITION BY feature) AS effect FROM g""",
+    "level_distribution": f"WITH {CANDIDATES}, l AS (SELECT unnest(range(7)) AS level) SELECT CAST(level AS INT) AS level, count(c.cost) AS n, CAST(count(c.cost) AS DOUBLE) / (SELECT count(*) FROM c) AS fraction FROM l LEFT JOIN c ON c.cost % 5 = l.level GROUP BY level",
+    "gain_table": """WITH k AS (SELECT o_orderkey AS question_id, CAST(o_custkey % 10 < 5 AS INT) AS a, CAST(o_custkey % 10 < 7 AS INT) AS b, CAST(o_custkey % 4 < 3 AS INT) AS c FROM orders)
+      SELECT question_id, a AS success_k1, b AS success_k2, c AS success_k3, b - a AS gain_1_to_2, c - b AS gain_2_to_3, c > a AS needs_more, a + b + c = 3 AS always_right, a + b + c = 0 AS never_right FROM k""",
+    "compare_datasets": f"""WITH {OUTCOMES}, a AS (SELECT * FROM o WHERE question_id % 5 <> 0), b AS (SELECT question_id, CASE WHEN question_id % 2 = 0 THEN rg END AS rg, dpr FROM o WHERE question_id % 7 <> 0)
+      SELECT count(*) FILTER (b.question_id IS NULL) AS only_a, count(*) FILTER (a.question_id IS NULL) AS only_b, count(*) FILTER (a.question_id IS NOT NULL AND b.question_id IS NOT NULL) AS both,
+      count(*) FILTER (a.question_id IS NOT NULL AND b.question_id IS NOT NULL AND (a.rg IS DISTINCT FROM b.rg OR a.dpr IS DISTINCT FROM b.dpr)) AS differing FROM a FULL JOIN b ON a.question_id = b.question_id""",
+    "token_grid": f"{_TOKEN_GRID} SELECT * FROM g",
+    "token_grid_choice": f"{_TOKEN_GRID} SELECT * FROM g ORDER BY abs(revise_rate - 0.3), accuracy DESC, revise_rate, low NULLS FIRST, high NULLS FIRST LIMIT 1",
 }
+ORACLE_SQL["feature_contrast"] = f"WITH r AS ({ORACLE_SQL['group_feature_rates']}) SELECT feature, max(rate) FILTER (\"group\" = 'revise_only') AS focus_rate, max(rate) FILTER (\"group\" = 'both') AS baseline_rate, max(rate) FILTER (\"group\" = 'revise_only') - max(rate) FILTER (\"group\" = 'both') AS difference FROM r GROUP BY feature"
+ORACLE_SQL["dataset_checks"] = f"""WITH s AS ({ORACLE_SQL['stratified_split']}), x AS (SELECT source AS key, doc_id, split FROM documents LEFT JOIN s ON doc_id = question_id),
+  g AS (SELECT key, count(*) AS n, sum(CAST(doc_id IS NULL AS INT) + CAST(split IS NULL AS INT)) AS nulls, min(split) <> max(split) AS leaked FROM x GROUP BY key)
+  SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS duplicate_keys, CAST(sum(nulls) AS BIGINT) AS nulls, count(*) FILTER (leaked) AS leaked_keys FROM g"""
+ORACLE_SQL["best_gini_split"] = f"""WITH {OUTCOMES}, y AS (SELECT 'tokens' AS feature, CAST(tokens AS DOUBLE) AS v, CAST(dpr > rg AS INT) AS y FROM o UNION ALL SELECT 'c', floor(confidence * 100), CAST(dpr > rg AS INT) FROM o),
+  g AS (SELECT feature, v, count(*) AS n, sum(y) AS p FROM y GROUP BY feature, v),
+  x AS (SELECT feature, v, lead(v) OVER w AS nx, CAST(sum(n) OVER w AS DOUBLE) AS nl, CAST(sum(p) OVER w AS DOUBLE) AS pl, CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS nt, CAST(sum(p) OVER (PARTITION BY feature) AS DOUBLE) AS pt FROM g WINDOW w AS (PARTITION BY feature ORDER BY v)),
+  z AS (SELECT feature, (v + nx) / 2 AS threshold, round((nl - (pl * pl + (nl - pl) * (nl - pl)) / nl + (nt - nl) - ((pt - pl) * (pt - pl) + (nt - nl - pt + pl) * (nt - nl - pt + pl)) / (nt - nl)) / nt, 12) AS impurity FROM x WHERE nx IS NOT NULL)
+  SELECT feature, threshold, impurity FROM z ORDER BY impurity, feature, threshold LIMIT 1"""
