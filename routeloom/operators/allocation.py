@@ -8,10 +8,12 @@ prompts at once.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def argmax_per_prompt(c: DataFrame, price: float = 0.0) -> DataFrame:
@@ -40,33 +42,59 @@ _CHOSEN = "{0} {1}, prompt_id long, action_name string, action_cost double, fina
 
 
 def _grouped(c: DataFrame, instance: str, solve) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, total, feasible = solve(pdf, float(pdf["budget"].iloc[0]))
-        out = pdf.loc[rows, [instance, "prompt_id", "action_name", "action_cost", "final_utility"]].copy()
-        out["total_cost"], out["feasible"] = float(total), bool(feasible)
-        return out
+    """Runs solve(rows by prompt, budget) on every instance; rows are (action_name, cost, utility, row number).
 
-    return c.groupBy(instance).applyInPandas(run, _CHOSEN.format(instance, dict(c.dtypes)[instance]))
+    Instances are sorted within partitions and stream through in Arrow batches, so a task holds one instance and many
+    small ones share a batch's cost.
+    """
+    schema = StructType.fromDDL(_CHOSEN.format(instance, dict(c.dtypes)[instance]))
+    arrow = to_arrow_schema(schema)
+
+    def solved(key, rows):
+        prompts: dict[int, list[tuple]] = {}
+        for i, (p, a, cost, u, _) in enumerate(rows):
+            prompts.setdefault(p, []).append((a, cost, u, i))
+        picked, total, feasible = solve({p: prompts[p] for p in sorted(prompts)}, float(rows[0][4]))
+        return [(key, *rows[i][:4], float(total), bool(feasible)) for i in picked]
+
+    def run(batches):
+        key, rows, done = None, [], []
+        for b in batches:
+            for k, *row in zip(*(col.to_pylist() for col in b.columns)):
+                if rows and k != key:
+                    done += solved(key, rows)
+                    rows = []
+                key = k
+                rows.append(row)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), arrow.types)], schema=arrow)
+                done = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*solved(key, rows)), arrow.types)], schema=arrow)
+
+    x = c.select(instance, F.col("prompt_id").cast("long"), "action_name", F.col("action_cost").cast("double"), F.col("final_utility").cast("double"), F.col("budget").cast("double"))
+    return x.repartition(F.col(instance)).sortWithinPartitions(instance, "prompt_id", "action_cost", "action_name").mapInArrow(run, schema)
+
+
+def _cheapest(rows: list[tuple]) -> tuple:
+    return min(rows, key=lambda r: (r[1], r[0]))
 
 
 def greedy_upgrade(c: DataFrame, instance: str) -> DataFrame:
     """Cheapest action each, then upgrades by falling gain per cost while the budget lasts. Every upgrade is priced from
     the cheapest action, so upgrading a prompt twice counts both in total_cost."""
 
-    def solve(p: pd.DataFrame, budget: float):
-        p = p.sort_values(["prompt_id", "action_cost", "action_name"])
-        base = p.groupby("prompt_id").head(1).set_index("prompt_id")
-        at = dict(zip(base.index, p.groupby("prompt_id").head(1).index))
-        total = base["action_cost"].sum()
-        dc = p["action_cost"].to_numpy() - base["action_cost"].reindex(p["prompt_id"]).to_numpy()
-        du = p["final_utility"].to_numpy() - base["final_utility"].reindex(p["prompt_id"]).to_numpy()
-        up = p[(dc > 0) & (du > 0)].assign(dc=dc[(dc > 0) & (du > 0)], ratio=du[(dc > 0) & (du > 0)] / dc[(dc > 0) & (du > 0)])
-        up = up.assign(nr=-up["ratio"], key=up["prompt_id"].astype(str)).sort_values(["nr", "dc", "key", "action_name"])
-        utility = dict(zip(base.index, base["final_utility"]))
-        for i, pid, cost, u in zip(up.index, up["prompt_id"], up["dc"], up["final_utility"]):
-            if total + cost <= budget and u > utility[pid]:
-                total, utility[pid], at[pid] = total + cost, u, i
-        return list(at.values()), total, total <= budget
+    def solve(prompts: dict[int, list[tuple]], budget: float):
+        at = {p: _cheapest(rows) for p, rows in prompts.items()}
+        total = sum(r[1] for r in at.values())
+        steps = [
+            (-(r[2] - at[p][2]) / (r[1] - at[p][1]), r[1] - at[p][1], str(p), r[0], p, r)
+            for p, rows in prompts.items() for r in rows if r[1] > at[p][1] and r[2] > at[p][2]
+        ]
+        for _, cost, _, _, p, r in sorted(steps, key=lambda x: x[:4]):
+            if total + cost <= budget and r[2] > at[p][2]:
+                total, at[p] = total + cost, r
+        return [r[3] for r in at.values()], total, total <= budget
 
     return _grouped(c, instance, solve)
 
@@ -75,38 +103,32 @@ def knapsack(c: DataFrame, instance: str, scale: int = 100) -> DataFrame:
     """Exact multiple-choice knapsack: greatest total utility within the budget, then least cost. An infeasible instance
     takes every prompt's cheapest action and says so. The table of spends is as long as the budget, or the dearest choice of all."""
 
-    def solve(p: pd.DataFrame, budget: float):
-        p = p.sort_values(["prompt_id", "action_name"])
-        limit = max(0, int(round(budget * scale)))
-        cost = np.maximum(0, np.round(p["action_cost"].to_numpy() * scale)).astype(np.int64)
-        groups = [g.index.to_numpy() for _, g in p.groupby("prompt_id", sort=True)]
-        place = {i: k for k, i in enumerate(p.index)}
-        limit = min(limit, int(sum(cost[[place[i] for i in g]].max() for g in groups)))
-        best, back = np.full(limit + 1, -np.inf), []
+    def solve(prompts: dict[int, list[tuple]], budget: float):
+        spend = {p: [max(0, round(r[1] * scale)) for r in rows] for p, rows in prompts.items()}
+        limit = min(max(0, round(budget * scale)), sum(map(max, spend.values())))
+        best, took = np.full(limit + 1, -np.inf), []
         best[0] = 0.0
-        utility = p["final_utility"].to_numpy()
-        for g in groups:
-            new, took = np.full(limit + 1, -np.inf), np.full(limit + 1, -1)
-            for i in g:
-                k = place[i]
-                if cost[k] > limit:
-                    continue
-                got = np.full(limit + 1, -np.inf)
-                got[cost[k] :] = best[: limit + 1 - cost[k]] + utility[k]
-                better = got > new
-                new[better], took[better] = got[better], k
+        for p, rows in prompts.items():
+            new, who = np.full(limit + 1, -np.inf), np.full(limit + 1, -1)
+            for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+                cost = spend[p][k]
+                if cost <= limit:
+                    got = best[: limit + 1 - cost] + rows[k][2]
+                    better = got > new[cost:]
+                    new[cost:][better] = got[better]
+                    who[cost:][better] = k
             best = new
-            back.append(took)
+            took.append(who)
         if not np.isfinite(best).any():
-            rows = [p.loc[g].sort_values(["action_cost", "action_name"]).index[0] for g in groups]
-            return rows, p.loc[rows, "action_cost"].sum(), False
-        spend = int(np.argmax(best))
-        total, rows = spend / scale, []
-        for took in reversed(back):
-            k = took[spend]
-            rows.append(p.index[k])
-            spend -= int(cost[k])
-        return rows, total, True
+            pick = [_cheapest(rows) for rows in prompts.values()]
+            return [r[3] for r in pick], sum(r[1] for r in pick), False
+        left = int(np.argmax(best))
+        total, out = left / scale, []
+        for p, who in zip(reversed(prompts), reversed(took)):
+            k = int(who[left])
+            out.append(prompts[p][k][3])
+            left -= spend[p][k]
+        return out, total, True
 
     return _grouped(c, instance, solve)
 

@@ -92,3 +92,26 @@ def utility(name: str, p: Column, cost: Column, baseline: Column, adjustment: Co
     if name not in base:
         raise ValueError(f"unknown utility {name}")
     return base[name] + adjustment - beta * uncertainty
+
+
+# Limits of the first rule-based policy.
+SIMPLE_NUMBERS, SIMPLE_WORDS, COMPLEX_NUMBERS, COMPLEX_WORDS, MANY_NUMBERS = 2, 35, 4, 60, 4
+
+
+def rule_policy(numbers: Column, words: Column, multi_step: Column, unstable: Column, failed: Column, output_numbers: Column, strong: bool = False, best_of_3: bool = True) -> Column:
+    """Action after a first pass: keep it unless the output is unstable or has many numbers; then a stronger model, more
+    samples or a revision, by the question's complexity."""
+    hard = (numbers >= COMPLEX_NUMBERS) | (multi_step & (words >= COMPLEX_WORDS))
+    many = output_numbers >= MANY_NUMBERS
+    out = F.when(~(unstable | many), "reasoning_greedy")
+    if strong:
+        out = out.when(hard & failed, "strong_direct")
+    if best_of_3:
+        out = out.when(hard & many, "reasoning_best_of_3")
+    return out.otherwise("direct_plus_revise")
+
+
+def first_action(numbers: Column, words: Column, multi_step: Column) -> Column:
+    """Action before any pass: direct for simple questions."""
+    simple = (numbers <= SIMPLE_NUMBERS) & ~multi_step & (words <= SIMPLE_WORDS)
+    return F.when(simple, "direct_greedy").otherwise("reasoning_greedy")

@@ -349,6 +349,14 @@ def budgeted_escalation(s, d):
     return analysis.budgeted_escalation(r, "instance", "question_id")
 
 
+def rule_policy(s, d):
+    o = I.read(s, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    n, w, multi, failed, out = k % 6, c % 90, k % 3 == 0, c % 4 == 0, c % 7
+    a = routing.rule_policy(n, w, multi, failed | (k % 5 == 0), failed, out, strong=True)
+    return o.select(k.alias("question_id"), routing.first_action(n, w, multi).alias("first"), a.alias("action"))
+
+
 NAMES = [
     "policy_comparison", "confidence_sweep", "operating_point", "budget_curve", "cost_ratio_sensitivity", "nearest_point", "outcome_breakdown", "policy_efficiency", "policy_ranking",
     "escalation_decisions", "token_router", "ranked_escalation", "weighted_signals", "question_features", "target_features", "first_pass_features", "question_hardness", "numeric_answers",
@@ -356,6 +364,6 @@ NAMES = [
     "disagreement", "label_distribution", "binary_metrics", "group_feature_rates", "signal_firing", "stratified_split", "assembled", "missed_revise", "regime_union", "argmax_actions",
     "candidate_rows", "candidate_utility", "greedy_upgrade", "knapsack", "lambda_search", "equal_shares", "robust_curves", "paired_bootstrap", "hard_selection", "class_balance",
     "event_windows", "out_of_fold", "learned_tree", "learned_forest", "learned_boosting",
-    "feature_contrast", "univariate_summary", "level_distribution", "gain_table", "dataset_checks", "compare_datasets", "token_grid", "token_grid_choice", "best_gini_split", "budgeted_escalation",
+    "feature_contrast", "univariate_summary", "level_distribution", "gain_table", "dataset_checks", "compare_datasets", "token_grid", "token_grid_choice", "best_gini_split", "budgeted_escalation", "rule_policy",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -156,3 +156,8 @@ ORACLE_SQL["best_gini_split"] = f"""WITH {OUTCOMES}, y AS (SELECT 'tokens' AS fe
   x AS (SELECT feature, v, lead(v) OVER w AS nx, CAST(sum(n) OVER w AS DOUBLE) AS nl, CAST(sum(p) OVER w AS DOUBLE) AS pl, CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS nt, CAST(sum(p) OVER (PARTITION BY feature) AS DOUBLE) AS pt FROM g WINDOW w AS (PARTITION BY feature ORDER BY v)),
   z AS (SELECT feature, (v + nx) / 2 AS threshold, round((nl - (pl * pl + (nl - pl) * (nl - pl)) / nl + (nt - nl) - ((pt - pl) * (pt - pl) + (nt - nl - pt + pl) * (nt - nl - pt + pl)) / (nt - nl)) / nt, 12) AS impurity FROM x WHERE nx IS NOT NULL)
   SELECT feature, threshold, impurity FROM z ORDER BY impurity, feature, threshold LIMIT 1"""
+ORACLE_SQL["rule_policy"] = """WITH x AS (SELECT o_orderkey AS question_id, o_orderkey % 6 AS n, o_custkey % 90 AS w, o_orderkey % 3 = 0 AS multi, o_custkey % 4 = 0 AS failed,
+  o_custkey % 4 = 0 OR o_orderkey % 5 = 0 AS unstable, o_custkey % 7 >= 4 AS many FROM orders)
+  SELECT question_id, CASE WHEN n <= 2 AND NOT multi AND w <= 35 THEN 'direct_greedy' ELSE 'reasoning_greedy' END AS first,
+  CASE WHEN NOT (unstable OR many) THEN 'reasoning_greedy' WHEN (n >= 4 OR (multi AND w >= 60)) AND failed THEN 'strong_direct'
+   WHEN (n >= 4 OR (multi AND w >= 60)) AND many THEN 'reasoning_best_of_3' ELSE 'direct_plus_revise' END AS action FROM x"""
