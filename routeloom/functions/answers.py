@@ -92,3 +92,28 @@ def calibration(text: Column, answer: Column) -> dict[str, Column]:
         "format_clean_numeric": clean,
         "format_many_numeric_candidates": many,
     }
+
+
+def math_text(raw: Column) -> Column:
+    """A symbolic answer in plain form: boxes, dollar signs, spacing and outer parentheses go, numbers inside are normalised."""
+    c = F.trim(raw)
+    c = F.coalesce(F.nullif(F.trim(boxed(c)), F.lit("")), c)
+    c = F.regexp_replace(F.regexp_replace(c, r"(?s)^(\$+)\s*(.*?)\s*\$+$", "$2"), r"[.;,]+$", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"^[:= ]+", ""), r"\\left|\\right|\\[,!;:]", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"\\[td]frac", r"\\\\frac"), r"(?U)\s+", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?<=[0-9]),(?=[0-9]{3})", ""), r"(?<![0-9.A-Za-z\\])0+(?=[0-9])", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?<=[0-9])\.0+(?![0-9])", ""), r"(\.[0-9]*[1-9])0+(?![0-9])", "$1")
+    c = F.regexp_replace(c, r"^\(([^,]*)\)$", "$1")
+    return F.when(F.regexp_replace(c, r"\$", "").rlike(rf"^{ANSWER_NUMBER}$"), normalized_number(c)).otherwise(c)
+
+
+def math_answer(text: Column) -> Column:
+    """Boxed content, else after the last cue its inline formula or first line, else the same of the last three lines,
+    in plain form; empty for blank texts."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    trailing = F.regexp_replace(after_last(t, FINAL_CUE), r"^\s+", "")
+    inline = lambda x: F.try_element_at(F.regexp_extract_all(x, F.lit(r"(?s)\$(.+?)\$"), F.lit(1)), F.lit(-1))
+    rows = non_blank_lines(t)
+    tail = F.array_join(F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3)), "\n")
+    options = [boxed(t), inline(F.substring(trailing, 1, 200)), F.trim(F.split(trailing, r"\r\n|\r|\n")[0]), inline(tail), F.try_element_at(rows, F.lit(-1))]
+    return F.coalesce(math_text(F.coalesce(*[F.nullif(o, F.lit("")) for o in options])), F.lit(""))

@@ -20,9 +20,6 @@ CONSTRAINT_WEIGHTS = {
     "obvious_lower_bound_violated_suspected": 2,
 }
 REVISE_THRESHOLD = 2
-# Parts of the unified error and confidence.
-ERROR_WEIGHTS = {"role": 0.24, "constraint": 0.19, "target": 0.08, "self": 0.14, "selective": 0.12, "calibration": 0.11, "step": 0.12}
-CONFIDENCE_WEIGHTS = {"selective": 0.3, "calibration": 0.25, "self": 0.25, "step": 0.2}
 
 
 def weighted_score(signals: dict[str, Column], weights: dict[str, float]) -> tuple[Column, Column]:
@@ -41,13 +38,6 @@ def revise_if(score: Column, threshold: float = REVISE_THRESHOLD) -> Column:
     return F.when(score >= threshold, "direct_plus_revise").otherwise("reasoning_greedy")
 
 
-def clamped_sum(parts: dict[str, Column], weights: dict[str, float]) -> Column:
-    total = F.lit(0.0)
-    for k, w in weights.items():
-        total = total + w * parts[k]
-    return F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0))
-
-
 def escalation(error: Column, confidence: Column) -> Column:
     """none, maybe or strong, by the unified error and confidence."""
     return (

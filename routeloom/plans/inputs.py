@@ -49,3 +49,41 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ANSWERS = "v AS (SELECT user_id AS question_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS answer, event_id AS position FROM events)"
+
+
+_PROBLEMS = [
+    "'Ann has ' || n || ' apples and gave away ' || m || '. How many apples are left?'",
+    "'Each box holds ' || m || ' books. What is the minimum number of boxes for ' || n || ' books?'",
+    "'Tickets cost $' || m || ' each. How much is the total for ' || n || ' people?'",
+    "'On what day does the trip of ' || n || ' days end?'",
+    "'Bob earned ' || n || ' dollars and spent half of the remaining ' || m || ' dollars. How much more is left?'",
+    "'Sam bought three pens and ' || n || ' books, twice as many as Kim. How many in total?'",
+]
+_REASONINGS = [
+    "n || ' - ' || m || ' = ' || (a - b) || '. Final answer: ' || (a - b)",
+    "'First ' || n || ', then ' || m || '. So the total is ' || n",
+    "'Maybe it is ' || m || ', but I think ' || n || ' is about right'",
+    "'Final answer: Monday'",
+    "''",
+    "'We add ' || n || ' + ' || m || ' = ' || (a + b) || '.' || chr(10) || 'Therefore ' || (a + b) || '.' || chr(10) || 'Answer: ' || n",
+    "'Final answer: -' || m || '.5'",
+]
+
+
+def _case(key: str, texts: list[str]) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+
+
+_VALUES = "SELECT o_orderkey AS question_id, o_orderkey % 97 + 3 AS a, o_custkey % 41 + 2 AS b, o_orderkey % 6 AS i, o_custkey % 7 AS j FROM {orders}"
+_TEXTS = "SELECT question_id, CAST(a AS {string}) AS n, CAST(b AS {string}) AS m, a, b, i, j FROM p0"
+
+
+def word_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, q, t): a word problem and a reasoning per order."""
+    p = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS question_id", "o_orderkey % 97 + 3 AS a", "o_custkey % 41 + 2 AS b", "o_orderkey % 6 AS i", "o_custkey % 7 AS j")
+    p = p.selectExpr("*", "CAST(a AS STRING) AS n", "CAST(b AS STRING) AS m")
+    return p.selectExpr("question_id", f"{_case('i', _PROBLEMS)} AS q", f"{_case('j', _REASONINGS)} AS t")
+
+
+WORD_PROBLEMS = f"""p0 AS ({_VALUES.format(orders='orders')}), p1 AS ({_TEXTS.format(string='VARCHAR')}),
+ w AS (SELECT question_id, {_case('i', _PROBLEMS)} AS q, {_case('j', _REASONINGS)} AS t FROM p1)"""
