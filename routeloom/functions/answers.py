@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,21 @@ BOOLEAN = r"(?iU)\b(true|false|yes|no|y|n|0|1)\b"
 HEDGES = "maybe|perhaps|possibly|probably|might|could be|not sure|unclear"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def first_filled(*options: Column) -> Column:
+    """The first that is neither null nor empty, else empty."""
+    return F.coalesce(F.try_element_at(F.filter(F.array(*options), lambda x: x != ""), F.lit(1)), F.lit(""))
+
+
 def normalized_number(raw: Column) -> Column:
     """Without "$", "," and an end point; leading zeros and trailing decimal zeros go, as "72.0" and "007" are 72 and 7."""
     c = F.regexp_replace(F.regexp_replace(F.trim(raw), r"[$,]", ""), r"\.+$", "")
-    c = F.when(c.rlike(r"^-?[0-9]+\.[0-9]*$"), F.regexp_replace(F.regexp_replace(c, "0+$", ""), r"\.$", "")).otherwise(c)
-    c = F.when(c.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), F.regexp_replace(c, r"^(-?)0+(?=[0-9])", "$1")).otherwise(c)
-    return c
+    c = F.regexp_replace(c, r"^(-?[0-9]+(?:\.[0-9]*[1-9])?)\.?0*$", "$1")
+    return F.regexp_replace(c, r"^(-?)0+([0-9]+(?:\.[0-9]+)?)$", "$1$2")
 
 
 def last_number(text: Column) -> Column:
@@ -30,10 +41,14 @@ def non_blank_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def last_lines(text: Column, n: int) -> Column:
+    """The last n lines that aren't blank."""
+    return F.array_join(F.reverse(F.slice(F.reverse(non_blank_lines(text)), 1, n)), "\n")
+
+
 def after_last(text: Column, pattern: str) -> Column:
     """What follows the last match, null without one."""
-    parts = F.split(text, pattern, -1)
-    return F.when(F.size(parts) > 1, F.element_at(parts, -1))
+    return let(F.split(text, pattern, -1), lambda parts: F.when(F.size(parts) > 1, F.element_at(parts, -1)))
 
 
 def boxed(text: Column) -> Column:
@@ -47,19 +62,17 @@ def boxed(text: Column) -> Column:
 def numeric_answer(text: Column) -> Column:
     """Boxed number, else the last number in the line after the last cue or the 200 characters after it, else in the
     last three lines, else anywhere; empty if there is none."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    trailing = after_last(t, FINAL_CUE)
-    lines = non_blank_lines(t)
-    tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)), "\n")
-    options = [last_number(boxed(t)), last_number(F.split(trailing, r"\r\n|\r|\n")[0]), last_number(F.substring(trailing, 1, 200)), last_number(tail), last_number(t)]
-    return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
+
+    def read(t: Column, trailing: Column) -> Column:
+        return first_filled(last_number(boxed(t)), last_number(F.split(trailing, r"\r\n|\r|\n")[0]), last_number(F.substring(trailing, 1, 200)), last_number(last_lines(t, 3)), last_number(t))
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda t: let(after_last(t, FINAL_CUE), lambda trailing: read(t, trailing)))
 
 
 def choice_letter(text: Column) -> Column:
     """A-J: the last "answer: X", else the last "(X)", else the last lone letter of the last five lines; empty if none."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    lines = non_blank_lines(t)
-    tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), F.lit(5)), "\n")
+    tail = last_lines(t, 5)
     found = [F.try_element_at(F.regexp_extract_all(x, F.lit(p), F.lit(1)), F.lit(-1)) for x, p in ((t, LETTER_FINAL), (t, r"\(\s*([A-Ja-j])\s*\)"), (tail, r"(?<![A-Za-z])([A-Ja-j])(?![A-Za-z])"))]
     return F.upper(F.coalesce(*found, F.lit("")))
 
@@ -96,24 +109,24 @@ def calibration(text: Column, answer: Column) -> dict[str, Column]:
 
 def math_text(raw: Column) -> Column:
     """A symbolic answer in plain form: boxes, dollar signs, spacing and outer parentheses go, numbers inside are normalised."""
-    c = F.trim(raw)
-    c = F.coalesce(F.nullif(F.trim(boxed(c)), F.lit("")), c)
+    c = let(F.trim(raw), lambda x: first_filled(F.trim(boxed(x)), x))
     c = F.regexp_replace(F.regexp_replace(c, r"(?s)^(\$+)\s*(.*?)\s*\$+$", "$2"), r"[.;,]+$", "")
     c = F.regexp_replace(F.regexp_replace(c, r"^[:= ]+", ""), r"\\left|\\right|\\[,!;:]", "")
     c = F.regexp_replace(F.regexp_replace(c, r"\\[td]frac", r"\\\\frac"), r"(?U)\s+", "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?<=[0-9]),(?=[0-9]{3})", ""), r"(?<![0-9.A-Za-z\\])0+(?=[0-9])", "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?<=[0-9])\.0+(?![0-9])", ""), r"(\.[0-9]*[1-9])0+(?![0-9])", "$1")
     c = F.regexp_replace(c, r"^\(([^,]*)\)$", "$1")
-    return F.when(F.regexp_replace(c, r"\$", "").rlike(rf"^{ANSWER_NUMBER}$"), normalized_number(c)).otherwise(c)
+    return let(c, lambda x: F.when(F.regexp_replace(x, r"\$", "").rlike(rf"^{ANSWER_NUMBER}$"), normalized_number(x)).otherwise(x))
 
 
 def math_answer(text: Column) -> Column:
     """Boxed content, else after the last cue its inline formula or first line, else the same of the last three lines,
     in plain form; empty for blank texts."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    trailing = F.regexp_replace(after_last(t, FINAL_CUE), r"^\s+", "")
     inline = lambda x: F.try_element_at(F.regexp_extract_all(x, F.lit(r"(?s)\$(.+?)\$"), F.lit(1)), F.lit(-1))
-    rows = non_blank_lines(t)
-    tail = F.array_join(F.slice(rows, F.greatest(F.size(rows) - 2, F.lit(1)), F.lit(3)), "\n")
-    options = [boxed(t), inline(F.substring(trailing, 1, 200)), F.trim(F.split(trailing, r"\r\n|\r|\n")[0]), inline(tail), F.try_element_at(rows, F.lit(-1))]
-    return F.coalesce(math_text(F.coalesce(*[F.nullif(o, F.lit("")) for o in options])), F.lit(""))
+
+    def read(t: Column, trailing: Column) -> Column:
+        options = [boxed(t), inline(F.substring(trailing, 1, 200)), F.trim(F.split(trailing, r"\r\n|\r|\n")[0]), inline(last_lines(t, 3)), last_lines(t, 1)]
+        return math_text(first_filled(*options))
+
+    trailing = lambda t: F.regexp_replace(after_last(t, FINAL_CUE), r"^\s+", "")
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda t: let(trailing(t), lambda x: read(t, x)))

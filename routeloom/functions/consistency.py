@@ -101,6 +101,16 @@ def flags(signals: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in signals.items()]))
 
 
+def staged(df: DataFrame, stage: str, values: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """df with each value as a column of its own, and references to them: what is used often is then computed once a row."""
+    names = {k: f"__{stage}_{k}" for k in values}
+    return df.withColumns({names[k]: v for k, v in values.items()}), {k: F.col(v) for k, v in names.items()}
+
+
+def unstaged(df: DataFrame, *stages: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(tuple(f"__{s}_" for s in stages))])
+
+
 def question_profile(question: Column) -> dict[str, Column]:
     """What a question asks for, by its words, units and numbers; `obvious_total` is its greatest number or null."""
     q = full(question)
@@ -125,10 +135,10 @@ def final_statement(reasoning: Column) -> Column:
 def with_constraints(df: DataFrame, question: str, reasoning: str, answer: str, name: str = "constraint") -> DataFrame:
     """df with a struct of the question's profile, the final statement, 11 flags, the signals on and their count. A
     null answer is read from the reasoning; an empty one is a failed parse."""
-    q, parsed = F.col(question), normalized_number(F.coalesce(F.col(answer), numeric_answer(F.col(reasoning))))
-    x = df.withColumn("__p", F.struct(*[c.alias(k) for k, c in question_profile(q).items()])).withColumn("__f", final_statement(F.col(reasoning))).withColumn("__a", parsed)
-    p = {k: F.col("__p")[k] for k in ("count_units", "has_money_unit", "has_time_unit", "asks_how_many", "asks_how_much", "asks_when", "asks_left", "asks_total", "asks_action_quantity", "has_percent_or_ratio", "obvious_total", "integer_expected", "numeric_target_expected", "half_of_remaining", "n_numbers")}
-    f, a, value = F.col("__f"), F.col("__a"), F.col("__a").try_cast("double")
+    parsed = normalized_number(F.coalesce(F.col(answer), numeric_answer(F.col(reasoning))))
+    x, p = staged(df, "profile", question_profile(F.col(question)))
+    x, o = staged(x, "output", {"final": final_statement(F.col(reasoning)), "answer": parsed})
+    f, a, value = o["final"], o["answer"], o["answer"].try_cast("double")
     has, negative = a != "", F.coalesce(value < 0, F.lit(False))
     left, total, halved, counted = word(f, LEFT), word(f, TOTAL), f.rlike(rf"(?iU)(?:{HALVING})"), F.size(p["count_units"]) > 0
     bounded = value.isNotNull() & p["obvious_total"].isNotNull() & (p["n_numbers"] <= 3)
@@ -149,10 +159,12 @@ def with_constraints(df: DataFrame, question: str, reasoning: str, answer: str,
         "bound_violation_suspected": upper | lower,
     }
     bounds = {"obvious_upper_bound_exceeded_suspected": upper, "obvious_lower_bound_violated_suspected": lower}
-    x = x.withColumn("__s", F.struct(*[c.alias(k) for k, c in (signals | bounds).items()]))
-    on = flags({k: F.col("__s")[k] for k in signals})
-    out = [F.col("__s")[k].alias(k) for k in signals | bounds]
-    return x.withColumn(name, F.struct(a.alias("parsed_answer"), f.alias("final_statement"), *out, on.alias("signals"), F.size(on).alias("n_signals"), F.col("__p").alias("profile"))).drop("__p", "__f", "__a", "__s")
+    x, v = staged(x, "signal", signals | bounds)
+    on = flags({k: v[k] for k in signals})
+    out = [c.alias(k) for k, c in v.items()]
+    profile = F.struct(*[c.alias(k) for k, c in p.items()])
+    x = x.withColumn(name, F.struct(a.alias("parsed_answer"), f.alias("final_statement"), *out, on.alias("signals"), F.size(on).alias("n_signals"), profile.alias("profile")))
+    return unstaged(x, "profile", "output", "signal")
 
 
 def number_records(question: Column) -> Column:
@@ -226,24 +238,24 @@ def with_role_coverage(df: DataFrame, question: str, reasoning: str, answer: str
     number = a.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$")
     value = a.try_cast("double")
     coherent = F.coalesce(number & mentions(q, "how many|number of|minimum number") & (value == F.floor(value)) & (value >= 0), F.lit(False))
-    x = x.withColumn("__c", F.struct(
-        F.size("__roles").alias("n_numbers"), F.size(n).alias("n_required"), count(lambda r: r["strong"]).alias("n_strong"), count(lambda r: r["found"]).alias("n_found"),
-        count(lambda r: r["strong"] & ~r["found"]).alias("n_strong_missing"), missing("subtract").alias("subtract"), missing("add").alias("add"), missing("multiply", "divide", "ratio").alias("rate"), missing("capacity_ceiling").alias("capacity"),
-    ))
-    c = F.col("__c")
+    x, c = staged(x, "count", {
+        "n_numbers": F.size("__roles"), "n_required": F.size(n), "n_strong": count(lambda r: r["strong"]), "n_found": count(lambda r: r["found"]),
+        "n_strong_missing": count(lambda r: r["strong"] & ~r["found"]), "subtract": missing("subtract"), "add": missing("add"), "rate": missing("multiply", "divide", "ratio"), "capacity": missing("capacity_ceiling"),
+    })
+    x, e = staged(x, "cue", {"finished": finished, "coherent": coherent})
+    finished, coherent = e["finished"], e["coherent"]
     lacking = c["n_required"] - c["n_found"]
     stop = (c["n_strong_missing"] > 0) & (a != "") & (finished | t.rlike("[0-9]")) & (mentions(q, "left|remaining|remain") | c["subtract"])
     share = F.when(c["n_required"] == 0, 1.0).otherwise(c["n_found"] / c["n_required"])
-    score = F.greatest(F.lit(0.0), share - F.when(stop, 0.2).otherwise(0.0))
-    x = x.withColumn("__d", F.struct(lacking.alias("lacking"), stop.alias("stop"), score.alias("score"), finished.alias("finished"), coherent.alias("coherent")))
-    d = F.col("__d")
+    x, d = staged(x, "cover", {"lacking": lacking, "stop": stop})
+    x, score = staged(x, "score", {"score": F.greatest(F.lit(0.0), share - F.when(d["stop"], 0.2).otherwise(0.0))})
+    d |= score | e
     on = lambda *pairs: sum((F.when(cond, w).otherwise(0) for cond, w in pairs), F.lit(0))
     strong_missing = c["n_strong_missing"] > 0
     warning = on((strong_missing | (d["lacking"] > 0), 1), (c["subtract"], 1), (c["capacity"], 1), (c["rate"] & strong_missing, 1), (d["stop"], 1))
     warning = F.greatest(warning - F.when(d["coherent"] & d["finished"] & (d["score"] >= 0.7), 1).otherwise(0), F.lit(0))
     error = on((strong_missing, 2), (c["subtract"], 2), (c["capacity"], 2), (d["stop"], 1))
-    x = x.withColumn("__w", F.struct(warning.alias("warning"), error.alias("error")))
-    w = F.col("__w")
+    x, w = staged(x, "sum", {"warning": warning, "error": error})
     decision = F.when(w["error"] >= 4, "strong_escalation_candidate").when((w["error"] >= 3) & (w["warning"] >= 2), "maybe_escalate").otherwise("no_escalation")
     names = {"missing_required_number": d["lacking"] > 0, "required_subtractive_number_missing": c["subtract"], "required_additive_number_missing": c["add"], "required_rate_number_missing": c["rate"], "required_capacity_number_missing": c["capacity"], "possible_intermediate_stop_suspected": d["stop"]}
     out = F.struct(
@@ -252,7 +264,7 @@ def with_role_coverage(df: DataFrame, question: str, reasoning: str, answer: str
         flags(names).alias("signals"), d["coherent"].alias("coherent_answer_type"), d["finished"].alias("has_finalization_cue"), w["warning"].alias("role_warning_score"), w["error"].alias("role_strong_error_score"),
         decision.alias("calibrated_decision"),
     )
-    return x.withColumn(name, out).drop("__roles", "__t", "__n", "__c", "__d", "__w")
+    return unstaged(x.withColumn(name, out), "count", "cue", "cover", "score", "sum").drop("__roles", "__t", "__n")
 
 
 def role_cues(text: Column) -> dict[str, Column]:
@@ -322,11 +334,10 @@ def with_steps(df: DataFrame, question: str, reasoning: str, name: str = "step")
     moves = F.greatest(F.size(n) - 1, F.lit(0))
     broken = F.size(F.filter(F.zip_with(F.slice(n, F.lit(1), moves), F.slice(n, F.lit(2), moves), lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)), lambda v: v))
     lacking = F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_except(q, F.flatten(n))) / F.size(q))
-    x = x.withColumn("__s", F.struct(F.size(n).alias("n"), t.rlike(ANY_OPERATOR).alias("eq"), lacking.alias("lacking"), ((moves > 0) & (5 * broken > 3 * moves)).alias("broken")))
-    s = F.col("__s")
+    x, s = staged(x, "step", {"n": F.size(n), "eq": t.rlike(ANY_OPERATOR), "lacking": lacking, "broken": (moves > 0) & (5 * broken > 3 * moves)})
     score = 1.0 - F.least(F.lit(0.5), s["lacking"]) - F.when(s["broken"], 0.25).otherwise(0.0) - F.when(~s["eq"] & (s["n"] >= 3), 0.15).otherwise(0.0)
     out = F.struct(s["n"].alias("number_of_steps_detected"), s["eq"].alias("presence_of_equation_like_patterns"), s["lacking"].alias("missing_question_number_fraction"), s["broken"].alias("missing_transition_logic"), F.greatest(score, F.lit(0.0)).alias("step_consistency_score"))
-    return x.withColumn(name, out).drop("__n", "__q", "__s")
+    return unstaged(x.withColumn(name, out), "step").drop("__n", "__q")
 
 
 def with_unified_error(df: DataFrame, question: str, reasoning: str, answer: str, passes: str | None = None) -> DataFrame:
@@ -335,7 +346,8 @@ def with_unified_error(df: DataFrame, question: str, reasoning: str, answer: str
     q, t, a = F.col(question), F.col(reasoning), F.col(answer)
     x = with_steps(with_constraints(with_role_coverage(df, question, reasoning, answer), question, reasoning, answer), question, reasoning)
     parts = {"target": target_features(q), "self": self_verification(t, a), "selective": selective_prediction(t, a, None if passes is None else F.col(passes)), "calibration": calibration(t, a)}
-    x = x.withColumns({k: F.struct(*[c.alias(n) for n, c in v.items()]) for k, v in parts.items()})
+    x, flat = staged(x, "part", {f"{k}_{n}": c for k, v in parts.items() for n, c in v.items()})
+    x = unstaged(x.withColumns({k: F.struct(*[flat[f"{k}_{n}"].alias(n) for n in v]) for k, v in parts.items()}), "part")
     bit = lambda c: c.cast("int")
     k, c, g = F.col("role"), F.col("constraint"), F.col("target")
     confidence = {"selective": F.col("selective")["confidence_proxy_score"], "calibration": F.col("calibration")["predicted_answer_format_confidence"], "self": F.col("self")["self_verification_score"], "step": F.col("step")["step_consistency_score"]}

@@ -60,43 +60,49 @@ TAIL_VALUE = r"(?m)=\s*\$?\s*([0-9,]+(?:\.[0-9]+)?)\s*(?:\n|$|\.|\)|\])"
 TAIL = 800
 
 
-def violations(question: Column, output: Column) -> dict[str, Column]:
-    """Violation signals of an output; `revise_recommended` and `severe_instability` sum them up."""
-    q, t = C.full(question), C.full(output)
-    s = C.stripped(output)
-    parsed = numeric_answer(output)
-    marked, unsure, contrary = t.rlike(FINAL_MARK), C.word(t, UNSURE), C.word(t, CONTRADICTION)
-    failed = (parsed == "") | ~s.rlike("[0-9,]")
-    plain = ~failed & ~C.mentions(s, "answer:|final answer") & ~s.rlike(r"^-?[0-9,]+(?:\.[0-9]*)?$")
+def with_violations(df: DataFrame, question: str, output: str, name: str = "violation") -> DataFrame:
+    """df with a struct of the violation signals of an output; `revise_recommended` and `severe_instability` sum them
+    up. Null texts count as empty. Shared parts are columns of their own, so that each is computed once a row."""
+    q, t, s = C.full(F.col(question)), C.full(F.col(output)), C.stripped(F.col(output))
     units = lambda x: F.transform(C.all_of(x, rf"(?iU)\b(?:{UNITS})\b"), F.lower)
-    asked = units(q)
-    out = {
+    x = df.withColumns({
+        "__parsed": numeric_answer(F.col(output)), "__marked": t.rlike(FINAL_MARK), "__unsure": C.word(t, UNSURE), "__contrary": C.word(t, CONTRADICTION), "__asked": units(q), "__stripped": s,
+        "__many": F.size(C.all_of(t, C.LOOSE_NUMBER)) >= MANY_NUMBERS,
+    })
+    x = x.withColumn("__failed", (F.col("__parsed") == "") | ~F.col("__stripped").rlike("[0-9,]"))
+    s, parsed, failed, asked = F.col("__stripped"), F.col("__parsed"), F.col("__failed"), F.col("__asked")
+    marked, unsure, contrary = F.col("__marked"), F.col("__unsure"), F.col("__contrary")
+    plain = ~failed & ~C.mentions(s, "answer:|final answer") & ~s.rlike(r"^-?[0-9,]+(?:\.[0-9]*)?$")
+    signals = {
         "final_answer_missing_or_unclear": failed | (~marked & plain) | (s == ""),
         "target_mismatch_suspected": C.mentions(q, TARGET) & ~marked & contrary,
         "impossible_value_suspected": F.startswith(parsed, F.lit("-")) & ~C.word(q, NEGATIVE_WORDS),
         "unit_mismatch_suspected": (F.size(asked) > 0) & ~F.arrays_overlap(asked, units(t)),
-        "too_many_intermediate_numbers_without_clear_final": (F.size(C.all_of(t, C.LOOSE_NUMBER)) >= MANY_NUMBERS) & ~marked,
+        "too_many_intermediate_numbers_without_clear_final": F.col("__many") & ~marked,
         "uncertainty_phrase_present": unsure,
         "parse_failure": failed,
         "malformed_output": (s == "") | ((F.length(s) <= 2) & failed),
         "contradiction_like_phrase_present": contrary,
     }
-    sure = ("uncertainty_phrase_present", "contradiction_like_phrase_present")
+    x = x.withColumns({f"__v_{k}": c for k, c in signals.items()})
+    v = {k: F.col(f"__v_{k}") for k in signals}
     revise = (contrary | unsure) & ~marked
-    for k, c in out.items():
-        revise = revise if k in sure else revise | c
-    severe = failed | out["malformed_output"] | (contrary & unsure & ~marked) | (out["too_many_intermediate_numbers_without_clear_final"] & out["final_answer_missing_or_unclear"])
-    return out | {"revise_recommended": revise, "severe_instability": severe}
+    for k in signals:
+        revise = revise if k in ("uncertainty_phrase_present", "contradiction_like_phrase_present") else revise | v[k]
+    severe = failed | v["malformed_output"] | (contrary & unsure & ~marked) | (v["too_many_intermediate_numbers_without_clear_final"] & v["final_answer_missing_or_unclear"])
+    out = F.struct(*[c.alias(k) for k, c in v.items()], revise.alias("revise_recommended"), severe.alias("severe_instability"))
+    return x.withColumn(name, out).drop("__parsed", "__marked", "__unsure", "__contrary", "__asked", "__stripped", "__many", "__failed", *[f"__v_{k}" for k in signals])
 
 
 def violation_policies(df: DataFrame, question: str, output: str) -> DataFrame:
     """df with `violation` (signals), `violation_action` (any signal that counts) and `weighted_action` (their weighted
     sum), the second and third policy."""
-    x = df.withColumn("violation", F.struct(*[c.alias(k) for k, c in violations(F.col(question), F.col(output)).items()]))
+    x = with_violations(df, question, output)
     v = F.col("violation")
     score, _ = weighted_score({k: v[k] for k in VIOLATION_WEIGHTS}, VIOLATION_WEIGHTS)
     action = F.when(v["revise_recommended"], "direct_plus_revise").otherwise("reasoning_greedy")
-    return x.withColumns({"violation_action": action, "violation_score": score, "weighted_action": revise_if(score, VIOLATION_THRESHOLD)})
+    x = x.withColumns({"violation_action": action, "violation_score": score})
+    return x.withColumn("weighted_action", revise_if(F.col("violation_score"), VIOLATION_THRESHOLD))
 
 
 def role_policies(df: DataFrame, question: str, output: str, answer: str) -> DataFrame:
@@ -174,13 +180,14 @@ def answer_error_policies(df: DataFrame, question: str, output: str) -> DataFram
 
     lacks = ["possible_intermediate_stop_suspected", "required_subtractive_number_missing", "required_additive_number_missing", "required_rate_number_missing", "required_capacity_number_missing"]
     short = F.size(C.all_of(F.col("__text"), r"(?U)\b\w+\b")) <= SHORT_REASONING
-    warning = r["n_missing"] + sum((r[k].cast("int") for k in lacks), F.lit(0)) + short.cast("int")
-    check = candidate_consistency(F.col(question), a)
+    warnings = r["n_missing"] + sum((r[k].cast("int") for k in lacks), F.lit(0)) + short.cast("int")
+    x, check = C.staged(x, "check", candidate_consistency(F.col(question), a))
     signals = {k: c[k] for k in ANSWER_WEIGHTS if k.endswith("_suspected")} | {
         "answer_type_mismatch_suspected": c["answer_type_mismatch_suspected"] & ~kind, "parse_failure_numeric_expected": (a == "") & numeric,
     } | {f"consistency_{k}": v & (a != "") & numeric for k, v in check.items()}
-    score, names = weighted_score(signals, ANSWER_WEIGHTS)
-    x = x.withColumns({"explanation_warning_score": warning, "answer_error_score": score, "answer_error_signals": F.array_sort(names)})
+    x = x.withColumns({f"__v_{k}": v for k, v in signals.items()} | {"explanation_warning_score": warnings})
+    score, names = weighted_score({k: F.col(f"__v_{k}") for k in signals}, ANSWER_WEIGHTS)
+    x = x.withColumns({"answer_error_score": score, "answer_error_signals": F.array_sort(names)}).drop(*[f"__v_{k}" for k in signals])
     x = x.withColumn("trust", _trust(kind, F.col("answer_error_score")))
     warning, error = F.col("explanation_warning_score"), F.col("answer_error_score")
     combined = "explanation_pressure_plus_low_trust_plus_moderate_answer_error"
@@ -201,10 +208,11 @@ def answer_error_policies(df: DataFrame, question: str, output: str) -> DataFram
     }
     late = {k: F.coalesce(v, F.lit(False)) for k, v in late.items()}
     unsure = ~_trusted(F.col("trust")) & (kind | (warning >= LOW_CONFIDENCE_WARNING))
-    x = x.withColumn("late", F.struct(*[v.alias(k) for k, v in late.items()], unsure.alias("low_confidence_escalate")))
+    x, v = C.staged(x, "late", late | {"low_confidence_escalate": unsure})
+    x = x.withColumn("late", F.struct(*[c.alias(k) for k, c in v.items()]))
     x = x.withColumn("late_error_score", error + weighted_score({k: F.col("late")[k] for k in late}, LATE_WEIGHTS)[0])
     x = x.withColumn("late_trust", _trust(kind, F.col("late_error_score")))
     reason = F.when(F.col("late_error_score") >= ANSWER_ERROR, "answer_error_high").when(F.col("late")["low_confidence_escalate"], "late_low_confidence").when(pressed(F.col("late_error_score"), "late_trust"), combined).otherwise("no_escalation")
     x = x.withColumn("late_revise_reason", reason)
     act = lambda k: F.when(F.col(k) == "no_escalation", "reasoning_greedy").otherwise("direct_plus_revise")
-    return x.withColumns({"answer_error_action": act("revise_reason"), "late_action": act("late_revise_reason")}).drop("__text", "__answer", "__final", "__value")
+    return x.withColumns({"answer_error_action": act("revise_reason"), "late_action": act("late_revise_reason")}).drop("__text", "__answer", "__final", "__value").transform(C.unstaged, "check", "late")

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routeloom.functions import answers as A
+from routeloom.functions import consistency as C
 from routeloom.functions import text as T
-from routeloom.operators import allocation, analysis, learned, outcomes, routing, statistics, sweeps
+from routeloom.operators import allocation, analysis, learned, outcomes, policies, routing, statistics, sweeps
 from routeloom.plans import inputs as I
 from routeloom.sources import writers
 from routeloom.streaming.metrics import windowed_outcomes
@@ -357,6 +358,84 @@ def rule_policy(s, d):
     return o.select(k.alias("question_id"), routing.first_action(n, w, multi).alias("first"), a.alias("action"))
 
 
+def _struct(df: DataFrame, name: str, drop: tuple = ()) -> DataFrame:
+    """question_id and the fields of a struct, arrays joined to text."""
+    kept = [f for f in df.schema[name].dataType if f.name not in drop]
+    text = lambda f: F.array_join(F.col(name)[f.name], "|") if f.dataType.typeName() == "array" else F.col(name)[f.name]
+    return df.select("question_id", *[text(f).alias(f.name) for f in kept])
+
+
+def question_profiles(s, d):
+    w = I.word_problems(s, d)
+    return _struct(w.select("question_id", F.struct(*[c.alias(k) for k, c in C.question_profile(F.col("q")).items()]).alias("p")), "p")
+
+
+def constraint_flags(s, d):
+    w = I.word_problems(s, d).withColumn("answer", F.lit(None).cast("string"))
+    return _struct(C.with_constraints(w, "q", "t", "answer"), "constraint", ("profile", "parsed_answer"))
+
+
+def number_records(s, d):
+    w = C.with_roles(I.word_problems(s, d), "q")
+    r = w.select("question_id", F.posexplode("roles").alias("position", "r"))
+    return r.select("question_id", "position", *[F.col("r")[k].alias(k) for k in ("surface", "value", "source", "sentence_index", "context", "unit", "role", "confidence", "required", "strong", "target_relation")])
+
+
+def role_coverage(s, d):
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
+    return _struct(C.with_role_coverage(w, "q", "t", "answer"), "role")
+
+
+def role_cue_counts(s, d):
+    w = I.word_problems(s, d)
+    return w.select("question_id", C.local_role(F.col("q")).alias("role"), *[F.size(c).alias(f"n_{k}") for k, c in C.role_cues(F.col("q")).items()], F.size(C.number_words(F.col("q"))).alias("n_words"))
+
+
+def self_verification(s, d):
+    w = I.word_problems(s, d)
+    return w.select("question_id", *[c.alias(k) for k, c in C.self_verification(F.col("t"), F.lit(None).cast("string")).items()])
+
+
+def selective_prediction(s, d):
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t"))).withColumn("passes", F.array("answer", F.lit(""), F.when(F.col("question_id") % 3 == 0, "7").otherwise(F.col("answer"))))
+    return w.select("question_id", *[c.alias(k) for k, c in C.selective_prediction(F.col("t"), F.col("answer"), F.col("passes")).items()])
+
+
+def step_verification(s, d):
+    return _struct(C.with_steps(I.word_problems(s, d), "q", "t"), "step")
+
+
+def unified_error(s, d):
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
+    return C.with_unified_error(w, "q", "t", "answer").select("question_id", F.round("unified_error_score", 6).alias("error"), F.round("unified_confidence_score", 6).alias("confidence"))
+
+
+def violation_signals(s, d):
+    w = policies.violation_policies(I.word_problems(s, d), "q", "t")
+    return w.select("question_id", "violation.*", "violation_action", "violation_score", "weighted_action")
+
+
+def constraint_and_role_policies(s, d):
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
+    return policies.role_policies(w, "q", "t", "answer").select("question_id", "constraint_score", "constraint_action", "role_decision", "role_action", "unified_decision", "unified_action")
+
+
+def answer_error_policies(s, d):
+    w = policies.answer_error_policies(I.word_problems(s, d), "q", "t")
+    return w.select("question_id", "parsed", "categorical", "explanation_warning_score", "answer_error_score", F.array_join("answer_error_signals", "|").alias("signals"), "trust", "revise_reason", "answer_error_action", "late_error_score", "late_revise_reason", "late_action")
+
+
+def candidate_consistency(s, d):
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
+    return w.select("question_id", *[c.alias(k) for k, c in policies.candidate_consistency(F.col("q"), F.col("answer")).items()])
+
+
+def math_answers(s, d):
+    t = _answer_text(s, d)
+    wrapped = F.when(F.col("k") < 3, F.concat(F.lit("So \\boxed{"), "price", F.lit("}."))).when(F.col("k") < 6, F.concat(F.lit("Thus the answer is $"), "price", F.lit("$"))).otherwise(F.concat(F.lit("Sum\n"), "price"))
+    return t.select("question_id", A.math_answer(wrapped).alias("answer"))
+
+
 NAMES = [
     "policy_comparison", "confidence_sweep", "operating_point", "budget_curve", "cost_ratio_sensitivity", "nearest_point", "outcome_breakdown", "policy_efficiency", "policy_ranking",
     "escalation_decisions", "token_router", "ranked_escalation", "weighted_signals", "question_features", "target_features", "first_pass_features", "question_hardness", "numeric_answers",
@@ -365,5 +444,7 @@ NAMES = [
     "candidate_rows", "candidate_utility", "greedy_upgrade", "knapsack", "lambda_search", "equal_shares", "robust_curves", "paired_bootstrap", "hard_selection", "class_balance",
     "event_windows", "out_of_fold", "learned_tree", "learned_forest", "learned_boosting",
     "feature_contrast", "univariate_summary", "level_distribution", "gain_table", "dataset_checks", "compare_datasets", "token_grid", "token_grid_choice", "best_gini_split", "budgeted_escalation", "rule_policy",
+    "question_profiles", "constraint_flags", "number_records", "role_coverage", "role_cue_counts", "self_verification", "selective_prediction", "step_verification", "unified_error",
+    "violation_signals", "constraint_and_role_policies", "answer_error_policies", "candidate_consistency", "math_answers",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

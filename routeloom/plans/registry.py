@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from routeloom.plans import policy_sql, sql
 from routeloom.plans.queries import QUERIES
-from routeloom.plans.sql import ORACLE_SQL
 
+ORACLE_SQL = sql.ORACLE_SQL | policy_sql.ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -161,3 +161,4 @@ ORACLE_SQL["rule_policy"] = """WITH x AS (SELECT o_orderkey AS question_id, o_or
   SELECT question_id, CASE WHEN n <= 2 AND NOT multi AND w <= 35 THEN 'direct_greedy' ELSE 'reasoning_greedy' END AS first,
   CASE WHEN NOT (unstable OR many) THEN 'reasoning_greedy' WHEN (n >= 4 OR (multi AND w >= 60)) AND failed THEN 'strong_direct'
    WHEN (n >= 4 OR (multi AND w >= 60)) AND many THEN 'reasoning_best_of_3' ELSE 'direct_plus_revise' END AS action FROM x"""
+ORACLE_SQL["math_answers"] = f"SELECT o_orderkey AS question_id, {_CLEAN} AS answer FROM orders"

@@ -158,3 +158,69 @@ def test_core_stands_without_training_data_operators():
             for n in ast.walk(ast.parse(p.read_text())):
                 if isinstance(n, ast.ImportFrom):
                     assert "llm" not in (n.module or "").split(".")
+
+
+def test_consistency_edge_cases(spark):
+    from routeloom.functions import consistency as C
+    from routeloom.operators import policies as P
+
+    long = "He has 5 pens. " * 2000
+    x = spark.createDataFrame([(1, None, None, None), (2, "", "", ""), (3, long, "Final answer: 5", "5"), (4, "Half of 1,200 is left. How many remain?", "So 600.\nAnswer: 600", "600")], "question_id int, q string, t string, a string")
+    for f in (lambda d: C.with_unified_error(d, "q", "t", "a"), lambda d: P.violation_policies(d, "q", "t"), lambda d: P.role_policies(d, "q", "t", "a"), lambda d: P.answer_error_policies(d, "q", "t")):
+        rows = {r.question_id: r for r in f(x).collect()}
+        assert set(rows) == {1, 2, 3, 4}
+        assert not [c for c in f(x).columns if c.startswith("__")]
+        assert not f(x.limit(0)).collect()
+        assert [v for k, v in rows[1].asDict().items() if k not in ("question_id", "q", "t", "a")] == [v for k, v in rows[2].asDict().items() if k not in ("question_id", "q", "t", "a")] or "constraint" in f(x).columns
+
+
+def test_number_roles(spark):
+    from routeloom.functions import consistency as C
+
+    q = "Ann had 12 pens and lost 3. Twice she bought half a dozen! What is left?"
+    r = C.with_roles(spark.createDataFrame([(q,)], "q string"), "q").first()["roles"]
+    assert [(x["surface"], x["value"], x["source"], x["sentence_index"]) for x in r] == [
+        ("12", 12.0, "numeric_literal", 0), ("3", 3.0, "numeric_literal", 0), ("twice", 2.0, "multiplicative_word", 1), ("half", 0.5, "fraction_word", 1), ("dozen", 12.0, "multiplicative_word", 1),
+    ]
+    assert [x["role"] for x in r] == ["subtract", "subtract", "add", "add", "add"]
+    assert all(x["required"] for x in r) and [x["strong"] for x in r] == [True] * 5
+    assert r[1]["context"] == "Ann had 12 pens and lost 3."
+
+
+def test_role_coverage_decides(spark):
+    from routeloom.functions import consistency as C
+
+    rows = [("Ann had 12 pens and lost 3. How many are left?", "12 - 3 = 9. Final answer: 9", "9"), ("Ann had 12 pens and lost 3. How many are left?", "Final answer: 12", "12")]
+    got = [r["role"] for r in C.with_role_coverage(spark.createDataFrame(rows, "q string, t string, a string"), "q", "t", "a").collect()]
+    assert [(r["n_required"], r["n_found"], r["calibrated_decision"]) for r in got] == [(2, 2, "no_escalation"), (2, 1, "strong_escalation_candidate")]
+
+
+def test_answer_error_policies(spark):
+    from routeloom.operators import policies as P
+
+    rows = [
+        (1, "Ann had 12 pens and lost 3. How many pens are left?", "12 - 3 = 9.\nFinal answer: 9"),
+        (2, "Ann had 12 pens and lost 3. How many pens are left?", "12 - 3 = 9.\nFinal answer: -9"),
+        (3, "On what day does it end?", "Final answer: Monday"),
+        (4, "On what day does it end?", "Final answer: 4"),
+        (5, "Bob has 3 of the $20. How much more does he need?", "Final answer: 20"),
+    ]
+    got = {r.question_id: r for r in P.answer_error_policies(spark.createDataFrame(rows, "question_id int, q string, t string"), "q", "t").collect()}
+    assert [got[i].parsed for i in range(1, 6)] == ["9", "-9", "Monday", "4", "20"]
+    assert [got[i].answer_error_action for i in (1, 2)] == ["reasoning_greedy", "direct_plus_revise"]
+    assert got[2].trust == "hard_constraint_violation"
+    assert got[3].categorical and got[3].late_action == "reasoning_greedy"
+    assert got[4].late["weekday_question_numeric_final"] and got[4].late_action == "direct_plus_revise"
+    assert got[5].late["need_more_answer_equals_list_price"]
+
+
+def test_normalised_numbers(spark):
+    from routeloom.functions.answers import math_answer, normalized_number, numeric_answer
+
+    x = spark.createDataFrame([(v,) for v in ("72.0", "007", "$1,200.50", "100", "0.5", "-3.", "000", "1.000", "", None)], "v string")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in x.select(normalized_number(F.col("v"))).collect()] == ["72", "7", "1200.5", "100", "0.5", "-3", "0", "1", "", None]
+    t = spark.createDataFrame([("Therefore, we get\n5 pens",), ("a\nb 7\nc\nd\ne",), (None,), ("\\boxed{\\frac{1}{2}} so 3",)], "t string")
+    assert [tuple(r) for r in t.select(numeric_answer(F.col("t")), math_answer(F.col("t"))).collect()][:3] == [("5", ",weget"), ("7", "e"), ("", "")]
+    assert t.select(math_answer(F.col("t"))).collect()[3][0] == "\\frac{1}{2}"
