@@ -7,6 +7,8 @@ bad hosts is suspect. A host is blocked if its distrust exceeds `ratio` times it
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,12 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(kind, host, rank) for seeds (kind, host, mass) over links (kind, src, dst, weight), each kind on its own.
 
     rank = (1 - damping) * seed + damping * (what arrives by links + the seed's part of what hosts without links hold).
-    Masses are scaled to 1 for each kind. Ends after `rounds`, or once ranks move by less than the tolerance in all.
+    Masses are scaled to 1 for each kind. Ends once ranks move by less than the tolerance in all, or after `rounds` if
+    given. Every round shrinks the movement by the damping at least, so the tolerance holds after some 90 rounds.
     Without links the ranks are the seeds, as all mass returns to them.
     """
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
@@ -58,7 +61,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     rank = seed.select("kind", "host", F.col("seed").alias("rank"))
     if share.limit(1).count() == 0:
         return rank
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         sent = rank.join(share, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         kept = sent.groupBy("kind").agg(F.sum("got").alias("moved"))
         back = seed.join(kept, "kind", "left").select("kind", "host", (F.col("seed") * (1 - damping * F.coalesce("moved", F.lit(0.0)))).alias("base"))

@@ -219,6 +219,15 @@ def test_pagerank_against_brute_force(spark):
     assert all(abs(got.get(h, 0) - r[i]) < 1e-6 for i, h in enumerate(hosts)) and abs(sum(got.values()) - 1) < 1e-9
 
 
+def test_pagerank_reaches_far_hosts_by_default(spark):
+    """A chain of 25 links from the only seed: the defaults of the query, no round given."""
+    seeds = spark.createDataFrame([("trust", "h0", 1.0)], "kind string, host string, mass double")
+    links = spark.createDataFrame([("trust", f"h{i}", f"h{i + 1}", 1.0) for i in range(25)], "kind string, src string, dst string, weight double")
+    got = {r.host: r["rank"] for r in urls.propagate(seeds, links).collect()}
+    first = 0.15 / (1 - 0.85**26)  # ranks fall by the damping along the chain, and add up to 1
+    assert len(got) == 26 and all(abs(got[f"h{i}"] - first * 0.85**i) < 1e-5 for i in range(26))
+
+
 def test_search_cases(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((1500, 24)) * rng.uniform(0.5, 2, (1500, 1))
