@@ -1,7 +1,8 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice, and lossless decoding.
 
-A text is a dummy prefix space and its words, each word with the space before it (U+2581 in the model). A word's
-lattice has an edge for each vocabulary piece that matches; characters without a piece have one edge through the
+A text is a dummy prefix space and its words, each word with the whole run of spaces before it (U+2581 in the model), so
+that pieces of several spaces are edges; no piece of the model has a space after another character. A word's lattice has
+an edge for each vocabulary piece that matches; characters without a piece have one edge through the
 UTF-8 byte pieces. A piece with rank r has the weight ((r + 10) * H) ** -sharpness. Forward filtering gives the total
 weight of all paths to each position; backward sampling draws, from the end, an edge with the probability of all paths
 through it. The draws come from a counter-based generator over (seed, row key, word, step), so a row's segmentation
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,7 @@ SPACE, MASKED = 0x2581, 0x110000
 #: Lattice states kept between batches, at most; beyond, the table starts anew.
 KEPT_STATES = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r" +[^ ]*")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +127,8 @@ class Lattices:
         self.first, self.cum, self.piece, self.prev = none, none.astype(np.float32), none, none
 
     def add(self, words: list[str]):
-        """Forward filtering of new words, all at once: depth by depth, in logarithms."""
+        """Forward filtering of new words, all at once: depth by depth, in logarithms. A word has the spaces of its run
+        but the first, which every word has."""
         words = sorted(words, key=len, reverse=True)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -132,7 +136,7 @@ class Lattices:
         full = np.full(int(lengths.sum()), SPACE, np.int64)
         inner = np.ones(len(full), bool)
         inner[offs] = False
-        full[inner] = np.where(cps == SPACE, MASKED, cps)
+        full[inner] = np.where(cps == SPACE, MASKED, np.where(cps == 32, SPACE, cps))
         word = np.repeat(np.arange(len(words)), lengths)
         depth = np.arange(len(full)) - offs[word]
         start, n, piece = self.v.matches(full, lengths[word] - depth)
@@ -198,9 +202,16 @@ class Lattices:
         return edge
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text with the dummy prefix, each with the spaces before it but one."""
+    if "  " not in text and not text.startswith(" "):
+        return text.split(" ") if text else []
+    return [w[1:] for w in _WORD.findall(" " + text)]
+
+
 def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of the sampled segmentations of some texts; keys: a 64-bit number for each."""
-    parts = [t.split(" ") if t else [] for t in texts]
+    parts = [split_words(t) for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
     words = [w for p in parts for w in p]
     if not words:

@@ -82,6 +82,36 @@ def test_pieces_sample_the_lattice():
         assert abs(seen.get(p, 0) / n - w / total) < 0.012
 
 
+def test_pieces_sample_runs_of_spaces():
+    """As above over whole texts with runs of spaces: in front, between words and at the end."""
+    v = pieces.Vocabulary(pieces.read_model(pieces.MODEL), 0.3)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    by_text = {sp.id_to_piece(i): i for i in range(sp.get_piece_size())}
+    n = 40_000
+    for text in ("a   b", " a", "if  ", "  "):
+        whole, paths = "▁" + text.replace(" ", "▁"), {}
+
+        def walk(at, ids, logw):
+            if at == len(whole):
+                paths[tuple(ids)] = np.exp(logw)
+            for end in range(at + 1, len(whole) + 1):
+                if whole[at:end] in by_text:
+                    i = by_text[whole[at:end]]
+                    walk(end, [*ids, i], logw + v.log_weight[i])
+
+        walk(0, [], 0.0)
+        total, seen = sum(paths.values()), {}
+        with np.errstate(over="ignore"):
+            ends, ids = pieces.sample_batch(pieces.Lattices(v), [text] * n, np.arange(n).astype(np.uint64))
+        for a, b in zip(ends[:-1], ends[1:]):
+            seen[tuple(ids[a:b].tolist())] = seen.get(tuple(ids[a:b].tolist()), 0) + 1
+        assert set(seen) <= set(paths) and any("▁▁" in sp.id_to_piece(i) for p in seen for i in p)
+        for p, w in paths.items():
+            assert abs(seen.get(p, 0) / n - w / total) < 0.012
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_best_fit_decreasing(sizes):
