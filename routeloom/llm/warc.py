@@ -9,9 +9,11 @@ payloads isn't on it.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gzip
 import hashlib
+import io
 import re
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ from routeloom.llm.common import bounded_batches, scratch_path, table
 
 #: Bytes of payload per archive file, about.
 FILE_BYTES = 16 << 20
+#: Names of archive files: those that Spark writes, and the usual ones.
+FILES = "{part-*,*.warc,*.warc.gz}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,7 +91,8 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 
 def _named(v: str | None) -> str | None:
-    return v[len("<urn:page:") : -1] or None if v and v.startswith("<urn:page:") else None
+    """A record id as it stands; of those written here, the row's id."""
+    return (v[len("<urn:page:") : -1] if v and v.startswith("<urn:page:") else v) or None
 
 
 def candidates(data: bytes):
@@ -105,7 +110,8 @@ def candidates(data: bytes):
         if data[stop : stop + 4] != b"\r\n\r\n":
             continue
         block = memoryview(data)[end + 4 : stop]
-        body = data.find(b"\r\n\r\n", end + 4, stop)
+        is_http = h.get("content-type", "").partition(";")[0].strip().lower() == "application/http"
+        body = data.find(b"\r\n\r\n", end + 4, stop) if is_http else -1
         kind = h.get("warc-type")
         if body < 0:
             http, payload = {}, block
@@ -138,10 +144,11 @@ def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, pattern: str = FILES) -> DataFrame:
     """The records of all archive files in a folder: file, at, id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-    Length and digest are of the payload as read; a revisit's are those that it states. A file is one task's unit (up to
+    Files are those whose name fits the pattern. Ids of records not written here are given as they stand. The payload of
+    an application/http block is what follows its HTTP header; any other block is payload as a whole. Length and digest are of the payload as read; a revisit's are those that it states. A file is one task's unit (up to
     spark.sql.files.maxPartitionBytes of files a task); its candidates, not its bytes, are shuffled. What follows a
     break in the chain isn't reached. Repeated records are all kept.
     """
@@ -160,17 +167,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         return rows[reachable(rows["at"].to_numpy(), rows["next"].to_numpy())].astype({"payload_bytes": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     return files.mapInArrow(scan, _CANDIDATE).groupBy("file").applyInPandas(chain, _CANDIDATE).drop("next")
 
 
 def _gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
+    """All members of a gzip file; of a truncated one, what is there."""
     out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f, contextlib.suppress(EOFError):
+        while part := f.read1(1 << 20):
+            out.append(part)
     return b"".join(out)
 
 

@@ -253,7 +253,7 @@ def knapsack(s, d):
 def lambda_search(s, d):
     c = I.candidates(s, d)
     budget = 12.0 * c.select("prompt_id").distinct().count()
-    return allocation.lambda_search(c, budget, rounds=12, top=1.0)[0]
+    return allocation.lambda_search(c, budget)[0]
 
 
 def equal_shares(s, d):

@@ -172,6 +172,20 @@ def test_warc_round_trip_with_magic_inside(spark, tmp_path):
     assert small == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    def record(kind, ident, content_type, block):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {ident}\r\nContent-Type: {content_type}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    text = b"first part\r\n\r\nsecond part"
+    made = [record("warcinfo", "<urn:uuid:i>", "application/warc-fields", text), record("resource", "<urn:uuid:r>", "text/plain", text), record("response", "<urn:uuid:h>", "Application/HTTP;msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + text)]
+    (tmp_path / "a.warc").write_bytes(b"".join(made))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    (tmp_path / "c.txt").write_bytes(made[0])
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert Counter((r.file[-1], r.id, r.record_type, r.payload_bytes, r.payload_digest) for r in got) == Counter((f, i, k, len(text), b32(text)) for f in "cz" for i, k in (("<urn:uuid:i>", "warcinfo"), ("<urn:uuid:r>", "resource"), ("<urn:uuid:h>", "response")))
+    assert warc.read_archives(spark, str(tmp_path), "*.txt").count() == 1
+
+
 def test_pointer_jumping():
     rng = random.Random(4)
     for _ in range(50):
