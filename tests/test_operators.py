@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import answers, text
 from routeloom.operators import allocation, learned, outcomes, statistics, sweeps
+from routeloom.plans import queries
 from routeloom.sources import readers, writers
 from routeloom.streaming.metrics import windowed_outcomes
 
@@ -78,6 +79,15 @@ def test_lambda_search(spark):
     assert not feasible and chosen.count() == 2
 
 
+def test_lambda_search_query_parts_close_prices(spark, tmp_path):
+    """Switch prices 0.2/19 and 0.21/20 are 2.6e-5 apart; the budget of 24 pays for the first one's dearer action."""
+    rows = [(1, 1, 1.0, 0), (1, 2, 20.0, 20), (2, 1, 1.0, 0), (2, 2, 21.0, 21)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_partkey long").selectExpr("*", "1L AS l_suppkey")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.prompt_id, r.action_name, r.action_cost) for r in queries.lambda_search(spark, str(tmp_path)).collect()}
+    assert got == {(1, "a2", 20.0), (2, "a1", 1.0)}
+
+
 def test_votes(spark):
     rows = [(1, "b", 0), (1, "a", 1), (2, "", 0), (2, "", 1), (2, "x", 2), (3, None, 0), (4, "b", 0), (4, "a", 1), (4, "a", 2)]
     v = spark.createDataFrame(rows, "q long, answer string, pos long")
