@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from routeloom.operators.outcomes import ratio
 
@@ -95,16 +97,25 @@ def best_gini_split(rows: DataFrame, features: list[str], label: str) -> DataFra
 def budgeted_escalation(rows: DataFrame, instance: str, key: str) -> DataFrame:
     """(instance, key, samples) for rows (instance, key, score, want, budget): one sample each, then by falling score (ties
     by key) `want` more where they still fit; one that doesn't fit is passed over and later ones are tried. Instances are
-    solved side by side."""
+    solved side by side; each streams through in order, and a task holds only the budget left."""
     kinds = dict(rows.dtypes)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", key], ascending=[False, True])
-        left, out = int(p["budget"].iloc[0]) - len(p), []
-        for want in p["want"]:
-            take = int(want) if want <= left else 0
-            left -= take
-            out.append(1 + take)
-        return pd.DataFrame({instance: p[instance], key: p[key], "samples": out})
-
-    return rows.groupBy(instance).applyInPandas(run, f"{instance} {kinds[instance]}, {key} {kinds[key]}, samples int")
+    schema = StructType.fromDDL(f"{instance} {kinds[instance]}, {key} {kinds[key]}, samples int")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        current, left, begun = None, 0, False
+        for b in batches:
+            samples = []
+            for i, want, budget, n in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+                if not begun or i != current:
+                    current, left, begun = i, int(budget) - n, True
+                take = int(want) if want is not None and want <= left else 0
+                left -= take
+                samples.append(1 + take)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(samples, pa.int32())], schema=arrow)
+
+    sizes = rows.groupBy(F.col(instance).alias("__i")).agg(F.count(F.lit(1)).alias("__n"))
+    score = F.when(~F.isnan(F.col("score").cast("double")), F.col("score"))
+    x = rows.join(sizes, F.col(instance).eqNullSafe(F.col("__i"))).select(instance, key, F.col(instance).alias("__i"), "want", "budget", "__n", score.alias("__score"))
+    ordered = x.repartition(F.col(instance)).sortWithinPartitions(instance, F.desc_nulls_last("__score"), F.asc_nulls_last(key))
+    return ordered.mapInArrow(run, schema)

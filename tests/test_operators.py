@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.functions import answers, text
-from routeloom.operators import allocation, learned, outcomes, statistics, sweeps
+from routeloom.operators import allocation, analysis, learned, outcomes, statistics, sweeps
 from routeloom.plans import queries
 from routeloom.sources import readers, writers
 from routeloom.streaming.metrics import windowed_outcomes
@@ -88,6 +88,26 @@ def test_lambda_search_query_parts_close_prices(spark, tmp_path):
     assert got == {(1, "a2", 20.0), (2, "a1", 1.0)}
 
 
+def test_budgeted_escalation_streams(spark):
+    """A plain pass over each instance, with one instance of most rows, ties, a null instance and missing scores."""
+    rng = random.Random(3)
+    rows = [(None if k % 11 == 0 else int(k % 7 == 0), k, [None, float("nan"), 1.0, 2.0, 3.0][rng.randrange(5)], rng.randint(1, 3)) for k in range(400)]
+    budget = {None: 60, 0: 500, 1: 20}
+    d = spark.createDataFrame([(*r, budget[r[0]]) for r in rows], "i long, k long, score double, want int, budget int").repartition(5)
+    out = analysis.budgeted_escalation(d, "i", "k")
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan  # no instance is held as a whole
+    want = {}
+    for i, b in budget.items():
+        own = [r for r in rows if r[0] == i]
+        left = b - len(own)
+        for _, k, _, w in sorted(own, key=lambda r: (-(r[2] if r[2] is not None and r[2] == r[2] else -1.0), r[1])):
+            take = w if w <= left else 0
+            left -= take
+            want[k] = (i, 1 + take)
+    assert {r.k: (r.i, r.samples) for r in out.collect()} == want
+
+
 def test_votes(spark):
     rows = [(1, "b", 0), (1, "a", 1), (2, "", 0), (2, "", 1), (2, "x", 2), (3, None, 0), (4, "b", 0), (4, "a", 1), (4, "a", 2)]
     v = spark.createDataFrame(rows, "q long, answer string, pos long")
