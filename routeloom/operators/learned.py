@@ -1,4 +1,4 @@
-"""Learned routers on pyspark.ml: logistic and tree models, out-of-fold predictions, calibration, thresholds."""
+"""Learned routers on pyspark.ml: logistic and tree models, out-of-fold predictions."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Sizes are those of the reference's hybrid registry.
 MODELS = {
     "logistic": lambda: LogisticRegression(regParam=0.01, weightCol="weight"),
-    "tree": lambda: DecisionTreeClassifier(maxDepth=4, weightCol="weight", seed=42),
-    "random_forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, weightCol="weight", seed=42),
-    "bagging": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, featureSubsetStrategy="all", weightCol="weight", seed=42),
-    "boosting": lambda: GBTClassifier(maxIter=10, maxDepth=3, weightCol="weight", seed=42),
+    "tree": lambda: DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=2, weightCol="weight", seed=42),
+    "random_forest": lambda: RandomForestClassifier(numTrees=300, maxDepth=8, minInstancesPerNode=2, weightCol="weight", seed=42),
+    "bagging": lambda: RandomForestClassifier(numTrees=200, maxDepth=6, minInstancesPerNode=2, featureSubsetStrategy="all", weightCol="weight", seed=42),
+    "boosting": lambda: GBTClassifier(maxIter=200, stepSize=0.05, maxDepth=3, weightCol="weight", seed=42),
 }
 
 

@@ -286,21 +286,16 @@ def event_windows(s, d):
     return windowed_outcomes(e)
 
 
-def out_of_fold(s, d):
-    o = I.outcomes(s, d).withColumn("label0", ((F.col("rg") == 0) & (F.col("dpr") == 1)).cast("int"))
-    return learned.out_of_fold(o, "logistic", "question_id", ["confidence", "error", "tokens"], "label0")
-
-
-def _tree(name):
+def _out_of_fold(name):
     def q(s, d):
         o = I.outcomes(s, d).withColumn("label0", ((F.col("rg") == 0) & (F.col("dpr") == 1)).cast("int"))
-        p = learned.out_of_fold(o, name, "question_id", ["confidence", "error", "tokens"], "label0", folds=2)
-        return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("probability") - F.col("label"), F.lit(2.0))).alias("brier"))
+        return learned.out_of_fold(o, name, "question_id", ["confidence", "error", "tokens"], "label0")
 
     return q
 
 
-learned_tree, learned_forest, learned_boosting = _tree("tree"), _tree("random_forest"), _tree("boosting")
+out_of_fold, learned_tree, learned_forest, learned_bagging, learned_boosting = map(_out_of_fold, ("logistic", "tree", "random_forest", "bagging", "boosting"))
+
 
 def feature_contrast(s, d):
     return analysis.feature_differences(group_feature_rates(s, d), "revise_only", "both")
@@ -442,7 +437,7 @@ NAMES = [
     "choice_answers", "boolean_answers", "text_answers", "calibration", "majority_vote_first", "majority_vote_least", "oracle_labels", "best_utility", "pivot_outcomes", "pairwise_wins",
     "disagreement", "label_distribution", "binary_metrics", "group_feature_rates", "signal_firing", "stratified_split", "assembled", "missed_revise", "regime_union", "argmax_actions",
     "candidate_rows", "candidate_utility", "greedy_upgrade", "knapsack", "lambda_search", "equal_shares", "robust_curves", "paired_bootstrap", "hard_selection", "class_balance",
-    "event_windows", "out_of_fold", "learned_tree", "learned_forest", "learned_boosting",
+    "event_windows", "out_of_fold", "learned_tree", "learned_forest", "learned_bagging", "learned_boosting",
     "feature_contrast", "univariate_summary", "level_distribution", "gain_table", "dataset_checks", "compare_datasets", "token_grid", "token_grid_choice", "best_gini_split", "budgeted_escalation", "rule_policy",
     "question_profiles", "constraint_flags", "number_records", "role_coverage", "role_cue_counts", "self_verification", "selective_prediction", "step_verification", "unified_error",
     "violation_signals", "constraint_and_role_policies", "answer_error_policies", "candidate_consistency", "math_answers",

@@ -156,6 +156,23 @@ def test_one_class_folds(spark):
     assert {r.probability for r in learned.out_of_fold(d, "tree", "k", ["x"], "y").collect()} == {0.0}
 
 
+def test_learned_models_have_the_reference_sizes(spark):
+    made = {k: {p.name: v for p, v in m().extractParamMap().items()} for k, m in learned.MODELS.items()}
+    assert (made["tree"]["maxDepth"], made["tree"]["minInstancesPerNode"]) == (6, 2)
+    assert (made["random_forest"]["numTrees"], made["random_forest"]["maxDepth"], made["random_forest"]["minInstancesPerNode"]) == (300, 8, 2)
+    assert (made["bagging"]["numTrees"], made["bagging"]["maxDepth"], made["bagging"]["minInstancesPerNode"]) == (200, 6, 2)
+    assert (made["boosting"]["maxIter"], made["boosting"]["maxDepth"], made["boosting"]["stepSize"]) == (200, 3, 0.05)
+
+
+def test_learned_queries_give_predictions(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.learned_tree(spark, sf)
+    assert got.columns == ["question_id", "fold", "label", "probability"]
+    rows = got.collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/orders.parquet").count() and {r.fold for r in rows} == {0, 1, 2}
+    assert all(0 <= r.probability <= 1 for r in rows) and "learned_bagging" in queries.QUERIES
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "q.json").write_text('[{"question": "1+1", "answer": "so #### 1,002"}, {"question_id": "z", "problem": "p", "gold_answer": "3"}]')
     q = readers.questions(spark, str(tmp_path / "q.json")).collect()
