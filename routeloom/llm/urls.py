@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from routeloom.llm.common import bounded_batches, checkpointed, saved, table
 
-#: (verdict, host, path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Fixed values, those of the query's contract: (verdict, host, path)
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^(?:.*?)://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""

@@ -207,13 +207,60 @@ def test_urls_cases(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "url AS host", "html AS rule", "url AS verdict")
     got = {r.page_id: r for r in urls.judge(pages).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.com", "/en/70", "example.com/en/7", "allow")
-    assert (got[2].rule, got[2].verdict, got[4].rule, got[4].verdict) == ("com/en/", "block", "net/de/", "block")
+    assert (got[2].rule, got[2].verdict, got[4].rule, got[4].verdict) == ("com/en/", "block", "net/de/", "allow")  # xexample.net is no subdomain of example.net
     assert (got[5].host, got[5].path, got[5].rule, got[5].verdict) == ("", "", None, "allow") and got[6].host == ""
     assert got[8].verdict == "block" and got[8].distrust > 0 and got[8].rule is None  # it links to a blocked host
     assert got[10].verdict == "allow" and got[10].trust > 0 and got[7].path == ""
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_rules_are_those_of_the_contract(spark):
+    """Contract: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    cases = {"http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/8": ("net/de/", "allow"), "http://x.example.net/de/80": ("example.net/de/8", "block"), "http://example.net/de/9": ("net/de/", "allow"), "http://o.org/es/": ("org/es/", "block")}
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(cases)], "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages).collect()} == dict(enumerate(cases.values()))
+
+
+def test_judge_against_brute_force(spark):
+    """Whole verdicts, trust and distrust over linked pages, with the query's own parameters."""
+    rng = random.Random(11)
+    hosts = [f"h{i}.{tld}" for i in range(14) for tld in ("example.com", "net", "org")]
+    rows = []
+    for i in range(300):
+        links = "".join(f'<a href="https://{rng.choice(hosts[: 30])}/x{i}">' for _ in range(rng.choice([0, 0, 1, 3])))
+        rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randint(1, 99)}", links))
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    ruled, seeds, out = {}, {"allow": Counter(), "block": Counter()}, Counter()
+    for i, url, html in rows:
+        host, path = url[7:].split("/", 1)[0], "/" + url[7:].split("/", 1)[1]
+        fit = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        ruled[i] = (host, max(fit)[1] if fit else None)
+        if fit:
+            seeds[ruled[i][1]][host] += 1
+        for part in html.split('href="https://')[1:]:
+            out[(host, part.split("/")[0])] += part.split("/")[0] != host
+
+    def rank(seed, edges):
+        r0 = np.array([seed[h] for h in hosts], float) / sum(seed.values())
+        m = np.zeros((len(hosts), len(hosts)))
+        for (a, b), w in edges.items():
+            m[hosts.index(b), hosts.index(a)] += w
+        total = m.sum(0)
+        m /= np.where(total, total, 1)
+        r = r0.copy()
+        for _ in range(300):
+            r = 0.15 * r0 + 0.85 * (m @ r + r0 * r[total == 0].sum())
+        return dict(zip(hosts, r))
+
+    trust, distrust = rank(seeds["allow"], out), rank(seeds["block"], {(b, a): w for (a, b), w in out.items()})
+    assert len(got) == 300 and any(v is None for _, v in ruled.values())
+    for i, (host, v) in ruled.items():
+        assert abs(got[i].trust - trust[host]) < 1e-5 and abs(got[i].distrust - distrust[host]) < 1e-5
+        if abs(trust[host] - distrust[host]) > 1e-5:
+            assert got[i].verdict == (v or ("block" if distrust[host] > trust[host] else "allow"))
+
+
 def test_pagerank_against_brute_force(spark):
     rng = random.Random(6)
     hosts = [f"h{i}" for i in range(12)]
