@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from routeloom.llm import gif
 
@@ -95,8 +94,73 @@ def test_query_and_bad_media(spark):
     assert docs.limit(0).select(gif.gif_column("text").alias("m")).count() == 0
 
 
-def test_facts(spark):
-    p = gif.padded("abc")
-    r = spark.createDataFrame([(p,)], "s binary").select(gif.payload_facts("s").alias("f")).select("f.*").first()
-    assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (3, 576, zlib.crc32(p[-32:]))
-    assert F is not None
+def plain_reader(data):
+    """Samples of all frames of a GIF, read bit by bit with plain lists: independent of the module."""
+    at = 13 + (3 * (2 << (data[10] & 7)) if data[10] & 0x80 else 0)
+    out = b""
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+        else:
+            at += 10 + (3 * (2 << (data[at + 9] & 7)) if data[at + 9] & 0x80 else 0)
+            low, body, k = data[at], b"", at + 1
+            while data[k]:
+                body += data[k + 1 : k + 1 + data[k]]
+                k += 1 + data[k]
+            bits, pos = int.from_bytes(body, "little"), 0
+            clear, end, width, strings, before = 1 << low, (1 << low) + 1, low + 1, [], None
+            while True:
+                code = bits >> pos & ((1 << width) - 1)
+                pos += width
+                if code == end:
+                    break
+                if code == clear:
+                    strings, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], low + 1, None
+                    continue
+                now = strings[code] if code < len(strings) else before + before[:1]
+                if before is not None and len(strings) < 4096:
+                    strings.append(before + now[:1])
+                width = min(12, max(width, len(strings).bit_length()))
+                out, before = out + now, now
+            at += 1
+        while data[at]:
+            at += 1 + data[at]
+        at += 1
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "no \u00e9 " * 700, "x" * 9300, "the quick brown fox " * 900, "".join(map(chr, range(1, 3000)))])
+def test_files_read_by_a_plain_reader(text):
+    p = gif.padded(text)
+    assert plain_reader(gif.encode_gif(p)) == p
+
+
+def test_many_streams_are_those_of_each_alone():
+    rng = np.random.default_rng(3)
+    many = [rng.integers(0, k + 1, int(n)).astype(np.uint8).tobytes() for k, n in zip(rng.integers(0, 255, 120), rng.integers(0, 6000, 120))]
+    streams = gif.lzw_compress_many(many)
+    assert streams == [gif.lzw_compress(x) for x in many]
+    assert gif.lzw_expand_many(streams, [8] * len(many), [len(x) for x in many]) == many
+    assert gif.lzw_expand_many(streams, [8] * len(many), [7] * len(many)) == [x[:7] for x in many]
+    broken = [streams[0], b"\x00\xff\xff\xff", streams[1], b"", streams[2][:-4]]
+    got = gif.lzw_expand_many(broken, [8] * 5, [10_000] * 5)
+    assert got[0] == many[0] and got[1] is None and got[2] == many[1] and got[3] == b"" and many[2].startswith(got[4])
+
+
+def test_oversize_files_have_an_error(spark):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    frame_ = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x00\x3b"
+    got = spark.createDataFrame([(huge,), (frame_,)], "m binary").select(gif.decoded_column("m").alias("g")).select("g.*").collect()
+    assert all("too large" in r.error and r.frames is None for r in got)
+
+
+def test_stored_texts(spark):
+    texts = [None, "", "abc", "word " * 4000, "word " * 4000, "x" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "text AS frames", "text AS feature")
+    got = {r.doc_id: r for r in gif.stored_texts(docs).collect()}
+    for i, t in enumerate(texts):
+        p, r = gif.padded(t or ""), got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert r.media_sha256 == hashlib.sha256(gif.encode_gif(p)).hexdigest()
+        assert [f.start_ms for f in r.frames] == list(range(0, 100 * len(r.frames), 100)) and sum(sum(f.histogram) for f in r.frames) >= len(p)
+    assert got[3][1:] == got[4][1:] and gif.stored_texts(docs.limit(0)).count() == 0
