@@ -314,11 +314,43 @@ def test_search_cases(spark):
     assert hashing.search(v.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
-def test_shard_retrieves_every_code_within_the_radius():
+def test_cells_retrieve_every_code_within_the_radius_once():
+    """Over the cells that a query is sent to, split ones too: all codes within the radius, each once."""
     rng = np.random.default_rng(9)
     x, codes = rng.standard_normal((600, 4)), rng.integers(0, 1 << 63, 600).astype(np.uint64)
     codes[:300] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
-    s = hashing.Shard(np.arange(600), x, codes)
-    for radius in (0, 1, 3, 8, 17, 30, 64):
-        for q in (0, 5, 400):
-            assert set(s.within(codes[q], radius)) == set(np.flatnonzero(np.bitwise_count(s.codes ^ codes[q]) <= radius))
+    ids = np.arange(600)
+    for bits in (0, 2, 5):
+        counts = np.bincount(hashing.Cells(bits, np.ones(4 << bits, np.int64), 1).leading(codes).ravel(), minlength=4 << bits)
+        cells = hashing.Cells(bits, counts, 40)
+        dealt = cells.of_rows(ids, codes)
+        made = {c: hashing.Cell(int(cells.substring[c]), *(y[np.flatnonzero((dealt == c).any(1))] for y in (ids, x, codes))) for c in range(cells.total)}
+        assert sum(len(c.ids) for c in made.values()) == 4 * 600
+        for radius in (0, 1, 3, 8, 17, 30, 64):
+            queries, sent = cells.of_queries(codes[[0, 5, 400]], radius)
+            for k, q in enumerate((0, 5, 400)):
+                found = [i for c in sent[queries == k].tolist() for i in made[c].ids[made[c].within(codes[q], radius)].tolist()]
+                assert sorted(found) == np.flatnonzero(np.bitwise_count(codes ^ codes[q]) <= radius).tolist()
+
+
+def test_search_of_clusters(spark):
+    """Small radius: queries meet few cells, small clusters are asked again, and copies beyond k go by id."""
+    rng = np.random.default_rng(10)
+    centres = rng.standard_normal((60, 32))
+    x = centres[rng.integers(0, 60, 3000)] + 0.05 * rng.standard_normal((3000, 32))
+    x[:5] = 8 * rng.standard_normal(32)  # a cluster of fewer than k
+    x[100:400] = x[100]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hashing.search(v, lambda i: i % 20 == 0, shard_rows=200).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 3000, 20)) and all(len(f) == 20 for f in got.values())
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        found.sort()
+        want = np.sort(s)[-20:][::-1]
+        hit += sum(f[2] >= want[-1] - 1e-9 for f in found)
+        assert [f[1:] for f in found] == sorted((f[1:] for f in found), key=lambda f: (-f[1], f[0]))
+    assert hit / (20 * len(got)) >= 0.9
