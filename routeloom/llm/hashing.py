@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import arrow_rows, saved, table
+from routeloom.llm.common import bounded_batches, saved, table
 
 BITS, SUBSTRINGS = 64, 4
 #: Vectors that the rotation and the radius are learned from, at most (those with the least hash of their id).
@@ -280,6 +280,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     A task holds one cell, of about `shard_rows` rows and at most twice that, while its queries stream past.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     v = vectors.where(usable(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null")
     stats = v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("longest"))
     common = stats.orderBy(F.desc("n"), "d").first()
@@ -290,13 +291,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     drawn = np.array([r.v for r in v.orderBy(F.xxhash64("id"), "id").limit(sample).collect()], np.float64)
     coder = Coder(drawn, longest)
     radius = coder.radius(drawn, k)
-    rows = max(1, min(shard_rows, SHARD_BYTES // (8 * d), max(1024, n // (2 * spark.sparkContext.defaultParallelism))))
-    bits = min(16, max(0, int(np.ceil(np.log2(n / rows)))))
+    rows = max(1, min(shard_rows, SHARD_BYTES // (8 * d)))
+    # cells of that size, and enough of them for the cores if that leaves each an eighth of it at least
+    bits = min(16, max(0, int(np.ceil(np.log2(n / rows))), min(int(np.log2(max(1, 8 * n / rows))), int(np.ceil(np.log2(max(1, spark.sparkContext.defaultParallelism / SUBSTRINGS)))))))
     cells = Cells(bits, _cell_counts(v, coder, bits, d), rows)
     left, out = v.where(is_query(F.col("id"))), None
     while True:
-        with arrow_rows(spark, 4096):
-            got = saved(_pass(v, left, coder, cells, d, radius, k), "neighbours")
+        got = saved(_pass(v, left, coder, cells, d, radius, k), "neighbours")
         if radius >= BITS:
             return got if out is None else out.union(got)
         full = got.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= min(k, n - 1)).select("query_id")
