@@ -4,51 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch; with texts of some 100 kB a batch stays below 64 MB.
-ARROW_ROWS = 512
+#: Bytes of an Arrow batch, about, and of the texts that a Python worker takes from it at once.
+BATCH_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches at or below `rows` rows, so that a Python worker's memory doesn't follow the partition."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches at or below BATCH_BYTES, so that a Python worker's memory doesn't follow the length of rows.
+    The session keeps this bound; no operator's rows or groups depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most `rows` rows for what is executed inside; the session's own setting comes back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def slices(batches, column: int, most: int = SLICE_BYTES):
+    """Parts of Arrow batches whose strings in a column have at most so many bytes together, or a row each."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            upto = max(at + 1, upto)
+            yield b.slice(at, upto - at)
+            at = upto
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where unset (tests), a temporary one is set."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one is set if Spark runs in
+    this one process, as in tests; on a cluster, whose machines wouldn't see it, that is an error."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
-        current = sc.getCheckpointDir()
-        named = current or f"file://{tempfile.mkdtemp(prefix='routeloom-')}"
-        if current is None:
-            sc.setCheckpointDir(named)
-            named = sc.getCheckpointDir()
-    elif sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='routeloom-')}"
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/routeloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/routeloom-{tag}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application's operators have written in the shared folder. Call it once their results, which
+    are read from there, have been used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:

@@ -11,8 +11,9 @@ from routeloom.llm.common import checkpointed
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) undirected edges -> (node, root), root being the least node of the component.
 
-    Each round takes the least label among neighbours (partial aggregation before the shuffle, so a hub costs one row
-    a task) and then replaces every label by its label's label. Rounds end when no label falls. Null ends are ignored,
+    Each round takes the least label among neighbours and then replaces every label by its label's label. Rounds end when
+    no label falls. A hub's edges meet its label in a join that Spark splits if skewed; the aggregation by the other end
+    is partial before its shuffle. Null ends are ignored,
     repeated edges and loops do no harm, an empty table gives an empty table.
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import bounded_batches, table
+from routeloom.llm.common import bounded_batches, slices, table
 
 #: Samples are laid out in rows of 24; a frame of the stored form has up to 384 rows (16 units of 576 bytes).
 UNIT, WIDTH, ROWS = 576, 24, 384
@@ -30,8 +30,8 @@ BLOCK, LANES = 1152, 2048
 AHEAD = 1024
 #: Pixels of a canvas or a frame, at most; a file that claims more has `error` set.
 MAX_PIXELS = 1 << 25
-#: Pixels of frames that are expanded together, about.
-GROUP_PIXELS = 1 << 22
+#: Pixels of frames that are written or expanded together, about.
+GROUP_PIXELS = 1 << 21
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 FRAMES = "array<struct<frame:int,start_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,interlaced:boolean,local_palette:boolean,xxh64:string,histogram:array<int>>>"
 DECODED = f"struct<width:int,height:int,loops:int,samples:binary,frames:{FRAMES},histogram:array<long>,error:string>"
@@ -102,10 +102,14 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def lzw_compress_many(samples: list[bytes]) -> list[bytes]:
     """GIF's LZW code streams of 8-bit samples: a clear code first and again after every BLOCK bytes."""
-    out = []
-    for at in range(0, len(samples), LANES):  # a sample has many blocks; LANES bounds those of usual ones
-        out += _compress(samples[at : at + LANES])
-    return out
+    out, some, size = [], [], 0
+    for s in samples:
+        if some and size + len(s) > GROUP_PIXELS:
+            out += _compress(some)
+            some, size = [], 0
+        some.append(s)
+        size += len(s)
+    return out + (_compress(some) if some else [])
 
 
 def _compress(samples: list[bytes]) -> list[bytes]:
@@ -502,7 +506,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             media = encode_many([padded(t or "") for t in b.column(1).to_pylist()])
             back = decode_many(media)
             samples = [d["samples"] for d in back]

@@ -271,7 +271,7 @@ def _links(part: np.ndarray, value: np.ndarray, fp: np.ndarray, radius: int) ->
 
 def _verify_fn(radius: int):
     def verify(batches):
-        kept, size = [], 0
+        kept, size, mark = [], 0, 200_000
 
         def columns(group):
             return [np.concatenate([g[i] for g in group]) for i in range(3)]
@@ -285,7 +285,7 @@ def _verify_fn(radius: int):
                 continue
             kept.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)] + [batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)])
             size += batch.num_rows
-            if size < 200_000:
+            if size < mark:
                 continue
             cols = columns(kept)
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
@@ -293,6 +293,7 @@ def _verify_fn(radius: int):
             if cut:
                 yield out([c[:cut] for c in cols])
             kept, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
+            mark = max(200_000, 2 * size)  # a bucket that goes on is put together at each doubling, not at each batch
         if size:
             yield out(columns(kept))
 

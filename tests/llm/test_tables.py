@@ -164,7 +164,7 @@ def test_warc_round_trip_with_magic_inside(spark, tmp_path):
     want = Counter((None if i is None else str(i), len((h or "").encode()), b32((h or "").encode()), "response" if least[h or ""] == i else "revisit", None if least[h or ""] == i else str(least[h or ""])) for i, _, h in rows)
     assert Counter((r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
-    assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n") and sum(1 for _ in warc.candidates(data)) > len(rows)
+    assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n") and len(warc.candidates(data)[0]) > len(rows)
     warc.write_archives(pages.limit(0), str(tmp_path / "e"))
     (tmp_path / "none").mkdir()
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
@@ -186,6 +186,50 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path), "*.txt").count() == 1
 
 
+def test_warc_damaged_and_nested(spark, tmp_path):
+    """A damaged gzip stream gives what stands before it; payloads that nest magics with long lengths are hashed once."""
+    def record(i, payload):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Type: text/plain\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+    nested = b"core"
+    for k in range(300):
+        nested = record(1000 + k, nested)[:-4] + b"\r\n\r\n"
+    whole = record(1, b"first") + record(2, nested) + record(3, b"last")
+    (tmp_path / "a.warc").write_bytes(whole)
+    first = gzip.compress(record(1, b"first"))
+    damaged = bytearray(first + gzip.compress(record(2, b"second " * 900)))
+    damaged[len(first) + 10] = 0xFF  # no such block type
+    (tmp_path / "b.warc.gz").write_bytes(bytes(damaged))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = sorted((r.file[-1], r.id, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, str(tmp_path)).collect())
+    assert got == [("c", "1", 5, b32(b"first")), ("c", "2", len(nested), b32(nested)), ("c", "3", 4, b32(b"last")), ("z", "1", 5, b32(b"first"))]
+    assert len(warc.candidates(whole)[0]) == 303
+
+
+def test_warc_repeats_beyond_the_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(i, f"p{i % 3}") for i in range(40)] + [(40, "single")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    want = {i: None if i < 3 or i == 40 else str(i % 3) for i, _ in rows}
+    for limit in (200_000, 1):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+        warc.write_archives(pages, str(tmp_path / str(limit)))
+        assert {int(r.id): r.refers_to for r in warc.read_archives(spark, str(tmp_path / str(limit))).collect()} == want
+
+
+def test_buckets_that_go_on_over_batches():
+    """A bucket of many batches is found whole."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    fps = np.unique(rng.integers(0, 1 << 62, 2000))
+    near = fps[:50] ^ 5
+    every = np.concatenate([fps, near])
+    value = np.where(np.arange(len(every)) < 30, 1, 2)
+    batches = (pa.RecordBatch.from_pydict({"part": np.zeros(min(64, len(every) - i), np.int32), "value": value[i : i + 64], "fp": every[i : i + 64]}) for i in range(0, len(every), 64))
+    found = {tuple(sorted(x)) for b in simhash._verify_fn(3)(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert {tuple(sorted(map(int, x))) for x in zip(fps[30:50], near[30:50])} <= found
+
+
 def test_pointer_jumping():
     rng = random.Random(4)
     for _ in range(50):

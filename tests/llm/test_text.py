@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import random
 
 import numpy as np
@@ -160,4 +159,142 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert len(kept & set(range(600))) >= 594 and len(kept & set(range(600, 720))) <= 3
     assert quality.keep_quality(docs.limit(0), labels).count() == 0
     assert quality.keep_quality(docs, labels.limit(0)).count() == len(texts)
-    assert json.dumps(quality.features("")) == json.dumps(list(quality.TYPICAL))
+    assert quality.features("") == [0.0] * len(quality.FEATURES)
+
+
+def _matrix(spark, seed, n=400):
+    rng = np.random.default_rng(seed)
+    m = np.abs(rng.standard_normal((n, len(quality.FEATURES)))) * rng.uniform(0.1, 2, len(quality.FEATURES))
+    m[:, 0] = rng.uniform(0, 1, n)
+    m[:20] = 0  # empty texts
+    m = m.astype(np.float32).astype(np.float64)
+    return m, spark.createDataFrame([(r,) for r in m.tolist()], "x array<float>").repartition(5)
+
+
+def test_quality_scale_against_plain_moments(spark):
+    m, x = _matrix(spark, 1)
+    scale = quality.Scale.of(x)
+    near = m[:, :1]
+    typical = (near * m).sum(0) / near.sum()
+    drawn = m.copy()
+    for i, f in enumerate(quality.FEATURES):
+        if f in quality.CHANCE:
+            drawn[:, i] = typical[i] + near[:, 0] * (m[:, i] - typical[i])
+    assert np.allclose(scale.typical, typical) and np.allclose(scale.mean, drawn.mean(0)) and np.allclose(scale.sd, drawn.std(0), atol=1e-6)
+    z = np.clip((drawn - drawn.mean(0)) / drawn.std(0), -6, 6)
+    assert np.allclose(scale.design(m)[:, 1 : 1 + len(quality.FEATURES)], z, atol=1e-4)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_quality_risk_and_gradient_against_brute_force(spark, prior):
+    """The risk by its definition over all rows, its gradient by differences, and the branch where the negative part is below 0."""
+    m, x = _matrix(spark, 2)
+    scale = quality.Scale.of(x)
+    positives = m[30:90]
+    rng = np.random.default_rng(3)
+    w = rng.standard_normal(1 + len(quality.FEATURES) + len(quality._SQUARED)) * 0.1
+    w[0] = 2.0 if prior > 0.9 else -1.0
+
+    def parts(w):
+        loss = lambda g: np.log1p(np.exp(-g))
+        g, gp = scale.design(m) @ w, scale.design(positives) @ w
+        return prior * loss(gp).mean(), loss(-g).mean() - prior * loss(-gp).mean()
+
+    positive, negative = parts(w)
+    got = quality.evaluate(x, positives, scale, prior, w, 0.01)
+    assert abs(got[0] - negative) < 1e-9 and abs(got[1] - (positive + max(0.0, negative) + 0.005 * (w[1:] ** 2).sum())) < 1e-9
+    for i in (0, 1, 7, len(w) - 1):
+        e = np.zeros(len(w))
+        e[i] = 1e-5
+        up, down = parts(w + e), parts(w - e)
+        assert abs((up[0] - down[0]) / 2e-5 - got[2][i]) < 1e-6 and abs((up[1] - down[1]) / 2e-5 - got[3][i]) < 1e-6
+    if prior > 0.9:
+        fitted = quality.minimise(x, positives, scale, prior, 8, 0.01)
+        assert quality.evaluate(x, positives, scale, prior, fitted, 0.01)[1] <= quality.evaluate(x, positives, scale, prior, np.zeros(len(w)), 0.01)[1]
+
+
+def test_quality_minimum_against_gradient_descent(spark):
+    m, x = _matrix(spark, 4)
+    scale = quality.Scale.of(x)
+    positives = m[m[:, 3] > np.median(m[:, 3])][:120]
+    w = quality.minimise(x, positives, scale, 0.4, 12, 0.01)
+    a, p = scale.design(m), scale.design(positives)
+
+    def risk(v):
+        negative = np.logaddexp(0, a @ v).mean() - 0.4 * np.logaddexp(0, p @ v).mean()
+        return 0.4 * np.logaddexp(0, -(p @ v)).mean() + max(0.0, negative) + 0.005 * (v[1:] ** 2).sum(), negative
+
+    v = np.zeros(len(w))
+    for _ in range(6000):
+        s, sp = 1 / (1 + np.exp(-(a @ v))), 1 / (1 + np.exp(-(p @ v)))
+        grad = -0.4 * (p * (1 - sp)[:, None]).mean(0) + ((a * s[:, None]).mean(0) - 0.4 * (p * sp[:, None]).mean(0) if risk(v)[1] > 0 else 0)
+        v = v - 0.05 * (grad + np.append(0.0, 0.01 * v[1:]))
+    assert risk(w)[0] <= risk(v)[0] + 2e-3
+
+
+def test_best_bin():
+    """A mixture of known prior: scores of positives near 1, of the rest near 0."""
+    rng = np.random.default_rng(5)
+    edges = np.linspace(0, 1, 401)
+    for prior in (0.2, 0.6, 0.9):
+        positive, negative = rng.beta(6, 2, 20_000), rng.beta(2, 6, 20_000)
+        n = int(20_000 * prior)
+        every = np.histogram(np.concatenate([positive[:n], negative[: 20_000 - n]]), edges)[0]
+        assert abs(quality.best_bin(every, np.histogram(rng.beta(6, 2, 5000), edges)[0]) - prior) < 0.06
+
+
+def test_quality_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "plain words in a line. " * 30, "a", 0.5) for i in range(40)], "doc_id long, text string, features string, __score double")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    got = quality.keep_quality(docs, labels)
+    assert got.columns == docs.columns and {r.features for r in got.collect()} <= {"a"}
+
+
+def test_long_words(spark):
+    """Texts without spaces: lossless, stable, and drawn from the same distribution as short ones."""
+    texts = ["日本語テキスト" * 8000, "x" * 4000, "xyzab" * 3000, " " * 900 + "end", "ab" + "▁" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.round_trip(docs).collect()}
+    again = {r.doc_id: r.ids for r in pieces.round_trip(docs.repartition(3)).collect()}
+    assert all(r.lossless and again[i] == r.ids for i, r in got.items())
+    v = pieces.Vocabulary(pieces.read_model(pieces.MODEL), 0.3)
+    n = 3000
+    with np.errstate(over="ignore"):  # each of many repetitions in one long word against the same word many times
+        _, alone = pieces.sample_batch(pieces.Lattices(v), ["日them"] * n, np.arange(n).astype(np.uint64))
+        _, joined = pieces.sample_batch(pieces.Lattices(v), ["日them" * n], np.zeros(1, np.uint64))
+    a, b = np.bincount(alone, minlength=v.size) / n, np.bincount(joined, minlength=v.size) / n
+    common = np.flatnonzero(a > 0.05)
+    assert len(common) > 3 and sum(abs(a[i] - b[i]) < 0.05 for i in common) >= len(common) - 2  # only each word's dummy space differs
+
+
+def test_stretch_alone_is_the_same_filter():
+    """Probabilities of a long stretch filtered by itself equal those of stretches filtered together."""
+    v = pieces.Vocabulary(pieces.read_model(pieces.MODEL), 0.5)
+    words = ["x" * 60, "the" * 15]
+    old = pieces.LONG
+    with np.errstate(over="ignore"):
+        a = pieces.Lattices(v)
+        a.add(words)
+        try:
+            pieces.LONG = 2
+            b = pieces.Lattices(v)
+            b.add(words)
+        finally:
+            pieces.LONG = old
+    for w in words:
+        def chain(t, s):
+            e = range(int(t.first[s]), int(t.first[s + 1]) if s + 1 < len(t.first) else len(t.cum))
+            return [(int(t.piece[k]), round(float(t.cum[k]), 5)) for k in e]
+
+        assert chain(a, a.end[w]) == chain(b, b.end[w])
+
+
+def test_equal_hashes_are_compared_by_character():
+    v = pieces.Vocabulary(pieces.read_model(pieces.MODEL), 0.5)
+    n = 3
+    hs, xs, characters = v.tables[n]
+    v.tables[n] = (hs, xs, characters + 1)  # as if each hash belonged to other characters
+    with np.errstate(over="ignore"):
+        cps = np.array([ord(c) for c in "▁them"], np.int64)
+        _, lengths, _ = v.matches(cps, np.arange(5, 0, -1))
+    assert n not in lengths.tolist()
