@@ -92,6 +92,50 @@ def test_near_duplicates_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_against_jaccard(spark):
+    """Copies with replaced words: linked well above 0.8, not linked well below, groups by brute force over 256 bits."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for g in range(120):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([60, 200, 900]))]
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 30])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 9999)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    extra = [(900, None), (901, ""), (902, "only four words here"), (903, "only four words here"), (None, "only four words here"), (3, rows[3][1]), (904, "z" * 200_000)]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string").selectExpr("*", "text AS fp", "doc_id AS key")
+    got = simhash.near_copies(docs).collect()
+    root = {r.doc_id: r.component_id for r in got}
+    assert len(got) == len(rows) + len(extra) and root[901] == 900 and root[903] == 902 and root[904] == 904
+    linked = [root[2 * g + 1] == 2 * g for g in range(120)]
+    assert all(hit for hit, j in zip(linked, pairs) if j >= 0.92) and not any(hit for hit, j in zip(linked, pairs) if j < 0.65)
+    wide = {i: simhash.simhash((t or "").encode(), 5, 4) for i, t in rows + extra if i is not None}
+    ids = sorted(wide)
+    near = lambda a, b: int(np.bitwise_count(wide[a][:1] ^ wide[b][:1])[0]) <= 13 and int(np.bitwise_count(wide[a] ^ wide[b]).sum()) <= simhash.bits_apart(0.8, 256)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if near(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert all(root[i] == find(i) for i in ids)
+    kept = simhash.dedup(docs, similarity=0.8)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({find(i) for i in ids})
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 200)] + [(5, 5), (None, 1), (3, 2)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -225,7 +269,8 @@ def test_buckets_that_go_on_over_batches():
     near = fps[:50] ^ 5
     every = np.concatenate([fps, near])
     value = np.where(np.arange(len(every)) < 30, 1, 2)
-    batches = (pa.RecordBatch.from_pydict({"part": np.zeros(min(64, len(every) - i), np.int32), "value": value[i : i + 64], "fp": every[i : i + 64]}) for i in range(0, len(every), 64))
+    own = np.arange(len(every)) < 2000  # the near ones are probes
+    batches = (pa.RecordBatch.from_pydict({"part": np.zeros(min(64, len(every) - i), np.int32), "value": value[i : i + 64], "own": own[i : i + 64], "node": every[i : i + 64], "fp": every[i : i + 64]}) for i in range(0, len(every), 64))
     found = {tuple(sorted(x)) for b in simhash._verify_fn(3)(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
     assert {tuple(sorted(map(int, x))) for x in zip(fps[30:50], near[30:50])} <= found
 
