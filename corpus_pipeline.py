@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of fingerprints linked at 3 or fewer bits."""
-    return dedup(docs)
+    """The least document of each group linked by a similarity of at least 0.8 over five-word shingles."""
+    return dedup(docs, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
