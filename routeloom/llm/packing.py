@@ -77,14 +77,15 @@ class Tokenizer:
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, ranks_path: str = RANKS) -> DataFrame:
-    """(doc_id, piece, ids): a row for each piece of a document, ids as little-endian 16-bit values, the last ending in END_ID."""
+    """(doc_id, piece, ids, turn): a row for each piece of a document, ids as little-endian 16-bit values, the last ending
+    in END_ID. turn counts the task's pieces in 4,096s, so that equal rows can be told apart when they are dealt."""
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
         tok = Tokenizer(ranks.value)
-        end = np.uint16(END_ID).tobytes()
+        end, seen = np.uint16(END_ID).tobytes(), 0
         for b in batches:
             rows, pieces, ids = [], [], []
             for k, t in enumerate(b.column(1)):
@@ -93,9 +94,11 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, length: int =
                 rows += [k] * len(cut)
                 pieces += range(len(cut))
                 ids += cut
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(pieces, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "piece", "ids"])
+            turns = np.arange(seen, seen + len(rows), dtype=np.int64) >> 12
+            seen += len(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(pieces, pa.int32()), pa.array(ids, pa.binary()), pa.array(turns)], ["doc_id", "piece", "ids", "turn"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, ids binary, turn long")
 
 
 class Rooms:
@@ -160,7 +163,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long") + 1)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     pieces = tokenized_pieces(docs, id_col, text_col, length, ranks_path)
-    dealt = pieces.repartition(shards, F.xxhash64("doc_id", "piece", "ids")).sortWithinPartitions(F.octet_length("ids").desc(), "doc_id", "piece", "ids")
+    key = F.xxhash64("doc_id", "piece", "ids", "turn", F.spark_partition_id())  # repeated rows go to many shards
+    dealt = pieces.withColumn("key", key).repartition(shards, "key").select("doc_id", "piece", "ids").sortWithinPartitions(F.octet_length("ids").desc(), "doc_id", "piece", "ids")
     kind = dict(docs.dtypes)[id_col]
     dealt = dealt.withColumn("shard", F.spark_partition_id())
     ints = pa.list_(pa.int32())
