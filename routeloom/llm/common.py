@@ -77,6 +77,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(columns, name: str) -> str:
+    """The name, with underscores added until no column has it (Spark's names don't tell case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 

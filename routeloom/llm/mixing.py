@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import bounded_batches, saved, table
+from routeloom.llm.common import bounded_batches, checkpointed, saved, table, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Weight schedules, as (time, weight) knots joined by lines, given to the sources in turn: falling, rising, peak in the middle.
@@ -24,28 +24,38 @@ def word_count(text_col: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame, partitions: int | None = None) -> DataFrame:
+    """sources with `place`: its number by code point, null last, from 0. Ranges are numbered each on its own and moved
+    by the rows before them, so no task has all sources."""
+    spark = sources.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    part = saved(sources.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()), "sources")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    base = part.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    own = part.withColumn("inside", F.row_number().over(W.partitionBy("part").orderBy(order)) - 1)
+    return own.join(F.broadcast(base), "part").withColumn("place", (F.col("base") + F.col("inside")).cast("int")).drop("part", "base", "inside")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, place, target) for sizes (source, size): `share` of all words, dealt by the weights.
 
     Sources by code point, null last, take the weights in turn. A target stops at `most` times its source's size and
-    the excess goes to the others by weight until none is above: sources ordered by capacity over weight fill up in
-    that order, up to the first whose capacity exceeds its part of what is left. One row per source is gathered here.
+    the excess goes to the others by weight until none is above: each round gives what the full sources leave to the
+    others, and ends when no further source is full. A round is two sums; all of them are of whole numbers, so reruns
+    agree.
     """
-    src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    n = len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % n + 1).cast("int"))
-    src = src.withColumn("place", place).withColumn("w", w).withColumn("cap", most * F.col("source_size"))
-    order = W.orderBy(F.col("cap") / F.col("w"), "place")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.partitionBy()
-    src = src.withColumn("left", share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    src = src.withColumn("level", F.col("left") / F.sum("w").over(after))
-    ratio = F.col("cap") / F.col("w")
-    first = F.min(F.when(F.col("level") <= ratio, F.struct(ratio.alias("ratio"), "place", "level"))).over(everything)
-    src = src.withColumn("level", first["level"])
-    target = F.when(F.col("level").isNull() | (F.col("cap") <= F.col("level") * F.col("w")), F.col("cap")).otherwise(F.col("level") * F.col("w"))
+    src = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    src = checkpointed(src.select("source", "source_size", "place", w.alias("w"), (most * F.col("source_size")).alias("cap")))
+    level, full_before = 0.0, -1
+    while True:
+        full = F.col("cap") <= level * F.col("w") if full_before >= 0 else F.lit(False)
+        r = src.agg(F.sum("source_size").alias("words"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("open"), F.sum(full.cast("int")).alias("full")).first()
+        if not r.open or r.full == full_before:  # all are full, or none more than before
+            break
+        level, full_before = (share * r.words - r.caps) / r.open, r.full
+    target = F.least(F.col("cap"), level * F.col("w")) if r.open else F.col("cap")
     return src.select("source", "source_size", "place", target.alias("target"))
 
 
@@ -93,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(run), F.lit(0)))
     j = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
     j = j.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", "p.place", (F.col("p.base") + F.col("d.inside")).alias("at"))
-    goal = F.round("target").cast("long")
+    goal = F.bround("target").cast("long")
     taken, copies, times = F.lit(0), F.lit(0), []
     for k in range(most):
         start = F.col("at") + k * F.col("source_size")
@@ -109,10 +119,11 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Documents cut by the target's end are kept whole; those without words aren't taken. Ids should be unique: rows
     that share an id each appear as often as the mix takes any of them.
     """
-    mixed = mix(docs, id_col, **options).groupBy("doc_id").agg(F.min("position").alias("__p0"), F.min("later").alias("__p1"))
-    passes = mixed.select("doc_id", F.explode(F.array_compact(F.array("__p0", "__p1"))).alias("__position"))
-    out = docs.join(passes.withColumnRenamed("doc_id", "__id"), docs[id_col].eqNullSafe(F.col("__id")))
-    return out.repartitionByRange("__position", "__id").sortWithinPartitions("__position", "__id").select(*[docs[c] for c in docs.columns])
+    ident, position = unused(docs.columns, "mixed_id"), unused(docs.columns, "mixed_position")
+    mixed = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias(ident)).agg(F.min("position").alias("first"), F.min("later").alias("later"))
+    passes = mixed.select(ident, F.explode(F.array_compact(F.array("first", "later"))).alias(position))
+    out = docs.join(passes, F.col(id_col).eqNullSafe(F.col(ident)))
+    return out.repartitionByRange(position, ident).sortWithinPartitions(position, ident).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import bounded_batches, saved, table
+from routeloom.llm.common import bounded_batches, saved, table, unused
 
 #: Labelled positives used to fit, at most (those with the least hash of their id); unlabelled rows have no bound.
 POSITIVES = 20_000
@@ -246,9 +246,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The rows of docs, with its columns, that score at least the threshold. Features are computed once and kept beside
     the rows, in a column whose name docs doesn't have; repeated rows share their fate."""
     bounded_batches(docs.sparkSession)
-    x = "features"
-    while x in docs.columns:
-        x += "_"
+    x = unused(docs.columns, "features")
     rows = saved(docs.select("*", feature_column(text_col).alias(x)), "scored")
     model = train(rows, labels, id_col, x)
     return rows.where(score_column(x, model) >= threshold).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import bounded_batches, saved, table
+from routeloom.llm.common import bounded_batches, saved, table, unused
 from routeloom.llm.components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -426,8 +426,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
     are: they can't be named as anything's copy.
     """
     found = near_duplicates(docs, id_col, text_col, radius) if similarity is None else near_copies(docs, id_col, text_col, similarity)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
+    name = unused(docs.columns, "kept_id")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(keep, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -177,11 +177,24 @@ def test_mixing_cases(spark):
         assert (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1)
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+    clash = docs.selectExpr("*", "doc_id AS mixed_id", "text AS mixed_position", "0 AS first")
+    assert mixing.curriculum(clash).columns == clash.columns
     out = mixing.curriculum(docs)
     assert out.columns == docs.columns and out.count() >= sum(r.copies for r in got if r.doc_id is not None) - 4
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 400])
+def test_targets_of_many_sources(spark, n):
+    """Targets and places against the rule applied round by round, with more sources than partitions."""
+    rng = random.Random(n)
+    sizes = {f"s{rng.random()}" if i else None: rng.choice([0, 1, 7, 50, 5000]) for i in range(n)}
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame([(s, x) for s, x in sizes.items()], "source string, size long")).collect()}
+    order = sorted(s for s in sizes if s is not None) + [None]
+    want = waterfill(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    assert [got[s].place for s in order] == list(range(n)) and all(abs(got[s].target - want[s]) < 1e-6 for s in sizes)
+
+
 def test_inverse_demand(spark):
     x = spark.range(101).select((F.col("id") / 100).alias("part"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("place"))
     for r in x.select("part", "place", mixing.inverse_demand(F.col("part"), F.col("place")).alias("t")).collect():
