@@ -21,8 +21,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def first_filled(*options: Column) -> Column:
-    """The first that is neither null nor empty, else empty."""
-    return F.coalesce(F.try_element_at(F.filter(F.array(*options), lambda x: x != ""), F.lit(1)), F.lit(""))
+    """The first that is neither null nor empty, else empty; those after it aren't computed."""
+    return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
 
 
 def normalized_number(raw: Column) -> Column:

@@ -38,7 +38,7 @@ def lambda_search(c: DataFrame, budget: float, rounds: int = 24, top: float = 50
     return argmax_per_prompt(c, hi if best is None else best), best is not None
 
 
-_CHOSEN = "{0} {1}, prompt_id long, action_name string, action_cost double, final_utility double, total_cost double, feasible boolean"
+_CHOSEN = "{0} {1}, prompt_id {2}, action_name string, action_cost double, final_utility double, total_cost double, feasible boolean"
 
 
 def _grouped(c: DataFrame, instance: str, solve) -> DataFrame:
@@ -47,11 +47,12 @@ def _grouped(c: DataFrame, instance: str, solve) -> DataFrame:
     Instances are sorted within partitions and stream through in Arrow batches, so a task holds one instance and many
     small ones share a batch's cost.
     """
-    schema = StructType.fromDDL(_CHOSEN.format(instance, dict(c.dtypes)[instance]))
+    kinds = dict(c.dtypes)
+    schema = StructType.fromDDL(_CHOSEN.format(instance, kinds[instance], kinds["prompt_id"]))
     arrow = to_arrow_schema(schema)
 
     def solved(key, rows):
-        prompts: dict[int, list[tuple]] = {}
+        prompts: dict[int | str, list[tuple]] = {}
         for i, (p, a, cost, u, _) in enumerate(rows):
             prompts.setdefault(p, []).append((a, cost, u, i))
         picked, total, feasible = solve({p: prompts[p] for p in sorted(prompts)}, float(rows[0][4]))
@@ -72,7 +73,7 @@ def _grouped(c: DataFrame, instance: str, solve) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*solved(key, rows)), arrow.types)], schema=arrow)
 
-    x = c.select(instance, F.col("prompt_id").cast("long"), "action_name", F.col("action_cost").cast("double"), F.col("final_utility").cast("double"), F.col("budget").cast("double"))
+    x = c.select(instance, "prompt_id", "action_name", F.col("action_cost").cast("double"), F.col("final_utility").cast("double"), F.col("budget").cast("double"))
     return x.repartition(F.col(instance)).sortWithinPartitions(instance, "prompt_id", "action_cost", "action_name").mapInArrow(run, schema)
 
 
@@ -84,7 +85,7 @@ def greedy_upgrade(c: DataFrame, instance: str) -> DataFrame:
     """Cheapest action each, then upgrades by falling gain per cost while the budget lasts. Every upgrade is priced from
     the cheapest action, so upgrading a prompt twice counts both in total_cost."""
 
-    def solve(prompts: dict[int, list[tuple]], budget: float):
+    def solve(prompts: dict[int | str, list[tuple]], budget: float):
         at = {p: _cheapest(rows) for p, rows in prompts.items()}
         total = sum(r[1] for r in at.values())
         steps = [
@@ -103,7 +104,7 @@ def knapsack(c: DataFrame, instance: str, scale: int = 100) -> DataFrame:
     """Exact multiple-choice knapsack: greatest total utility within the budget, then least cost. An infeasible instance
     takes every prompt's cheapest action and says so. The table of spends is as long as the budget, or the dearest choice of all."""
 
-    def solve(prompts: dict[int, list[tuple]], budget: float):
+    def solve(prompts: dict[int | str, list[tuple]], budget: float):
         spend = {p: [max(0, round(r[1] * scale)) for r in rows] for p, rows in prompts.items()}
         limit = min(max(0, round(budget * scale)), sum(map(max, spend.values())))
         best, took = np.full(limit + 1, -np.inf), []

@@ -1,4 +1,4 @@
-"""Resampling statistics. Draws are Poisson counts by hash of (seed, row, draw), so they need no order or gathering."""
+"""Resampling statistics and exact quantiles from counts by distinct value."""
 
 from __future__ import annotations
 
@@ -7,31 +7,100 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Resamples, as published intervals have them, and cells of a block of draws.
+DRAWS, BLOCK = 10_000, 1 << 22
 
-def paired_bootstrap(rows: DataFrame, by: str, key: str, difference: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(by, n, mean_diff, ci_low, ci_high, p_value, significant) of paired differences in {-1, 0, 1}.
 
-    A resample of such differences is a multinomial draw of three counts, so each group needs only its counts: rows are
-    summed by value and one row per group is resampled. p is 1 if all differences are 0.
+def paired_bootstrap(rows: DataFrame, by: str | list[str], key: str, difference: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """(by, n, mean_diff, ci_low, ci_high, p_value, significant) of paired differences of any value.
+
+    A resample is a multinomial draw over the distinct differences with their counts, so rows are summed by value first
+    and a group is one row with its distinct values; they should be few, or rounded. Null and NaN differences count for
+    nothing; a group of them alone has n 0 and nulls. p is 1 if all differences are 0. With outcomes in place of
+    differences this is the interval of their mean.
     """
-    counts = rows.groupBy(by).agg(*[F.count_if(F.col(difference) == v).alias(n) for v, n in ((1, "up"), (-1, "down"), (0, "flat"))])
-    kind = dict(rows.dtypes)[by]
+    by = [by] if isinstance(by, str) else by
+    value = F.col(difference).cast("double")
+    counts = rows.select(*by, F.when(~F.isnan(value), value).alias("v")).groupBy(*by, "v").agg(F.count("v").alias("c"))
+    groups = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(F.col("c") > 0, F.struct("v", "c")))).alias("pairs"))
+    kinds = dict(rows.dtypes)
+
+    def one(pairs):
+        values, c = np.array([p["v"] for p in pairs], float), np.array([p["c"] for p in pairs], np.int64)
+        n = int(c.sum())
+        if not n:
+            return 0, None, None, None, None, None
+        rng = np.random.default_rng([seed, n, *c[:8].tolist()])
+        step = max(1, BLOCK // len(values))
+        means = np.concatenate([rng.multinomial(n, c / n, size=min(step, draws - at)) @ values / n for at in range(0, draws, step)])
+        low, high = np.percentile(means, [2.5, 97.5])
+        below = (means <= 0).mean()
+        p = 1.0 if not values.any() else min(1.0, 2 * min(below, 1 - below))
+        return n, float(values @ c / n), low, high, p, bool(low > 0 or high < 0)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for group, up, down, flat in zip(pdf[by], pdf["up"], pdf["down"], pdf["flat"]):
-                n = up + down + flat
-                rng = np.random.default_rng([seed, int(n), int(up), int(down)])
-                got = rng.multinomial(n, [up / n, down / n, flat / n], size=draws)
-                means = (got[:, 0] - got[:, 1]) / n
-                low, high = np.percentile(means, [2.5, 97.5])
-                below = (means <= 0).mean()
-                p = 1.0 if up + down == 0 else min(1.0, 2 * min(below, 1 - below))
-                out.append((group, int(n), (up - down) / n, low, high, p, bool(low > 0 or high < 0)))
-            yield pd.DataFrame(out, columns=[by, "n", "mean_diff", "ci_low", "ci_high", "p_value", "significant"])
-
-    return counts.mapInPandas(run, f"{by} {kind}, n long, mean_diff double, ci_low double, ci_high double, p_value double, significant boolean")
+            out = [(*g, *one(pairs)) for *g, pairs in zip(*(pdf[b] for b in by), pdf["pairs"])]
+            yield pd.DataFrame(out, columns=[*by, "n", "mean_diff", "ci_low", "ci_high", "p_value", "significant"])
+
+    return groups.mapInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, mean_diff double, ci_low double, ci_high double, p_value double, significant boolean")
+
+
+def regime_comparisons(rows: DataFrame, by: str, cheap: str, dear: str, policies: list[str], draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """paired_bootstrap of four comparisons in each group: best policy, oracle and always revising against the cheap
+    route, and best policy against the oracle. policies are boolean columns; the best has the greatest mean, the first of equals."""
+    c, d = F.col(cheap).cast("double"), F.col(dear).cast("double")
+    x, chosen = rows, c
+    if policies:
+        right = [F.when(F.col(p), d).otherwise(c) for p in policies]
+        means = rows.groupBy(by).agg(F.array(*[F.avg(r) for r in right]).alias("__means"))
+        x = rows.join(means.select(by, F.array_position("__means", F.array_max("__means")).cast("int").alias("__best")), by)
+        chosen = F.element_at(F.array(*right), F.col("__best"))
+    oracle = F.when((c == 0) & (d == 1), d).otherwise(c)
+    pairs = {"adaptive_best_policy_vs_always_reasoning": chosen - c, "oracle_vs_always_reasoning": oracle - c, "adaptive_best_policy_vs_oracle": chosen - oracle, "always_revise_vs_always_reasoning": d - c}
+    long = x.select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("comparison"), v.alias("diff")) for k, v in pairs.items()])).alias("p")).select(by, "p.*")
+    return paired_bootstrap(long, [by, "comparison"], by, "diff", draws, seed)
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float], bins: int = 4096) -> list[float | None]:
+    """Quantiles with linear interpolation between neighbours, of a numeric column without its nulls.
+
+    Each rank is found by counts over equal bins of the range it lies in, which shrinks until it holds one value or no
+    more than `bins` distinct ones: no task sees more than the bins of a round. None for an empty table.
+    """
+    v = F.col(column).cast("double")
+    base = rows.select(v.alias("v")).where("v is not null and not isnan(v)")
+    s = base.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not s.n:
+        return [None] * len(shares)
+
+    def at(rank: int) -> float:
+        lo, hi, before, x = s.lo, s.hi, 0, base
+        while lo < hi:
+            width = (hi - lo) / bins
+            b = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+            counts = sorted((r.b, r.n, r.lo, r.hi) for r in x.groupBy(b.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+            for _, n, low, high in counts:
+                if before + n > rank:
+                    lo, hi = low, high
+                    break
+                before += n
+            x = base.where((F.col("v") >= lo) & (F.col("v") <= hi))
+            if len(counts) == 1 and lo < hi:  # neighbours of a double apart: nothing to divide
+                values = sorted((r.v, r.n) for r in x.groupBy("v").agg(F.count("v").alias("n")).collect())
+                for value, n in values:
+                    if before + n > rank:
+                        return value
+                    before += n
+        return lo
+
+    out = []
+    for q in shares:
+        place = q * (s.n - 1)
+        low = at(int(place))
+        high = low if place == int(place) else at(int(place) + 1)
+        out.append(low + (high - low) * (place - int(place)))
+    return out
 
 
 def z_blend(rows: DataFrame, columns: list[str], weights: list[float]) -> DataFrame:

@@ -79,7 +79,7 @@ def escalation_decisions(s, d):
 
 def token_router(s, d):
     o = I.outcomes(s, d)
-    low, high = o.select(F.percentile("tokens", F.array(F.lit(0.1), F.lit(0.9)))).first()[0]
+    low, high = statistics.exact_quantiles(o, "tokens", [0.1, 0.9])
     out = {"low": routing.token_router(F.col("tokens"), low, None), "high": routing.token_router(F.col("tokens"), None, high), "both": routing.token_router(F.col("tokens"), low, high)}
     return outcomes.route_metrics(o, out, F.col("rg"), F.col("dpr"), ["regime"])
 
@@ -99,11 +99,13 @@ def weighted_signals(s, d):
 
 
 def question_features(s, d):
-    return I.read(s, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.query_features(F.col("text")).items()])
+    x, parts = T.with_parts(I.read(s, d, "documents").select("doc_id", "text"), "text")
+    return x.select("doc_id", *[c.alias(k) for k, c in T.query_features(F.col("text"), parts).items()])
 
 
 def target_features(s, d):
-    return I.read(s, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.target_features(F.col("text")).items()])
+    x, parts = T.with_parts(I.read(s, d, "documents").select("doc_id", "text"), "text")
+    return x.select("doc_id", *[c.alias(k) for k, c in T.target_features(F.col("text"), parts).items()])
 
 
 def first_pass_features(s, d):
@@ -137,7 +139,7 @@ def boolean_answers(s, d):
 
 
 def text_answers(s, d):
-    return I.read(s, d, "documents").select("doc_id", A.text_answer(F.concat(F.lit(" .. "), F.upper("source"), F.lit("   is\t"), F.col("lang"), F.lit(" ?! "))).alias("answer"))
+    return I.read(s, d, "documents").select("doc_id", A.text_answer(F.col("text")).alias("answer"))
 
 
 def calibration(s, d):

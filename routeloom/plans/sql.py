@@ -104,7 +104,7 @@ ORACLE_SQL = {
     "numeric_answers": f"SELECT o_orderkey AS question_id, {_CLEAN} AS answer FROM orders",
     "choice_answers": "SELECT o_orderkey AS question_id, chr(CAST(65 + o_orderkey % 10 AS INT)) AS letter FROM orders",
     "boolean_answers": "SELECT o_orderkey AS question_id, CASE (o_orderkey % 10) % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'true' WHEN 2 THEN 'false' ELSE '' END AS answer FROM orders",
-    "text_answers": "SELECT doc_id, lower(source) || ' is ' || lang AS answer FROM documents",
+    "text_answers": r"SELECT doc_id, regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '\s+', ' ', 'g'), '^[ .,;:!?]+|[ .,;:!?]+$', '', 'g') AS answer FROM documents",
     "calibration": f"""WITH a AS (SELECT o_orderkey AS question_id, o_orderkey % 10 AS k, o_custkey, {_PRICE} AS price FROM orders),
       b AS (SELECT *, k < 6 AS clean, k % 2 = 0 AS many, k >= 6 AND k < 8 AS several FROM a), c AS (SELECT *, CASE WHEN clean THEN 8 ELSE 3 END - 2 * CAST(many AS INT) - 2 * CAST(several AS INT) AS raw FROM b)
       SELECT question_id, CAST(greatest(raw, 0) AS DOUBLE) / 10 AS predicted_answer_format_confidence, CASE WHEN raw >= 7 THEN 'high_confidence' WHEN raw >= 5 THEN 'medium_confidence' ELSE 'low_confidence' END AS calibration_bin,
