@@ -27,8 +27,9 @@ from routeloom.llm.components import connected_components
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Columns of a wide fingerprint, 64 bits each.
 WIDE = ("fp", "fp1", "fp2", "fp3")
-#: A probe (a row that is shuffled and sorted) costs as much as so many comparisons in a bucket.
-PROBE_COST = 40.0
+#: A probe (a row that is shuffled and sorted) costs as much as so many comparisons in a bucket; a wide one, which also
+#: takes disk in proportion to its length, as WIDE_PROBE_COST.
+PROBE_COST, WIDE_PROBE_COST = 40.0, 400.0
 #: Buckets up to this size are compared by shifting, larger ones by breadth-first search.
 SMALL = 8
 #: Buckets above this size are first divided by the other bits.
@@ -118,7 +119,7 @@ def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def allocate(bits: np.ndarray, groups: list[list[int]], ones: np.ndarray, total: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def allocate(bits: np.ndarray, groups: list[list[int]], ones: np.ndarray, total: int, radius: int, probe_cost: float = PROBE_COST) -> tuple[np.ndarray, np.ndarray]:
     """Thresholds (n x m, from -1) of least expected cost with sum radius - m + 1, and that cost, for each row of bits."""
     n, m = len(bits), len(groups)
     differ = np.where(bits == 1, 1 - ones / total, ones / total)
@@ -132,7 +133,7 @@ def allocate(bits: np.ndarray, groups: list[list[int]], ones: np.ndarray, total:
             at[0] *= 1 - p
         within = np.cumsum(at, axis=0) * total
         probes = np.cumsum([comb(len(group), t) for t in range(radius + 1)])
-        costs[i, 1:] = PROBE_COST * probes[:, None] + within
+        costs[i, 1:] = probe_cost * probes[:, None] + within
     budget = radius + 1  # of t_i + 1
     best = np.full((m + 1, budget + 1, n), np.inf)
     best[0, 0] = 0
@@ -170,7 +171,7 @@ def _statistics(groups: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, joint.diagonal().copy(), joint
 
 
-def plan_parts(groups: DataFrame, radius: int) -> tuple[list[list[int]], np.ndarray, int]:
+def plan_parts(groups: DataFrame, radius: int, probe_cost: float = PROBE_COST) -> tuple[list[list[int]], np.ndarray, int]:
     """Bit groups for the number of parts (2 to radius + 1) with the least expected cost over 256 drawn fingerprints."""
     n, ones, joint = _statistics(groups)
     if n == 0:
@@ -182,10 +183,10 @@ def plan_parts(groups: DataFrame, radius: int) -> tuple[list[list[int]], np.ndar
     rng = np.random.default_rng(7)
     drawn = (rng.random((256, 64)) < p).astype(np.uint8)
     options = [group_bits(corr, m) for m in range(2, radius + 2)] if radius else [[list(range(64))]]
-    return min(options, key=lambda g: allocate(drawn, g, ones, n, radius)[1].mean()), ones, n
+    return min(options, key=lambda g: allocate(drawn, g, ones, n, radius, probe_cost)[1].mean()), ones, n
 
 
-def _probe_fn(parts: list[list[int]], ones: np.ndarray, total: int, radius: int, names: list[str]):
+def _probe_fn(parts: list[list[int]], ones: np.ndarray, total: int, radius: int, names: list[str], probe_cost: float):
     masks = [np.array([sum(1 << b for b in c) for t in range(radius + 1) for c in combinations(g, t)], np.uint64) for g in parts]
     upto = [np.cumsum([comb(len(g), t) for t in range(radius + 1)]) for g in parts]
     whole = [np.uint64(sum(1 << b for b in g)) for g in parts]
@@ -196,7 +197,7 @@ def _probe_fn(parts: list[list[int]], ones: np.ndarray, total: int, radius: int,
             fps = words[0]
             if not len(fps):
                 continue
-            t, _ = allocate(_bits(fps), parts, ones, total, radius)
+            t, _ = allocate(_bits(fps), parts, ones, total, radius, probe_cost)
             for i in range(len(parts)):
                 own = fps.view(np.uint64) & whole[i]
                 for level in range(-1, radius + 1):
@@ -358,13 +359,14 @@ def hamming_links(distinct: DataFrame, radius: int = 3, partitions: int | None =
     between xxhash64 keys of all words instead of between values of fp.
     """
     spark = distinct.sparkSession
-    parts, ones, total = plan_parts(distinct, radius)
+    cost = WIDE_PROBE_COST if rest else PROBE_COST
+    parts, ones, total = plan_parts(distinct, radius, cost)
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["fp", *rest]
     schema = "part int, value long, own boolean, " + ", ".join(f"{c} long" for c in names)
-    probes = distinct.select(*names).mapInArrow(_probe_fn(parts, ones, total, radius, names), schema)
+    probes = distinct.select(*names).mapInArrow(_probe_fn(parts, ones, total, radius, names, cost), schema)
     node = F.xxhash64(*names) if rest else F.col("fp")
     buckets = probes.repartition(n, "part", "value").sortWithinPartitions("part", "value")
     return buckets.select("part", "value", "own", node.alias("node"), *names).mapInArrow(_verify_fn(radius, wide), "a long, b long")
