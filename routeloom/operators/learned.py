@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.operators.outcomes import ratio
+from routeloom.sources.scratch import ensure_checkpoints
 
 #: Sizes are those of the reference's hybrid registry.
 MODELS = {
@@ -167,6 +168,7 @@ class Boosted:
         return x.withColumn("margin", F.col("margin") / (total or 1.0))
 
     def fit(self, rows: DataFrame) -> Boosted:
+        ensure_checkpoints(rows.sparkSession)
         self.stumps = []
         x = rows.withColumn("weight", F.lit(1.0))
         for _ in range(self.rounds):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from routeloom.plans import policy_sql, sql
-from routeloom.plans.queries import QUERIES
+from routeloom.plans import extra, policy_sql, queries, sql
 
-ORACLE_SQL = sql.ORACLE_SQL | policy_sql.ORACLE_SQL
+QUERIES = queries.QUERIES | extra.QUERIES
+ORACLE_SQL = sql.ORACLE_SQL | policy_sql.ORACLE_SQL | extra.ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]
