@@ -153,7 +153,9 @@ def smooth_curve(curve: str, strength: float = 0.5):
 
 def candidate_rows(wide: DataFrame, key: str, actions: dict[str, tuple[str, str]]) -> DataFrame:
     """Long candidate rows from wide ones, actions given as name: (correct column, cost column), with the 0-based rank
-    by (cost, name) and the gain over the cheapest action; a prompt's actions stay in one array, so nothing is shuffled."""
-    items = F.array_sort(F.array(*[F.struct(F.col(cost).cast("double").alias("action_cost"), F.lit(a).alias("action_name"), F.col(ok).alias("correct")) for a, (ok, cost) in actions.items()]))
+    by (cost, name) and the gain over the cheapest action; a prompt's actions stay in one array, so nothing is shuffled.
+    Actions without a cost in a row are left out."""
+    item = lambda a, ok, cost: F.when(F.col(cost).isNotNull(), F.struct(F.col(cost).cast("double").alias("action_cost"), F.lit(a).alias("action_name"), F.col(ok).alias("correct")))
+    items = F.sort_array(F.array_compact(F.array(*[item(a, ok, cost) for a, (ok, cost) in actions.items()])))
     x = wide.select(key, items.alias("i")).select(key, F.col("i")[0]["correct"].alias("base"), F.posexplode("i").alias("cost_rank", "c"))
     return x.select(F.col(key).alias("prompt_id"), "c.action_name", "c.action_cost", "c.correct", "cost_rank", (F.col("c.correct") - F.col("base")).alias("gain_vs_cheapest"))
