@@ -309,18 +309,19 @@ def top_separating(s, d):
 # ---------------------------------------------------------------- simulated allocation
 
 COSTS = [0, 1, 2, 4]
-_CURVE = [f"greatest({', '.join(f'CAST((l_partkey * {k} % 101) AS DOUBLE) / 100' for k in (3, 7, 11, 13)[: i + 1])})" if i else "CAST((l_partkey * 3 % 101) AS DOUBLE) / 100" for i in range(4)]
+_CURVE = [f"greatest({', '.join(f'CAST((p_partkey * {k} % 101) AS DOUBLE) / 100' for k in (3, 7, 11, 13)[: i + 1])})" if i else "CAST((p_partkey * 3 % 101) AS DOUBLE) / 100" for i in range(4)]
 
 
 def _curves(s, d):
-    """A rising curve of four levels for each part and supplier, an instance for each supplier."""
-    x = I.read(s, d, "lineitem").select(F.col("l_suppkey").alias("instance"), F.col("l_partkey").alias("part"), "l_partkey").distinct()
-    raw = F.array(*[(F.col("l_partkey") * k % 101 / 100).cast("double") for k in (3, 7, 11, 13)])
+    """A rising curve of four levels for each part, in instances of some twenty parts."""
+    n = F.col("p_partkey")
+    x = I.read(s, d, "part").select(F.floor(n / 20).alias("instance"), n.alias("part"))
+    raw = F.array(*[(F.col("part") * k % 101 / 100).cast("double") for k in (3, 7, 11, 13)])
     hard = F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (F.col("part") % 3 + 1).cast("int"))
     return x.select("instance", "part", simulated.rising(raw).alias("curve"), F.when(F.col("part") % 3 < 2, hard).otherwise("easy").alias("difficulty"))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT l_suppkey, l_partkey, l_partkey % 4 AS level, CASE l_partkey % 3 WHEN 1 THEN 'medium' ELSE 'easy' END AS difficulty, [{', '.join(_CURVE)}] AS curve FROM lineitem),
+@query(f"""WITH p AS (SELECT p_partkey % 4 AS level, CASE p_partkey % 3 WHEN 1 THEN 'medium' ELSE 'easy' END AS difficulty, [{', '.join(_CURVE)}] AS curve FROM part),
   s AS (SELECT *, [0, 1, 2, 4][level + 1] AS cost, curve[level + 1] AS utility FROM p), e AS (SELECT unnest(['easy', 'medium', 'hard']) AS difficulty), l AS (SELECT difficulty, CAST(unnest(range(4)) AS INT) AS level FROM e)
   SELECT l.difficulty, l.level, count(s.level) FILTER (s.level = l.level) AS n, {_ratio('count(s.level) FILTER (s.level = l.level)', 'count(s.level)')} AS fraction, count(s.level) AS num_queries,
     coalesce(avg(cost), 0) AS average_cost, round(coalesce(avg(utility), 0), 9) AS average_utility FROM l LEFT JOIN s USING (difficulty) GROUP BY l.difficulty, l.level""")
@@ -331,7 +332,7 @@ def difficulty_summary(s, d):
 
 @query()
 def budget_sweep(s, d):
-    return simulated.budget_sweep(_curves(s, d), "instance", "part", COSTS, [20, 60, 120])
+    return simulated.budget_sweep(_curves(s, d), "instance", "part", COSTS, [10, 20, 40])
 
 
 @query()
@@ -341,7 +342,7 @@ def budget_gaps(s, d):
 
 @query()
 def noise_sweep(s, d):
-    return simulated.noise_sweep(_curves(s, d).withColumn("budget", F.lit(60)), "instance", "part", COSTS, {"none": 0.0, "high": 0.2})
+    return simulated.noise_sweep(_curves(s, d).withColumn("budget", F.lit(25)), "instance", "part", COSTS, {"none": 0.0, "high": 0.2})
 
 
 @query()
