@@ -112,7 +112,7 @@ def math_text(raw: Column) -> Column:
     c = let(F.trim(raw), lambda x: first_filled(F.trim(boxed(x)), x))
     c = F.regexp_replace(F.regexp_replace(c, r"(?s)^(\$+)\s*(.*?)\s*\$+$", "$2"), r"[.;,]+$", "")
     c = F.regexp_replace(F.regexp_replace(c, r"^[:= ]+", ""), r"\\left|\\right|\\[,!;:]", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\\[td]frac", r"\\\\frac"), r"(?U)\s+", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"\\[td]frac", r"\\frac"), r"(?U)\s+", "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?<=[0-9]),(?=[0-9]{3})", ""), r"(?<![0-9.A-Za-z\\])0+(?=[0-9])", "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?<=[0-9])\.0+(?![0-9])", ""), r"(\.[0-9]*[1-9])0+(?![0-9])", "$1")
     c = F.regexp_replace(c, r"^\(([^,]*)\)$", "$1")
