@@ -290,7 +290,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     v = v.where(F.size("v") == d)
     drawn = np.array([r.v for r in v.orderBy(F.xxhash64("id"), "id").limit(sample).collect()], np.float64)
     coder = Coder(drawn, longest)
-    radius = coder.radius(drawn, k)
+    radius = coder.radius(drawn, max(1, round(k * len(drawn) / n)))  # as near as the table's k are the sample's share of them
     rows = max(1, min(shard_rows, SHARD_BYTES // (8 * d)))
     # cells of that size, and enough of them for the cores if that leaves each an eighth of it at least
     bits = min(16, max(0, int(np.ceil(np.log2(n / rows))), min(int(np.log2(max(1, 8 * n / rows))), int(np.ceil(np.log2(max(1, spark.sparkContext.defaultParallelism / SUBSTRINGS)))))))
