@@ -53,15 +53,29 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/routeloom-{spark.sparkContext.applicationId}"
 
 
+#: Paths given out and not yet deleted, oldest first.
+WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch paths whose readers are done."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if p in WRITTEN:
+            WRITTEN.remove(p)
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete what this application's operators have written in the shared folder. Call it once their results, which
+    """Delete all that this application's operators have written in the shared folder. Call it once their results, which
     are read from there, have been used."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, [_own_dir(spark)])
+    WRITTEN.clear()
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
