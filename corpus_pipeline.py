@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm.common import scratch_path, table
+from routeloom.llm.common import WRITTEN, drop, scratch_path, table
 from routeloom.llm.mixing import curriculum
 from routeloom.llm.pieces import round_trip
 from routeloom.llm.quality import keep_quality
@@ -32,14 +32,18 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("pieces", pieces)]
-#: The classifier is fitted, so SQL can't express the first stage; tests/llm compares the rows with brute force.
+#: The classifier is fitted, so SQL can't express the first stage; tests/llm/test_pipeline.py compares with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage is written and read again, and what it and the one before it wrote besides is
+    deleted then; what the last reads stays until common.clean."""
+    docs, before = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
+        done = stage(spark, docs, sf_dir)
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        done.write.parquet(path)
         docs = spark.read.parquet(path)
+        drop(spark, [p for p in WRITTEN[before:] if p != path])
     return STAGES[-1][1](spark, docs, sf_dir)
