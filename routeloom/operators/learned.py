@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline
@@ -13,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from routeloom.operators.outcomes import ratio
 from routeloom.sources.scratch import ensure_checkpoints
@@ -46,22 +49,23 @@ def class_weights(counts: dict[float, int]) -> Column:
 def out_of_fold(rows: DataFrame, name: str, key: str, features: list[str], label: str, folds: int = 3) -> DataFrame:
     """(key, fold, label, probability): each fold scored by a model of the others, whose rows alone weigh the classes;
     folds by hash of the key. With only one class in the training folds the probability is that class."""
+    ensure_checkpoints(rows.sparkSession)  # boosting cuts its lineage there every ten rounds
     x = rows.select(key, F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
     counts = {(r.fold, r.label): r.n for r in x.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = None
-    for k in range(folds):
+
+    def scored(k: int) -> DataFrame:
         own: dict[float, int] = {}
         for (fold, c), n in counts.items():
             if fold != k:
                 own[c] = own.get(c, 0) + n
         train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
         if len(own) < 2:
-            got = test.select(key, "fold", "label", F.lit(float(next(iter(own), 0.0))).alias("probability"))
-        else:
-            fitted = make_model(name, features).fit(train.withColumn("weight", class_weights(own)))
-            got = fitted.transform(test).select(key, "fold", "label", vector_to_array("probability")[1].alias("probability"))
-        total = got if total is None else total.unionByName(got)
-    return total
+            return test.select(key, "fold", "label", F.lit(float(next(iter(own), 0.0))).alias("probability"))
+        fitted = make_model(name, features).fit(train.withColumn("weight", class_weights(own)))
+        return fitted.transform(test).select(key, "fold", "label", vector_to_array("probability")[1].alias("probability"))
+
+    with ThreadPoolExecutor(folds) as pool:  # folds are fitted side by side
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(folds)))
 
 
 def constant_score(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
