@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions.answers import calibration, normalized_number, numeric_answer
-from routeloom.functions.text import target_features
+from routeloom.functions.text import target_features, text_parts
 
 # Patterns and cue words that define the signals.
 PLAIN_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
@@ -345,9 +345,10 @@ def with_unified_error(df: DataFrame, question: str, reasoning: str, answer: str
     unified_error_score and unified_confidence_score."""
     q, t, a = F.col(question), F.col(reasoning), F.col(answer)
     x = with_steps(with_constraints(with_role_coverage(df, question, reasoning, answer), question, reasoning, answer), question, reasoning)
-    parts = {"target": target_features(q), "self": self_verification(t, a), "selective": selective_prediction(t, a, None if passes is None else F.col(passes)), "calibration": calibration(t, a)}
+    x, shared = staged(x, "shared", text_parts(q))
+    parts = {"target": target_features(q, shared), "self": self_verification(t, a), "selective": selective_prediction(t, a, None if passes is None else F.col(passes)), "calibration": calibration(t, a)}
     x, flat = staged(x, "part", {f"{k}_{n}": c for k, v in parts.items() for n, c in v.items()})
-    x = unstaged(x.withColumns({k: F.struct(*[flat[f"{k}_{n}"].alias(n) for n in v]) for k, v in parts.items()}), "part")
+    x = unstaged(x.withColumns({k: F.struct(*[flat[f"{k}_{n}"].alias(n) for n in v]) for k, v in parts.items()}), "part", "shared")
     bit = lambda c: c.cast("int")
     k, c, g = F.col("role"), F.col("constraint"), F.col("target")
     confidence = {"selective": F.col("selective")["confidence_proxy_score"], "calibration": F.col("calibration")["predicted_answer_format_confidence"], "self": F.col("self")["self_verification_score"], "step": F.col("step")["step_consistency_score"]}
