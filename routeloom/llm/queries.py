@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 
+from routeloom.llm import codes, negatives, rules
 from routeloom.llm.chat import CONTROLS, END, START, op3_chat
+from routeloom.llm.codes import op12_codes
 from routeloom.llm.gif import op1_gif
 from routeloom.llm.hashing import op8_hashing
 from routeloom.llm.mixing import op5_mixing
+from routeloom.llm.negatives import op13_negatives
 from routeloom.llm.packing import op4_packing
 from routeloom.llm.pieces import op10_pieces
 from routeloom.llm.quality import op2_quality
+from routeloom.llm.rules import op11_rules
 from routeloom.llm.simhash import op6_simhash
 from routeloom.llm.urls import op7_urls
 from routeloom.llm.warc import ALPHABET, op9_warc
@@ -26,6 +30,9 @@ QUERIES = {
     "op8_hashing": op8_hashing,
     "op9_warc": op9_warc,
     "op10_pieces": op10_pieces,
+    "op11_rules": op11_rules,
+    "op12_codes": op12_codes,
+    "op13_negatives": op13_negatives,
 }
 _CONTROL = "|".join(map(re.escape, CONTROLS))
 _BARE = len(START) + len(END) + 2
@@ -41,4 +48,7 @@ ORACLE_SQL: dict[str, str] = {
       h AS (SELECT page_id, first, strlen(html) AS payload_bytes, sha1(html) AS d FROM p)
       SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('{ALPHABET}', CAST(((CAST('0x' || substr(d, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
         CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h""",
+    "op11_rules": rules.ORACLE,
+    "op12_codes": codes.ORACLE,
+    "op13_negatives": negatives.ORACLE,
 }

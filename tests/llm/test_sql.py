@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_rows(spark, name):
     c = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "documents", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = c.execute(ORACLE_SQL[name])
