@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm.common import WRITTEN, drop, scratch_path, table
+from routeloom.llm.common import collected, drop, scratch_path, table
 from routeloom.llm.mixing import curriculum
 from routeloom.llm.pieces import round_trip
 from routeloom.llm.quality import keep_quality
@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group linked by a similarity of at least 0.8 over five-word shingles."""
+    """The least document of each group linked by a Jaccard similarity of at least 0.8 of the sets of five-word shingles."""
     return dedup(docs, similarity=0.8)
 
 
@@ -39,11 +39,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage is written and read again, and what it and the one before it wrote besides is
     deleted then; what the last reads stays until common.clean."""
-    docs, before = table(spark, sf_dir, "documents"), len(WRITTEN)
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        done = stage(spark, docs, sf_dir)
+        with collected() as written:
+            done = stage(spark, docs, sf_dir)
         path = scratch_path(spark, f"stage-{name}")
         done.write.parquet(path)
         docs = spark.read.parquet(path)
-        drop(spark, [p for p in WRITTEN[before:] if p != path])
+        drop(spark, [*before, *written])
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow.compute as pc
@@ -53,13 +55,27 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/routeloom-{spark.sparkContext.applicationId}"
 
 
-#: Paths given out and not yet deleted, oldest first.
-WRITTEN: list[str] = []
+#: The list that the scratch paths of the present thread or task are added to, if any.
+_COLLECTED: ContextVar[list[str] | None] = ContextVar("collected", default=None)
+
+
+@contextmanager
+def collected():
+    """A list that gets the scratch paths given out inside, by this thread alone: what other operators write at the same
+    time isn't in it."""
+    paths: list[str] = []
+    token = _COLLECTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTED.reset(token)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    WRITTEN.append(f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}")
-    return WRITTEN[-1]
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (paths := _COLLECTED.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -67,15 +83,12 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if p in WRITTEN:
-            WRITTEN.remove(p)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all that this application's operators have written in the shared folder. Call it once their results, which
     are read from there, have been used."""
     drop(spark, [_own_dir(spark)])
-    WRITTEN.clear()
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:

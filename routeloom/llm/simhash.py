@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import bounded_batches, saved, table, unused
+from routeloom.llm.common import bounded_batches, saved, table, text_or_empty, unused
 from routeloom.llm.components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -30,10 +30,14 @@ WIDE = ("fp", "fp1", "fp2", "fp3")
 #: A probe (a row that is shuffled and sorted) costs as much as so many comparisons in a bucket; a wide one, which also
 #: takes disk in proportion to its length, as WIDE_PROBE_COST.
 PROBE_COST, WIDE_PROBE_COST = 40.0, 400.0
+#: Deviations by which candidates' fingerprints may be further apart than those of just similar texts are on average.
+RADIUS_DEVIATIONS, WIDE_DEVIATIONS = 1.5, 1.7
 #: Buckets up to this size are compared by shifting, larger ones by breadth-first search.
 SMALL = 8
 #: Buckets above this size are first divided by the other bits.
 LARGE = 4096
+#: Buckets up to this size give all their candidate pairs to exact verification at once.
+PAIRS = 64
 
 
 def simhash(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
@@ -42,18 +46,26 @@ def simhash(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
     The first 64 bits of a hash are XXH64 (seed 42), the others a mixture of these. Words are split at space, tab, LF, VT,
     FF and CR after lower-casing A-Z. Fewer words than `shingle` make one shingle; no words give 0.
     """
+    return _majority(shingle_hashes(text, shingle), words)
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a UTF-8 text, in order, repeats included; none for a text without words."""
     split = text.translate(_LOWER).split()
     if not split:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(split)
     digest = xxhash.xxh64_intdigest
     if len(split) <= shingle:
-        h = np.array([digest(joined, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: 1 - shingle].tolist()
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([digest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: 1 - shingle].tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def _majority(h: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprint of hashes: the bits set in over half of them."""
     ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(h), 65536):
         some = h[at : at + 65536]
@@ -83,13 +95,17 @@ def fingerprint_column(text_col: str, shingle: int = 3):
     return fingerprint(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def wide_column(text_col: str, shingle: int):
-    """Struct of the WIDE words of a wide fingerprint, signed; null texts count as empty."""
+def set_column(text_col: str, shingle: int):
+    """Struct of the WIDE words, signed, of the fingerprint of a text's distinct shingles, and `key`, a digest of that set
+    (the XXH64 of its sorted hashes); null texts count as empty."""
 
-    @F.pandas_udf(", ".join(f"{w} long" for w in WIDE))
+    @F.pandas_udf(", ".join(f"{w} long" for w in (*WIDE, "key")))
     def fingerprint(texts: pd.Series) -> pd.DataFrame:
-        rows = [simhash(t.encode(), shingle, len(WIDE)) for t in texts]
-        return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, len(WIDE)).view(np.int64), columns=WIDE)
+        rows = np.zeros((len(texts), len(WIDE) + 1), np.uint64)
+        for i, t in enumerate(texts):
+            h = np.unique(shingle_hashes(t.encode(), shingle))
+            rows[i, :-1], rows[i, -1] = _majority(h, len(WIDE)), xxhash.xxh64_intdigest(h.tobytes())
+        return pd.DataFrame(rows.view(np.int64), columns=[*WIDE, "key"])
 
     return fingerprint(F.coalesce(F.col(text_col), F.lit("")))
 
@@ -318,7 +334,101 @@ def _links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarra
     return _forest(a, b) if len(a) else (a, b)
 
 
-def _verify_fn(radius: int, wide: int = 0):
+def _graded(words: list[np.ndarray], own: np.ndarray, radius: int, levels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (row numbers, bits apart) of a large bucket that join its rows at each level with the fewest: at a level, rows
+    are searched breadth first, and of the rows of one group joined before that a row finds, the nearest is linked."""
+    label, out = np.arange(len(own)), []
+    for level in levels:
+        left = np.argsort(~own, kind="stable")
+        values = [w[left] for w in words]
+        ours, new = int(own.sum()), label.copy()
+        while ours and len(left) > 1:
+            first = left[0]
+            front, mine = [first], {int(label[first])}
+            left, values, ours = left[1:], [v[1:] for v in values], ours - 1
+            reached = [first]
+            while front and len(left):
+                x = front.pop()
+                scope = len(left) if own[x] else ours
+                hit = np.flatnonzero(np.bitwise_count(values[0][:scope] ^ words[0][x]) <= radius)
+                apart = sum(np.bitwise_count(v[hit] ^ w[x]).astype(np.int64) for v, w in zip(values, words)) if len(hit) else hit
+                near = apart <= level
+                hit, apart = hit[near], apart[near]
+                if not len(hit):
+                    continue
+                found = left[hit]
+                order = np.lexsort((found, apart))
+                groups, at = np.unique(label[found][order], return_index=True)
+                for g, i in zip(groups.tolist(), order[at].tolist()):
+                    if g not in mine:
+                        mine.add(g)
+                        out.append((x, found[i], apart[i]))
+                reached.extend(found.tolist())
+                front.extend(found.tolist())
+                ours -= int(own[found].sum())
+                left, values = np.delete(left, hit), [np.delete(v, hit) for v in values]
+            new[reached] = label[first]
+        label = new
+    return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _graded_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarray, words: list[np.ndarray], radius: int, sure: int, wide: int):
+    """(a, b, bits apart) of the sorted rows of whole buckets, a < b: all pairs within `wide` in buckets of up to PAIRS
+    rows, those of _graded in larger ones. Pairs within `sure` become links of their group's rows to its least, 0 apart."""
+    first = np.append(True, (part[1:] != part[:-1]) | (value[1:] != value[:-1]))
+    bucket = np.cumsum(first) - 1
+    sizes = np.bincount(bucket)
+    out = []
+    rows = np.flatnonzero(((sizes <= PAIRS) & (sizes > 1))[bucket])
+    k = bucket[rows]
+    for d in range(1, min(PAIRS, len(rows))):
+        hit = np.flatnonzero(k[d:] == k[:-d])
+        if not len(hit):
+            break
+        x, y = rows[:-d][hit], rows[d:][hit]
+        near = (own[x] | own[y]) & (np.bitwise_count(words[0][x] ^ words[0][y]) <= radius)
+        x, y = x[near], y[near]
+        apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
+        out.append((node[x], node[y], apart))
+    step = max(1, (wide - sure) // 4)
+    for g in np.flatnonzero(sizes > PAIRS):
+        at = int(np.flatnonzero(first)[g])
+        here = slice(at, at + int(sizes[g]))
+        if own[here].any():
+            x, y, apart = _graded([w[here] for w in words], own[here], radius, [*range(sure, wide, step), wide])
+            out.append((node[here][x], node[here][y], apart))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    a, b, apart = (np.concatenate(c) for c in zip(*out))
+    keep = (apart <= wide) & (a != b)
+    a, b, apart = np.minimum(a, b)[keep], np.maximum(a, b)[keep], apart[keep]
+    close = apart <= sure
+    x, y = _forest(a[close], b[close]) if close.any() else (a[:0], a[:0])
+    rest = np.unique(np.stack([a[~close], b[~close], apart[~close]], axis=1), axis=0)
+    return np.append(y, rest[:, 0]), np.append(x, rest[:, 1]), np.append(np.zeros(len(x), np.int64), rest[:, 2])
+
+
+def _across_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarray, words: list[np.ndarray], radius: int, wide: int):
+    """(a, b, bits apart), a < b, of all pairs within `wide` whose last word, a label, differs. Rows of a bucket's
+    commonest label are only met by the others."""
+    *words, label = words
+    first = np.append(True, (part[1:] != part[:-1]) | (value[1:] != value[:-1]))
+    starts = np.append(np.flatnonzero(first), len(first))
+    out = [np.zeros((3, 0), np.int64)]
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        names, of, counts = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            continue
+        most = int(counts.argmax())
+        for x in (np.flatnonzero(of != most) + lo).tolist():
+            hit = np.flatnonzero((of != of[x - lo]) & (own[lo:hi] | own[x]) & (np.bitwise_count(words[0][lo:hi] ^ words[0][x]) <= radius)) + lo
+            apart = sum(np.bitwise_count(w[hit] ^ w[x]).astype(np.int64) for w in words)
+            hit, apart = hit[apart <= wide], apart[apart <= wide]
+            out.append(np.stack([np.minimum(node[hit], node[x]), np.maximum(node[hit], node[x]), apart]))
+    return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+
+
+def _verify_fn(radius: int, wide: int = 0, sure: int | None = None, across: bool = False):
     """Streams rows (part, value, own, node, fingerprint words) sorted by bucket."""
 
     def verify(batches):
@@ -328,6 +438,9 @@ def _verify_fn(radius: int, wide: int = 0):
             return [np.concatenate(c) for c in zip(*group)]
 
         def out(cols):
+            if across or sure is not None:
+                found = _across_links(*cols[:4], cols[4:], radius, wide) if across else _graded_links(*cols[:4], cols[4:], radius, sure, wide)
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "apart"])
             a, b = _links(*cols[:4], cols[4:], radius, wide)
             return pa.RecordBatch.from_pydict({"a": a, "b": b})
 
@@ -352,24 +465,29 @@ def _verify_fn(radius: int, wide: int = 0):
     return verify
 
 
-def hamming_links(distinct: DataFrame, radius: int = 3, partitions: int | None = None, rest: tuple = (), wide: int = 0) -> DataFrame:
+def hamming_links(distinct: DataFrame, radius: int = 3, partitions: int | None = None, rest: tuple = (), wide: int = 0, sure: int | None = None, across: str | None = None) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of distinct fingerprints (column fp) within the radius.
 
     With further fingerprint words (columns `rest`), pairs must also be within `wide` bits over all words, and links are
-    between xxhash64 keys of all words instead of between values of fp.
+    between values of the column `key` instead of between values of fp. With `sure`, links have a third column, the bits
+    `apart` over all words: rows within `sure` bits are linked as groups, 0 apart; of the pairs beyond, all are given that
+    meet in buckets of up to PAIRS rows, and in larger ones those that join the groups there level by level. With `across`,
+    a column of labels (longs), all pairs are given whose labels differ, with `apart`.
     """
     spark = distinct.sparkSession
     cost = WIDE_PROBE_COST if rest else PROBE_COST
+    graded = sure is not None or across is not None
     parts, ones, total = plan_parts(distinct, radius, cost)
     if total < 2:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long" + ", apart long" * graded)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = ["fp", *rest]
+    labels = [across] if across else []
+    names = ["fp", *rest, *["key"] * bool(rest), *labels]
     schema = "part int, value long, own boolean, " + ", ".join(f"{c} long" for c in names)
     probes = distinct.select(*names).mapInArrow(_probe_fn(parts, ones, total, radius, names, cost), schema)
-    node = F.xxhash64(*names) if rest else F.col("fp")
     buckets = probes.repartition(n, "part", "value").sortWithinPartitions("part", "value")
-    return buckets.select("part", "value", "own", node.alias("node"), *names).mapInArrow(_verify_fn(radius, wide), "a long, b long")
+    bucket_rows = buckets.select("part", "value", "own", F.col("key" if rest else "fp").alias("node"), "fp", *rest, *labels)
+    return bucket_rows.mapInArrow(_verify_fn(radius, wide, sure, bool(across)), "a long, b long" + ", apart long" * graded)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -400,22 +518,95 @@ def bits_apart(similarity: float, bits: int, deviations: float = 0.0) -> int:
     return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
+def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets, as sorted 64-bit hashes in `sets` (key, hashes), have at least that Jaccard
+    similarity."""
+
+    def run(batches):
+        for b in batches:
+            left, right = b.column(2), b.column(3)
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                    both = int((y[at] == x).sum()) if len(y) else 0
+                    keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+
+    left = edges.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links (a, b): the sure ones of `links`, and those beyond whose sets are similar, except where the ends are joined
+    already. sets_of gives the sets of the keys it is given.
+
+    Where more than 4 candidate pairs a set are left, each set's nearest is verified first and what that joins needn't be
+    compared again; then all the others are.
+    """
+    known = links.where("apart = 0").select("a", "b")
+    edges, sets = links.where("apart > 0").groupBy("a", "b").agg(F.min("apart").alias("apart")), None
+    while True:
+        roots = connected_components(known)
+        for end in "ab":
+            edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        edges = saved(edges.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "apart"), "candidates")
+        nodes = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        many, few = edges.count(), nodes.count()
+        if not many:
+            return known
+        sets = saved(sets_of(nodes), "sets") if sets is None else sets
+        if many <= 4 * few:
+            return known.union(_similar(edges, sets, similarity))
+        ends = edges.select(F.explode(F.array("a", "b")).alias("key"), F.struct("apart", "a", "b").alias("e"))
+        best = saved(ends.groupBy("key").agg(F.min("e").alias("e")).select("e.*").distinct(), "nearest")
+        known = saved(known.union(_similar(best, sets, similarity)), "links")
+        edges = edges.join(best.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(doc_id, key, component_id) for every row of docs: component_id is the least id of all rows reachable by links
-    between texts whose similarity of shingle sets, as their wide fingerprints give it, is at least `similarity`.
-
-    The estimate's deviation is 0.03 at 0.8 (64 x len(WIDE) bits). Candidates are those whose first 64 bits are within
-    the radius that 87 % of the pairs of exactly this similarity keep, and nearly all of more similar ones; all
-    candidates are verified. Nulls, equal fingerprints, ids and empty tables as in near_duplicates; `key` is xxhash64 of
-    the fingerprint.
+    between texts whose sets of shingles have at least that Jaccard similarity.
+
+    Sets, not counts: repeated lines don't matter. Texts with equal sets (`key`, a 64-bit digest) count as one. Candidates
+    are pairs of fingerprints of 64 x len(WIDE) bits that are within RADIUS_DEVIATIONS of what that similarity gives in
+    the first 64 bits and within WIDE_DEVIATIONS in all. Candidates whose fingerprints say a similarity far above (4
+    deviations: one in 30,000 pairs of just that similarity does) are links; all others are compared exactly, but for
+    those between texts that are joined already. Groups of more than PAIRS texts take two passes: the first compares the
+    nearest candidates, the second all those between the groups that are left. So a link may be missing (README.md has
+    the shares by similarity), but none is false. Nulls, ids and empty tables as in
+    near_duplicates; texts without words have the empty set and are one group.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    fps = docs.select(F.col(id_col).alias("doc_id"), wide_column(text_col, shingle).alias("w")).select("doc_id", "w.*")
-    fps = saved(fps.withColumn("key", F.xxhash64(*WIDE)), "fingerprints")
-    groups = saved(fps.groupBy("key", *WIDE).agg(F.min("doc_id").alias("least")), "groups")
-    links = hamming_links(groups, bits_apart(similarity, 64, 1.15), rest=WIDE[1:], wide=bits_apart(similarity, 64 * len(WIDE)))
-    roots = connected_components(saved(links, "links"))
+    text = text_or_empty(text_col)
+    named = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.crc32(text.cast("binary")).alias("c"))
+    fps = saved(named.select("doc_id", "t", "c", set_column("text", shingle).alias("w")).select("doc_id", "t", "c", "w.*"), "fingerprints")
+    groups = saved(fps.groupBy("key", *WIDE).agg(F.min("doc_id").alias("least"), F.min(F.struct("t", "c")).alias("of")), "groups")
+    bits = 64 * len(WIDE)
+    radius, wide = bits_apart(similarity, 64, RADIUS_DEVIATIONS), bits_apart(similarity, bits, WIDE_DEVIATIONS)
+    links = saved(hamming_links(groups, radius, rest=WIDE[1:], wide=wide, sure=bits_apart(similarity, bits, -4.0)), "links")
+
+    def sets_of(keys):
+        @F.pandas_udf("binary")
+        def hashes(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: np.unique(shingle_hashes(t.encode(), shingle)).tobytes())
+
+        wanted = groups.join(keys, "key", "left_semi").select("key", "of.*")
+        texts = named.groupBy("t", "c").agg(F.first("text").alias("text"))
+        return texts.join(wanted, ["t", "c"]).select("key", hashes("text").alias("hashes"))
+
+    known = saved(_verified(links, sets_of, similarity), "verified")
+    roots = connected_components(known)
+    # what a larger bucket left out: candidates between the groups that verification has left of a large one
+    loose = connected_components(links).withColumnRenamed("root", "loose").join(roots, "node", "left").select("node", "loose", F.coalesce("root", "node").alias("root"))
+    sizes = loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("apart") & (F.col("n") > PAIRS))
+    open_ = saved(groups.join(loose.join(sizes, "loose", "left_semi"), F.col("key") == F.col("node")).select(*WIDE, "key", "root"), "open")
+    if open_.limit(1).count():
+        more = saved(hamming_links(open_, radius, rest=WIDE[1:], wide=wide, across="root"), "links")
+        roots = connected_components(_verified(known.withColumn("apart", F.lit(0).cast("long")).union(more), sets_of, similarity))
     rooted = groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")

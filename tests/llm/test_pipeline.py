@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import random
+import threading
 from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from routeloom.llm import mixing, pieces, quality, simhash
-from routeloom.llm.common import clean, scratch_path
+from routeloom.llm import mixing, pieces, quality
+from routeloom.llm.common import clean, collected, saved, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,6 +33,11 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
+def shingles(text, n=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
 def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
@@ -55,12 +61,10 @@ def test_stages(spark, folder):
 
     single = stage("near_duplicates", kept)
     texts = {i: r.text for i, r in by_id(kept).items()}
-    print_of = {i: simhash.simhash((t or "").encode(), 5, 4) for i, t in texts.items()}
-    root = {i: i for i in texts}
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
     for a in sorted(texts):
         for b in sorted(texts):
-            apart = np.bitwise_count(print_of[a] ^ print_of[b])
-            if a < b and apart[0] <= simhash.bits_apart(0.8, 64, 1.15) and apart.sum() <= simhash.bits_apart(0.8, 256) and root[a] != root[b]:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = {i: new if r == old else r for i, r in root.items()}
     assert single.columns == COLUMNS and set(by_id(single)) == set(root.values())
@@ -107,3 +111,14 @@ def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert mixing.targets(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def test_scratch_of_others_is_left(spark):
+    """Paths are collected for the run that asked for them only, also from another thread."""
+    other = []
+    with collected() as mine:
+        path = scratch_path(spark, "mine")
+        t = threading.Thread(target=lambda: other.append(saved(spark.range(3), "other")))
+        t.start()
+        t.join()
+    assert mine == [path] and other[0].count() == 3
