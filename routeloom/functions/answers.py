@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Patterns that define the extractors.
 ANSWER_NUMBER = r"-?[$]?[0-9,]+(?:\.[0-9]+)?"
 FINAL_CUE = r"(?i)(?:final answer|answer\s*:|so the answer is|therefore|thus|hence|result\s*:)"
+CUE_WORDS = ("answer", "therefore", "thus", "hence", "result")
+EDGE_SPACE = r"(?U)^\s+|\s+$"
 LETTER_FINAL = r"(?i)(?:final answer|answer)\s*:\s*\(?\s*([A-J])\s*\)?"
 BOOLEAN = r"(?iU)\b(true|false|yes|no|y|n|0|1)\b"
 HEDGES = "maybe|perhaps|possibly|probably|might|could be|not sure|unclear"
@@ -20,9 +22,14 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def filled(value: Column) -> Column:
+    """Null for an empty text; the value is computed once."""
+    return F.try_element_at(F.array_remove(F.array(value), F.lit("")), F.lit(1))
+
+
 def first_filled(*options: Column) -> Column:
-    """The first that is neither null nor empty, else empty; those after it aren't computed."""
-    return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
+    """The first that is neither null nor empty, else empty; those after it aren't computed, and none is twice."""
+    return F.coalesce(*map(filled, options), F.lit(""))
 
 
 def normalized_number(raw: Column) -> Column:
@@ -46,17 +53,50 @@ def last_lines(text: Column, n: int) -> Column:
     return F.array_join(F.reverse(F.slice(F.reverse(non_blank_lines(text)), 1, n)), "\n")
 
 
-def after_last(text: Column, pattern: str) -> Column:
-    """What follows the last match, null without one."""
-    return let(F.split(text, pattern, -1), lambda parts: F.when(F.size(parts) > 1, F.element_at(parts, -1)))
+def after_last(text: Column, pattern: str, words: tuple[str, ...] = ()) -> Column:
+    """What follows the last match, null without one. The pattern is only looked for in texts that have one of the words,
+    in any case, of which each match must have one."""
+    found = let(F.split(text, pattern, -1), lambda parts: F.when(F.size(parts) > 1, F.element_at(parts, -1)))
+    if not words:
+        return found
+    lower, some = F.lower(text), F.lit(False)
+    for w in words:
+        some = some | F.contains(lower, F.lit(w))
+    return F.when(some, found)
+
+
+def after_cue(text: Column) -> Column:
+    return after_last(text, FINAL_CUE, CUE_WORDS)
+
+
+def first_line(text: Column) -> Column:
+    return F.regexp_extract(text, r"^[^\r\n]*", 0)
+
+
+BOX = "\\boxed{"
 
 
 def boxed(text: Column) -> Column:
-    """Content of the last boxed expression, with braces nested up to two deep; empty without one."""
-    inner = r"[^{}]*"
-    for _ in range(2):
-        inner = r"(?:[^{}]|\{" + inner + r"\})*"
-    return F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{(" + inner + r")\}"), F.lit(1)), F.lit(-1)), F.lit(""))
+    """Content of the last boxed expression, to the brace that closes it at any depth, without white space at its ends;
+    empty without one or if it isn't closed. An expression that isn't closed hides those before it.
+
+    What follows the last mark is cut at its closing braces; after k of them the depth is 1 + opening braces so far - k,
+    and the content ends where that first is 0. Texts without the mark are only searched for it.
+    """
+
+    def read(parts: Column) -> Column:
+        def step(at: Column, part: Column) -> Column:
+            depth = at["depth"] + F.length(part) - F.length(F.replace(part, F.lit("{"), F.lit(""))) - 1
+            ended = at["depth"] == 0
+            return F.struct(F.when(ended, 0).otherwise(depth).alias("depth"), (at["parts"] + F.when(ended, 0).otherwise(1)).alias("parts"))
+
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("parts"))
+        closed = F.slice(parts, 1, F.size(parts) - 1)  # the last part isn't followed by a brace
+        end = F.aggregate(closed, start, step)
+        return let(end, lambda e: F.when(e["depth"] == 0, F.regexp_replace(F.array_join(F.slice(parts, 1, e["parts"]), "}"), EDGE_SPACE, "")))
+
+    rest = F.when(F.contains(text, F.lit(BOX)), F.split(F.substring_index(text, BOX, -1), r"\}", -1))
+    return F.coalesce(let(rest, lambda parts: F.when(F.size(parts) > 1, read(parts))), F.lit(""))
 
 
 def numeric_answer(text: Column) -> Column:
@@ -64,24 +104,28 @@ def numeric_answer(text: Column) -> Column:
     last three lines, else anywhere; empty if there is none."""
 
     def read(t: Column, trailing: Column) -> Column:
-        return first_filled(last_number(boxed(t)), last_number(F.split(trailing, r"\r\n|\r|\n")[0]), last_number(F.substring(trailing, 1, 200)), last_number(last_lines(t, 3)), last_number(t))
+        return first_filled(last_number(boxed(t)), last_number(first_line(trailing)), last_number(F.substring(trailing, 1, 200)), last_number(last_lines(t, 3)), last_number(t))
 
-    return let(F.trim(F.coalesce(text, F.lit(""))), lambda t: let(after_last(t, FINAL_CUE), lambda trailing: read(t, trailing)))
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda t: let(after_cue(t), lambda trailing: read(t, trailing)))
 
 
 def choice_letter(text: Column) -> Column:
     """A-J: the last "answer: X", else the last "(X)", else the last lone letter of the last five lines; empty if none."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    tail = last_lines(t, 5)
-    found = [F.try_element_at(F.regexp_extract_all(x, F.lit(p), F.lit(1)), F.lit(-1)) for x, p in ((t, LETTER_FINAL), (t, r"\(\s*([A-Ja-j])\s*\)"), (tail, r"(?<![A-Za-z])([A-Ja-j])(?![A-Za-z])"))]
-    return F.upper(F.coalesce(*found, F.lit("")))
+    last = lambda x, p: F.try_element_at(F.regexp_extract_all(x, F.lit(p), F.lit(1)), F.lit(-1))
+
+    def read(t: Column) -> Column:
+        said = F.when(F.contains(F.lower(t), F.lit("answer")), last(t, LETTER_FINAL))
+        bracketed = F.when(F.contains(t, F.lit("(")), last(t, r"\(\s*([A-Ja-j])\s*\)"))
+        return F.upper(F.coalesce(said, bracketed, last(last_lines(t, 5), r"(?<![A-Za-z])([A-Ja-j])(?![A-Za-z])"), F.lit("")))
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), read)
 
 
 def boolean_answer(text: Column) -> Column:
     """"true" or "false" by the last token that says so, else empty."""
     t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    token = F.try_element_at(F.regexp_extract_all(t, F.lit(BOOLEAN), F.lit(1)), F.lit(-1))
-    return F.when(token.isin("true", "yes", "y", "1"), "true").when(token.isin("false", "no", "n", "0"), "false").otherwise("")
+    token = F.regexp_extract(t, "(?s)^.*" + BOOLEAN, 1)  # from the end backwards
+    return let(token, lambda x: F.when(x.isin("true", "yes", "y", "1"), "true").when(x.isin("false", "no", "n", "0"), "false").otherwise(""))
 
 
 def text_answer(text: Column) -> Column:
@@ -125,8 +169,8 @@ def math_answer(text: Column) -> Column:
     inline = lambda x: F.try_element_at(F.regexp_extract_all(x, F.lit(r"(?s)\$(.+?)\$"), F.lit(1)), F.lit(-1))
 
     def read(t: Column, trailing: Column) -> Column:
-        options = [boxed(t), inline(F.substring(trailing, 1, 200)), F.trim(F.split(trailing, r"\r\n|\r|\n")[0]), inline(last_lines(t, 3)), last_lines(t, 1)]
+        options = [boxed(t), inline(F.substring(trailing, 1, 200)), F.trim(first_line(trailing)), inline(last_lines(t, 3)), last_lines(t, 1)]
         return math_text(first_filled(*options))
 
-    trailing = lambda t: F.regexp_replace(after_last(t, FINAL_CUE), r"^\s+", "")
+    trailing = lambda t: F.regexp_replace(after_cue(t), r"^\s+", "")
     return let(F.trim(F.coalesce(text, F.lit(""))), lambda t: let(trailing(t), lambda x: read(t, x)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions import text as T
-from routeloom.functions.answers import math_text, numeric_answer
+from routeloom.functions.answers import first_filled, let, math_text, numeric_answer
 from routeloom.functions.consistency import with_constraints
 
 # Patterns of the A-D letter in the order in which they are tried, and of numbers in an output's tail.
@@ -31,16 +31,14 @@ PATTERNS = {
     "rate_total": ("per", "each", "every", "rate"),
     "ratio_transform": ("ratio", "twice", "half", "double"),
 }
+#: White space as Java's \\s has it with Unicode classes.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends; null is empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-
-
-def _either(*options: Column) -> Column:
-    return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(WHITE))
 
 
 def stripped_lines(t: Column) -> Column:
@@ -56,13 +54,18 @@ def letter(raw: Column) -> Column:
 def option_letter(text: Column) -> Column:
     """A-D of an output: the first boxed letter, the first after "answer", the first in brackets, the last of the last
     five lines that is a letter alone, else the last such character of the last 80; empty if none."""
-    t = stripped(text)
-    lines = F.slice(F.reverse(stripped_lines(t)), 1, 5)
-    alone = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, LONE_LETTER, 1)), lambda x: x != "")
-    return F.upper(_either(
-        F.regexp_extract(t, BOXED_LETTER, 1), F.regexp_extract(t, SAID_LETTER, 1), F.regexp_extract(t, BRACKETED_LETTER, 1),
-        F.coalesce(F.try_element_at(alone, F.lit(1)), F.lit("")), F.regexp_extract(F.right(t, F.lit(80)), r"(?s)^.*([A-Da-d])", 1),
-    ))
+
+    def read(t: Column) -> Column:
+        lower = F.lower(t)
+        lines = F.slice(F.reverse(stripped_lines(t)), 1, 5)
+        alone = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, LONE_LETTER, 1)), lambda x: x != "")
+        # a pattern is only looked for where the text has what each of its matches has
+        return F.upper(first_filled(
+            F.when(F.contains(lower, F.lit("\\boxed")), F.regexp_extract(t, BOXED_LETTER, 1)), F.when(F.contains(lower, F.lit("answer")), F.regexp_extract(t, SAID_LETTER, 1)),
+            F.when(F.contains(t, F.lit("(")), F.regexp_extract(t, BRACKETED_LETTER, 1)), F.try_element_at(alone, F.lit(1)), F.regexp_extract(F.right(t, F.lit(80)), r"(?s)^.*([A-Da-d])", 1),
+        ))
+
+    return let(stripped(text), read)
 
 
 def decimal_text(raw: Column) -> Column:

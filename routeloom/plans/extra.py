@@ -76,6 +76,23 @@ def document_answers(s, d):
     return I.read(s, d, "documents").select("doc_id", A.numeric_answer(t).alias("number"), A.boolean_answer(t).alias("truth"), A.choice_letter(t).alias("choice"))
 
 
+# Boxes and braces planted all over the texts: every sentence starts a box, "th" and "en" open and "on" and "er" close.
+_BRACED = "replace(replace(replace(replace(replace(coalesce(text, ''), '. ', '. \\boxed{ '), 'th', '{'), 'en', '{'), 'on', '}'), 'er', '}')"
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_BRACED} AS t FROM documents), p AS (SELECT doc_id, string_split(t, '\\boxed{{') AS parts FROM b),
+  r AS (SELECT doc_id, parts[-1] AS rest FROM p WHERE len(parts) > 1),
+  c AS (SELECT doc_id, unnest(string_split(rest, '')) AS ch, unnest(range(1, length(rest) + 1)) AS i FROM r WHERE rest <> ''),
+  w AS (SELECT doc_id, i, 1 + sum(CASE ch WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM c),
+  z AS (SELECT doc_id, min(i) FILTER (depth = 0) AS stop FROM w GROUP BY doc_id)
+  SELECT b.doc_id, CASE WHEN stop IS NULL THEN '' ELSE regexp_replace(left(rest, CAST(stop - 1 AS INT)), '^\\s+|\\s+$', '', 'g') END AS content FROM b LEFT JOIN r USING (doc_id) LEFT JOIN z USING (doc_id)""")
+def boxed_answers(s, d):
+    t = F.coalesce(F.col("text"), F.lit(""))
+    for old, new in ((". ", ". \\boxed{ "), ("th", "{"), ("en", "{"), ("on", "}"), ("er", "}")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return I.read(s, d, "documents").select("doc_id", A.boxed(t).alias("content"))
+
+
 @query("""SELECT o_orderkey AS question_id, o_orderkey % 8 IN (0, 1, 2, 6, 7) AS by_number, o_orderkey % 8 IN (0, 1, 2, 7) AS by_form, o_orderkey % 8 IN (1, 7) AS exact,
   o_orderkey % 5 < 2 AS by_letter FROM orders""")
 def answer_matches(s, d):
