@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from routeloom.operators.outcomes import ratio
+from routeloom.operators.prefix import running
 
 
 def feature_differences(rates: DataFrame, focus: str, baseline: str) -> DataFrame:
@@ -80,14 +81,14 @@ def nearest_rate(grid: DataFrame, target: float) -> DataFrame:
 def best_gini_split(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, threshold, impurity) of the least weighted Gini impurity over midpoints between distinct values.
 
-    Rows are summed by value first; the running sums go over distinct values of one feature, so features should be
-    rounded where they are continuous.
+    Rows are summed by value first; running sums go over ranges of a feature's distinct values, so continuous features are
+    no task's alone. Null and NaN values are left out.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
-    g = rows.select(pairs.alias("p"), F.col(label).alias("y")).groupBy("p.feature", "p.v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    w = W.partitionBy("feature").orderBy("v")
-    run, whole = w.rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("feature")
-    x = g.select("feature", "v", F.lead("v").over(w).alias("next"), F.sum("n").over(run).alias("nl"), F.sum("pos").over(run).alias("pl"), F.sum("n").over(whole).alias("nt"), F.sum("pos").over(whole).alias("pt")).where("next is not null")
+    g = rows.select(pairs.alias("p"), F.col(label).alias("y")).where("p.v is not null and not isnan(p.v)").groupBy("p.feature", "p.v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    x = running(g, ["feature"], ["v"], {"nl": "n", "pl": "pos"}, ("next", "v"))
+    whole = x.groupBy("feature").agg(F.sum("n").alias("nt"), F.sum("pos").alias("pt"))
+    x = x.join(whole, "feature").where("next is not null")
     part = lambda n, p: n - (p * p + (n - p) * (n - p)) / n
     x = x.withColumn("impurity", (part(F.col("nl"), F.col("pl")) + part(F.col("nt") - F.col("nl"), F.col("pt") - F.col("pl"))) / F.col("nt"))
     best = F.min(F.struct(F.round("impurity", 12).alias("impurity"), F.col("feature"), ((F.col("v") + F.col("next")) / 2).alias("threshold")))

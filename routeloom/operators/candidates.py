@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routeloom.operators.outcomes import ratio
+from routeloom.operators.prefix import unused
 
 
 def field(rows: DataFrame, name: str, default: float = 0.0) -> Column:
@@ -132,9 +133,10 @@ def extended_group(direct: Column, revise: Column, any_correct: Column, other: C
 
 
 def with_override(rows: DataFrame, overrides: DataFrame, key: str, group: str) -> DataFrame:
-    """rows with `group` replaced where the case table (key, group) names the key."""
-    o = overrides.select(key, F.col(group).alias("__override"))
-    return rows.join(o, key, "left").withColumn(group, F.coalesce("__override", group)).drop("__override")
+    """rows with `group` replaced where the case table (key, group) names the key. A key with several cases gets the greatest."""
+    k, v = unused(rows.columns, "case_key"), unused(rows.columns, "case_group")
+    o = overrides.groupBy(F.col(key).alias(k)).agg(F.max(group).alias(v))
+    return rows.join(o, F.col(key) == F.col(k), "left").withColumn(group, F.coalesce(v, group)).drop(k, v)
 
 
 def first_text(rows: DataFrame, key: str, text: str, *others: DataFrame) -> DataFrame:
@@ -191,11 +193,12 @@ def best_setting(sweep: DataFrame) -> DataFrame:
 
 def runner_up(runs: DataFrame, by: str, name: str, order: str) -> DataFrame:
     """(by, best, best_accuracy, runner_up, runner_up_accuracy, gap): the two most accurate runs of each group, ties by
-    `order`. One aggregation that keeps two rows a group."""
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("accuracy")).alias("a"), F.col(order).alias("o"), F.col(name).alias("n")))), 1, 2)
-    g = runs.groupBy(by).agg(top.alias("t"))
-    one, two = F.col("t")[0], F.try_element_at(F.col("t"), F.lit(2))
-    return g.select(by, one["n"].alias("best"), (-one["a"]).alias("best_accuracy"), two["n"].alias("runner_up"), (-two["a"]).alias("runner_up_accuracy"), (two["a"] - one["a"]).alias("gap"))
+    `order`, then by name. Each task passes on two rows a group at most, and a group's two are one row in the end."""
+    w = W.partitionBy(by).orderBy(F.desc("accuracy"), order, name)
+    ranked = runs.select(F.col(by), F.col(name).alias("n"), F.col("accuracy").alias("a"), F.row_number().over(w).alias("at")).where("at <= 2")
+    one, two = (F.max(F.when(F.col("at") == k, F.struct("n", "a"))) for k in (1, 2))
+    g = ranked.groupBy(by).agg(one.alias("one"), two.alias("two"))
+    return g.select(by, F.col("one.n").alias("best"), F.col("one.a").alias("best_accuracy"), F.col("two.n").alias("runner_up"), F.col("two.a").alias("runner_up_accuracy"), (F.col("one.a") - F.col("two.a")).alias("gap"))
 
 
 TARGET_TYPES = ("asks_rate_or_unit", "asks_remaining_or_left", "asks_difference", "asks_total", "asks_money", "asks_time")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from routeloom.operators.prefix import running, unused
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0.0 for an empty group."""
@@ -122,13 +124,20 @@ def signal_firing(rows: DataFrame, signals: dict[str, Column], wrong: Column) ->
 
 def stratified_split(rows: DataFrame, key: str, strata: list[str], train: float = 0.7, validation: float = 0.15, seed: int = 42) -> DataFrame:
     """rows with `split`: in each stratum, by hash order of the key, floor(train n) (at least 1) train, floor(validation n)
-    (at least 1 from three rows on) validation, the rest test. Strata are windows; add a salt column to strata that are too large."""
-    w = W.partitionBy(*strata)
-    n = F.count(F.lit(1)).over(w)
-    at = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key))
+    (at least 1 from three rows on) validation, the rest test. Places are counted over ranges of that order, so a stratum
+    may hold all rows. Rows with the same key follow each other, in no set order."""
+    names = [unused(rows.columns, n) for n in ("hash_", "one_", "place_", "size_")]
+    h, one, place, size = names
+    x = rows.withColumn(h, F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn(one, F.lit(1).cast("long"))
+    sizes = x.groupBy(*[F.col(c).alias(f"{size}{i}") for i, c in enumerate(strata)]).agg(F.count(F.lit(1)).alias(size))
+    same = F.lit(True)
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"{size}{i}"))
+    rows = running(x, strata, [h, key], {place: one}).join(sizes, same).select(*rows.columns, place, size)
+    at, n = F.col(place), F.col(size)
     first = F.greatest(F.floor(train * n), F.lit(1))
     second = F.when(n >= 3, F.greatest(F.floor(validation * n), F.lit(1))).otherwise(0)
-    return rows.withColumn("split", F.when(at <= first, "train").when(at <= first + second, "validation").otherwise("test"))
+    return rows.withColumn("split", F.when(at <= first, "train").when(at <= first + second, "validation").otherwise("test")).drop(place, size)
 
 
 def union_regimes(regimes: dict[str, DataFrame]) -> DataFrame:

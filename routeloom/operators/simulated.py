@@ -103,7 +103,7 @@ def equal_levels(table: DataFrame, instance: str, key: str, costs: list[int], cu
     arrow = to_arrow_schema(schema)
 
     def solve(rows: list[tuple]) -> list[int]:
-        n, budget = len(rows), int(rows[0][1])
+        n, budget = len(rows), int(rows[0][1] or 0)  # a null budget pays for nothing
         if n * costs[0] > budget:
             return [-1] * n
         base = max((k for k, c in enumerate(costs) if c <= budget // n), default=0)

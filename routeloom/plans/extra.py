@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import answers as A
 from routeloom.functions import matching as M
 from routeloom.functions import text as T
-from routeloom.operators import allocation, candidates, learned, outcomes, simulated, statistics
+from routeloom.operators import allocation, boosting, candidates, learned, multiclass, neural, outcomes, simulated, statistics
 from routeloom.plans import inputs as I
 from routeloom.plans import policy_sql, queries
 from routeloom.plans.inputs import CANDIDATES, OUTCOMES, WORD_PROBLEMS
@@ -491,3 +491,89 @@ def _search_sql(rounds: int = 24, top: float = 50.0) -> str:
 
 
 ORACLE_SQL["lambda_search"] = _search_sql()
+
+
+# ---------------------------------------------------------------- many actions, boosting by histograms, neural router
+
+_CLASSES = f"""t AS (SELECT prompt_id, arg_min(action, struct_pack(r := CASE WHEN correct = 1 THEN 0 ELSE 1 END, c := cost, a := action)) AS truth, arg_max(action, struct_pack(u := final_utility, c := -cost, a := action)) AS predicted FROM c GROUP BY prompt_id)"""
+
+
+def _choices(s, d):
+    """The cheapest right action of each prompt (the cheapest of all without one) and the one of greatest utility."""
+    c = I.candidates(s, d)
+    truth = F.min_by("action", F.struct(F.when(F.col("correct") == 1, 0).otherwise(1), "cost", "action"))
+    return c.groupBy("prompt_id").agg(truth.alias("truth"), F.max_by("action", F.struct("final_utility", -F.col("cost"), "action")).alias("predicted"))
+
+
+@query(f"""WITH {CANDIDATES}, {_CLASSES}, l AS (SELECT truth AS label FROM t UNION SELECT predicted FROM t),
+  g AS (SELECT label, count(*) FILTER (truth = label) AS support, count(*) FILTER (predicted = label) AS said, count(*) FILTER (truth = label AND predicted = label) AS hit FROM l, t GROUP BY label),
+  m AS (SELECT label, 'class' AS kind, {_ratio('hit', 'said')} AS precision, {_ratio('hit', 'support')} AS recall, {_ratio('2 * hit', '(said + support)')} AS f1, support, hit FROM g),
+  u AS (SELECT label, kind, precision, recall, f1, support FROM m UNION ALL SELECT NULL, 'macro', avg(precision), avg(recall), avg(f1), sum(support) FROM m
+    UNION ALL SELECT NULL, 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM m
+    UNION ALL SELECT NULL, 'accuracy', NULL, sum(hit) / sum(support), NULL, sum(support) FROM m UNION ALL SELECT NULL, 'balanced', NULL, avg(recall) FILTER (support > 0), NULL, sum(support) FROM m)
+  SELECT label, kind, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, CAST(support AS BIGINT) AS support FROM u""")
+def class_report(s, d):
+    r = multiclass.class_report(_choices(s, d), "truth", "predicted")
+    return r.select("label", "kind", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+_BEST_U = "max(CAST(correct AS DOUBLE) - CAST(0.01 AS DOUBLE) * cost)"
+
+
+@query(f"""WITH {CANDIDATES}, {_CLASSES}, b AS (SELECT prompt_id, max(correct) AS r, {_BEST_U} AS u FROM c GROUP BY prompt_id),
+  p AS (SELECT prompt_id, 'oracle' AS policy, truth AS action FROM t UNION ALL SELECT prompt_id, 'utility', predicted FROM t UNION ALL SELECT prompt_id, 'always_a1', 'a1' FROM t)
+  SELECT policy, count(*) AS n, round(avg(correct), 9) AS mean_accuracy, round(avg(cost), 9) AS mean_cost, round(avg(r - correct), 9) AS mean_regret_accuracy,
+    round(avg(correct - CAST(0.01 AS DOUBLE) * cost), 9) AS mean_utility_0, round(avg(u - (correct - CAST(0.01 AS DOUBLE) * cost)), 9) AS mean_regret_utility_0
+  FROM p JOIN c USING (prompt_id, action) JOIN b USING (prompt_id) GROUP BY policy""")
+def policy_regret(s, d):
+    wide = queries.pivot_outcomes(s, d).join(_choices(s, d), "prompt_id")
+    r = multiclass.policy_regret(wide, {"oracle": F.col("truth"), "utility": F.col("predicted"), "always_a1": F.lit("a1")}, queries.ACTIONS, [0.01])
+    return r.select("policy", "n", *[F.round(c, 9).alias(c) for c in r.columns[2:]])
+
+
+def _prompt_features(s, d):
+    """Costs and utilities of each prompt's actions, as features of the action that is its cheapest right one."""
+    g = I.candidates(s, d).groupBy("prompt_id").agg(F.min("cost").alias("least_cost"), F.max("cost").alias("most_cost"), F.avg("final_utility").alias("mean_utility"), F.count(F.lit(1)).alias("n_actions"), F.min_by("action", "cost").alias("first"))
+    return g.join(_choices(s, d).select("prompt_id", "truth"), "prompt_id").withColumn("first", F.substring("first", 2, 9).cast("double"))
+
+
+@query()
+def multiclass_predictions(s, d):
+    """Actions predicted out of fold by two of the five models."""
+    x, features = _prompt_features(s, d), ["least_cost", "most_cost", "mean_utility", "n_actions", "first"]
+    return multiclass.out_of_fold(x, "tree", "prompt_id", features, "truth").withColumn("model", F.lit("tree")).union(
+        multiclass.out_of_fold(x, "logistic", "prompt_id", features, "truth").withColumn("model", F.lit("logistic")))
+
+
+_STUMP_CUTS = {"confidence": [0.25, 0.5, 0.75], "tokens": [50.0, 100.0, 200.0]}
+_HELPED = "CAST(rg = 0 AND dpr = 1 AS INT)"
+
+
+@query(f"""WITH {OUTCOMES}, x AS (SELECT {_HELPED} AS y, 1.0 + error AS w, confidence, tokens FROM o), t AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, CAST({c} AS DOUBLE) AS threshold, y, w, {f} <= {c} AS low FROM x" for f, cuts in _STUMP_CUTS.items() for c in cuts)})
+  SELECT feature, threshold, {', '.join(f"round(coalesce(sum(w) FILTER ({'' if n == 'low' else 'NOT '}low AND y = {y}), 0), 6) AS {n}_{y}" for n in ('low', 'high') for y in (0, 1))} FROM t GROUP BY ALL""")
+def stump_sums(s, d):
+    """What a round of boosting chooses its stump from."""
+    o = I.outcomes(s, d).withColumn("y", ((F.col("rg") == 0) & (F.col("dpr") == 1)).cast("int")).withColumn("w", 1.0 + F.col("error"))
+    r = boosting.stump_sums(o, list(_STUMP_CUTS), list(_STUMP_CUTS.values()), "y", "w")
+    return r.select("feature", "threshold", *[F.round(c, 6).alias(c) for c in ("low_0", "low_1", "high_0", "high_1")])
+
+
+def _helped(s, d):
+    return I.outcomes(s, d).withColumn("label", ((F.col("rg") == 0) & (F.col("dpr") == 1)).cast("int"))
+
+
+@query()
+def adaboost_scores(s, d):
+    """200 rounds fitted to two thirds of the questions; probabilities of all."""
+    x = _helped(s, d).withColumn("held_out", F.pmod(F.xxhash64("question_id"), F.lit(3)) == 0)
+    model = boosting.HistogramBoost(["confidence", "error", "tokens"]).fit(x.where("not held_out"))
+    return model.transform(x).select("question_id", "held_out", F.round("probability", 9).alias("probability"))
+
+
+@query()
+def neural_router(s, d):
+    """Probabilities of held-out questions; a needless revision costs half, and long questions count more."""
+    x = _helped(s, d).withColumn("held_out", F.pmod(F.xxhash64("question_id"), F.lit(3)) == 0).withColumn("w", 1.0 + F.col("tokens") / 100)
+    model = neural.NeuralRouter(["confidence", "error", "tokens"], hidden=(16, 8), cost=0.5).fit(x.where("not held_out"), weight="w")
+    scored = model.transform(x.where("held_out"))
+    return neural.decide(scored, 0.5, "reasoning_greedy", "direct_plus_revise").select("question_id", F.round("probability", 6).alias("probability"), "action")

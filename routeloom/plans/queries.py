@@ -258,6 +258,13 @@ def lambda_search(s, d):
     return allocation.lambda_search(c, budget)[0]
 
 
+def global_budget(s, d):
+    """Choices under one budget over all prompts, with what they cost together and how far from the bound they are at most."""
+    c = I.candidates(s, d)
+    chosen, report = allocation.global_budget(c, 12.0 * c.select("prompt_id").distinct().count())
+    return chosen.select("*", F.lit(report["total_cost"]).alias("total_cost"), F.round(F.lit(report["gap"]), 9).alias("gap"))
+
+
 def equal_shares(s, d):
     o = I.outcomes(s, d).withColumn("budget", F.lit(37))
     return allocation.equal_shares(o, "instance", "question_id").select("question_id", "share")
@@ -438,7 +445,7 @@ NAMES = [
     "escalation_decisions", "token_router", "ranked_escalation", "weighted_signals", "question_features", "target_features", "first_pass_features", "question_hardness", "numeric_answers",
     "choice_answers", "boolean_answers", "text_answers", "calibration", "majority_vote_first", "majority_vote_least", "oracle_labels", "best_utility", "pivot_outcomes", "pairwise_wins",
     "disagreement", "label_distribution", "binary_metrics", "group_feature_rates", "signal_firing", "stratified_split", "assembled", "missed_revise", "regime_union", "argmax_actions",
-    "candidate_rows", "candidate_utility", "greedy_upgrade", "knapsack", "lambda_search", "equal_shares", "robust_curves", "paired_bootstrap", "hard_selection", "class_balance",
+    "candidate_rows", "candidate_utility", "greedy_upgrade", "knapsack", "lambda_search", "global_budget", "equal_shares", "robust_curves", "paired_bootstrap", "hard_selection", "class_balance",
     "event_windows", "out_of_fold", "learned_tree", "learned_forest", "learned_bagging", "learned_boosting",
     "feature_contrast", "univariate_summary", "level_distribution", "gain_table", "dataset_checks", "compare_datasets", "token_grid", "token_grid_choice", "best_gini_split", "budgeted_escalation", "rule_policy",
     "question_profiles", "constraint_flags", "number_records", "role_coverage", "role_cue_counts", "self_verification", "selective_prediction", "step_verification", "unified_error",
