@@ -105,6 +105,35 @@ def violation_policies(df: DataFrame, question: str, output: str) -> DataFrame:
     return x.withColumn("weighted_action", revise_if(F.col("violation_score"), VIOLATION_THRESHOLD))
 
 
+def setting_sweep(rows: DataFrame, signals: str, cheap: Column, dear: Column, settings: list[dict], dear_cost: float = 2.0) -> DataFrame:
+    """(setting, n, accuracy, avg_cost, revise_trigger_count, revise_trigger_fraction, distance_to_oracle,
+    matches_or_beats_reasoning_greedy, uses_less_cost_than_always_revise, nontrivial_selectivity) for each of the settings:
+    `setting` (its name), `threshold`, and weights by names of VIOLATION_WEIGHTS, 0 if it has none.
+
+    Outcomes are first counted by the bit pattern of the signals and both routes' correctness, at most 2,048 rows however
+    many questions there are; settings then meet patterns, not questions. A null signal counts as off. Without questions
+    a setting has n 0 and nulls.
+    """
+    names = list(VIOLATION_WEIGHTS)
+    bits = sum((F.coalesce(F.col(signals)[k].cast("int"), F.lit(0)) * (1 << i) for i, k in enumerate(names)), F.lit(0))
+    counts = rows.select(bits.alias("bits"), cheap.cast("int").alias("c"), dear.cast("int").alias("d")).groupBy("bits", "c", "d").agg(F.count(F.lit(1)).alias("n"))
+    on = [F.col("bits").bitwiseAND(1 << i).cast("boolean").cast("int") for i in range(len(names))]
+    scored = F.array(*[F.struct(F.lit(x["setting"]).alias("setting"), (sum((int(x.get(k, 0)) * b for k, b in zip(names, on)), F.lit(0)) >= int(x["threshold"])).alias("revise")) for x in settings])
+    x = counts.select("c", "d", "n", F.explode(scored).alias("s")).select("s.*", "c", "d", "n")
+    n, right = F.sum("n"), lambda c: F.sum(F.col("n") * c)
+    g = x.groupBy("setting").agg(
+        n.alias("n"), right(F.when(F.col("revise"), F.col("d")).otherwise(F.col("c"))).alias("right"), F.sum(F.when(F.col("revise"), F.col("n")).otherwise(0)).alias("revise_trigger_count"),
+        right(F.col("c")).alias("cheap"), right(F.greatest("c", "d")).alias("oracle"))
+    share = lambda c: F.col(c) / F.col("n")
+    every = rows.sparkSession.createDataFrame([(x["setting"],) for x in settings], "setting string")
+    g = every.join(g, "setting", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    cost = 1 + (dear_cost - 1) * share("revise_trigger_count")
+    return g.select(
+        "setting", "n", share("right").alias("accuracy"), cost.alias("avg_cost"), "revise_trigger_count", share("revise_trigger_count").alias("revise_trigger_fraction"),
+        (share("right") - share("oracle")).alias("distance_to_oracle"), (F.col("right") >= F.col("cheap")).alias("matches_or_beats_reasoning_greedy"), (cost < dear_cost).alias("uses_less_cost_than_always_revise"),
+        ((F.col("revise_trigger_count") > 0) & (F.col("revise_trigger_count") < F.col("n"))).alias("nontrivial_selectivity"))
+
+
 def role_policies(df: DataFrame, question: str, output: str, answer: str) -> DataFrame:
     """df with the unified error's structs and scores, the fourth policy by constraint weights (`constraint_action`),
     the fifth by the unified rule (`unified_action`) and by calibrated roles (`role_action`)."""

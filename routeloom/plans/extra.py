@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import answers as A
 from routeloom.functions import matching as M
 from routeloom.functions import text as T
-from routeloom.operators import allocation, boosting, candidates, learned, multiclass, neural, outcomes, simulated, statistics
+from routeloom.operators import allocation, boosting, candidates, learned, multiclass, neural, outcomes, policies, simulated, statistics
 from routeloom.plans import inputs as I
 from routeloom.plans import policy_sql, queries
 from routeloom.plans.inputs import CANDIDATES, OUTCOMES, WORD_PROBLEMS
@@ -577,3 +577,30 @@ def neural_router(s, d):
     model = neural.NeuralRouter(["confidence", "error", "tokens"], hidden=(16, 8), cost=0.5).fit(x.where("not held_out"), weight="w")
     scored = model.transform(x.where("held_out"))
     return neural.decide(scored, 0.5, "reasoning_greedy", "direct_plus_revise").select("question_id", F.round("probability", 6).alias("probability"), "action")
+
+
+# ---------------------------------------------------------------- settings of weighted policies
+
+_SETTINGS = [
+    {"setting": "default", "threshold": policies.VIOLATION_THRESHOLD, **policies.VIOLATION_WEIGHTS}, {"setting": "strict", "threshold": 1, **policies.VIOLATION_WEIGHTS}, {"setting": "loose", "threshold": 5, **policies.VIOLATION_WEIGHTS},
+    {"setting": "answers_only", "threshold": 2, "final_answer_missing_or_unclear": 2, "parse_failure": 2, "malformed_output": 2}, {"setting": "always", "threshold": 0}, {"setting": "never", "threshold": 99, **policies.VIOLATION_WEIGHTS},
+]
+_SWEEP = f"""SELECT setting, count(*) AS n, avg(CASE WHEN revise THEN dpr ELSE rg END) AS accuracy, 1 + avg(CAST(revise AS DOUBLE)) AS avg_cost, count(*) FILTER (revise) AS revise_trigger_count, avg(CAST(revise AS DOUBLE)) AS revise_trigger_fraction,
+    avg(CASE WHEN revise THEN dpr ELSE rg END) - avg(greatest(rg, dpr)) AS distance_to_oracle, sum(CASE WHEN revise THEN dpr ELSE rg END) >= sum(rg) AS matches_or_beats_reasoning_greedy, count(*) FILTER (revise) < count(*) AS uses_less_cost_than_always_revise,
+    count(*) FILTER (revise) > 0 AND count(*) FILTER (revise) < count(*) AS nontrivial_selectivity FROM (
+    {' UNION ALL '.join(f"SELECT '{x['setting']}' AS setting, rg, dpr, {' + '.join(f'{int(x.get(k, 0))} * CAST({k} AS INT)' for k in policies.VIOLATION_WEIGHTS)} >= {x['threshold']} AS revise FROM s" for x in _SETTINGS)}) GROUP BY setting"""
+_SWEPT = f"WITH {OUTCOMES}, v AS ({policy_sql.ORACLE_SQL['violation_signals']}), s AS (SELECT v.*, rg, dpr FROM v JOIN o USING (question_id)), p AS ({_SWEEP})"
+_ROUNDED = ", ".join(f"round({c}, 9) AS {c}" if c in ("accuracy", "avg_cost", "revise_trigger_fraction", "distance_to_oracle") else c for c in (
+    "setting", "n", "accuracy", "avg_cost", "revise_trigger_count", "revise_trigger_fraction", "distance_to_oracle", "matches_or_beats_reasoning_greedy", "uses_less_cost_than_always_revise", "nontrivial_selectivity"))
+
+
+@query(f"{_SWEPT} SELECT {_ROUNDED} FROM p")
+def setting_sweep(s, d):
+    w = policies.with_violations(I.word_problems(s, d), "q", "t").select("question_id", "violation").join(I.outcomes(s, d).select("question_id", "rg", "dpr"), "question_id")
+    return policies.setting_sweep(w, "violation", F.col("rg"), F.col("dpr"), _SETTINGS).withColumns({c: F.round(c, 9) for c in ("accuracy", "avg_cost", "revise_trigger_fraction", "distance_to_oracle")})
+
+
+@query(f"""{_SWEPT} SELECT {_ROUNDED} FROM p ORDER BY CAST(matches_or_beats_reasoning_greedy AS INT) DESC, CAST(uses_less_cost_than_always_revise AS INT) DESC, CAST(nontrivial_selectivity AS INT) DESC,
+  round(distance_to_oracle, 9), round(avg_cost, 9), round(accuracy, 9) DESC LIMIT 1""")
+def best_policy_setting(s, d):
+    return candidates.best_setting(setting_sweep(s, d))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.functions import answers
-from routeloom.operators import allocation, analysis, boosting, candidates, multiclass, neural, outcomes, prefix, simulated, statistics
+from routeloom.operators import allocation, analysis, boosting, candidates, multiclass, neural, outcomes, policies, prefix, simulated, statistics
 
 
 def plan_of(df):
@@ -358,6 +358,24 @@ def test_multiclass_models(spark, name):
         assert {r.predicted for r in few} == {"up"} and multiclass.out_of_fold(d.limit(0), name, "i", ["a"], "k").count() == 0
 
 
+def test_setting_sweep(spark):
+    rng = random.Random(12)
+    names = list(policies.VIOLATION_WEIGHTS)
+    rows = [(*[rng.choice([True, False, False, None]) for _ in names], rng.randint(0, 1), rng.randint(0, 1)) for _ in range(500)]
+    d = spark.createDataFrame(rows, ", ".join(f"{k} boolean" for k in names) + ", rg int, dpr int").select(F.struct(*names).alias("v"), "rg", "dpr")
+    settings = [{"setting": f"s{i}", "threshold": rng.randint(0, 6), **{k: rng.randint(0, 3) for k in names if rng.random() < 0.7}} for i in range(7)]
+    got = {r.setting: r for r in policies.setting_sweep(d, "v", F.col("rg"), F.col("dpr"), settings).collect()}
+    for x in settings:
+        revised = [sum(x.get(k, 0) * bool(b) for k, b in zip(names, r)) >= x["threshold"] for r in rows]
+        right = sum(r[-1] if on else r[-2] for r, on in zip(rows, revised))
+        r = got[x["setting"]]
+        assert r.n == 500 and r.revise_trigger_count == sum(revised) and abs(r.accuracy - right / 500) < 1e-12 and abs(r.avg_cost - 1 - sum(revised) / 500) < 1e-12
+        assert abs(r.distance_to_oracle - (right - sum(max(r[-2:]) for r in rows)) / 500) < 1e-12 and r.nontrivial_selectivity == (0 < sum(revised) < 500)
+        assert r.matches_or_beats_reasoning_greedy == (right >= sum(r[-2] for r in rows)) and r.uses_less_cost_than_always_revise == (sum(revised) < 500)
+    none = policies.setting_sweep(d.limit(0), "v", F.col("rg"), F.col("dpr"), settings[:2]).collect()
+    assert [(r.n, r.accuracy) for r in none] == [(0, None)] * 2
+
+
 def test_policy_regret(spark):
     d = spark.createDataFrame([(1, 1, 1.0, 0, 2.0, "x"), (2, 0, 1.0, 1, 2.0, "y"), (3, None, None, 1, 2.0, "x")], "q int, correct_x int, cost_x double, correct_y int, cost_y double, pick string")
     got = {r.policy: r for r in multiclass.policy_regret(d, {"pick": F.col("pick"), "y": F.lit("y")}, ["x", "y"], [0.1]).collect()}
