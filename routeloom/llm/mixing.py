@@ -18,6 +18,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SCHEDULES = (((0.0, 3.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 1.0)))
 #: Rows of one source that a window sorts together, about.
 BUCKET_ROWS = 50_000
+#: Rows alike that a task puts in place.
+RUN_ROWS = 10_000
 
 
 def word_count(text_col: str) -> Column:
@@ -86,23 +88,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first words up to the rounded target; taken counts a document's words in it, and copies the passes that reach it.
     position and later are the training times of its first word in the first two passes (null where not taken).
     Null texts have size 0 and a null source is a source of its own, the last one. Rows with the same id are ordered by
-    size and may share a position. Running sums go by bucket of a source, then over buckets, so a source with most of
-    the rows is spread over as many tasks as it has buckets.
+    size and may share a position; rows alike in id, source and size are counted first and take their places one after the
+    other, so that copies of one row, or rows without an id, are no bucket's burden. Running sums go by bucket of a
+    source, then over buckets, so a source with most of the rows is spread over as many tasks as it has buckets.
     """
     bounded_batches(docs.sparkSession)
     sizes = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
     src = targets(sizes, weights, share, float(most))
     rows = sizes.count()
     buckets = max(64, 1 << (max(rows, 1) // BUCKET_ROWS).bit_length())
-    dealt = sizes.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    alike = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    dealt = alike.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    sums = dealt.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     plan = sums.alias("b").join(src.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "b.bucket", "b.base", "s.source_size", "s.target", "s.place")
     run = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(run), F.lit(0)))
+    placed = dealt.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("n")).over(run), F.lit(0)))
     j = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
-    j = j.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", "p.place", (F.col("p.base") + F.col("d.inside")).alias("at"))
+    j = j.select("d.doc_id", "d.source", "d.size", "d.n", "p.source_size", "p.target", "p.place", (F.col("p.base") + F.col("d.inside")).alias("at"))
+    # one row again for each of those alike; many are dealt to tasks in runs first
+    j = j.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN_ROWS))))
+    if alike.where(F.col("n") > RUN_ROWS).limit(1).count():
+        j = j.repartition("doc_id", "size", "run")
+    turn = F.explode(F.sequence(F.col("run") * RUN_ROWS, F.least(F.col("n"), (F.col("run") + 1) * RUN_ROWS) - 1))
+    j = j.withColumn("turn", turn).withColumn("at", F.col("at") + F.col("turn") * F.col("size"))
     goal = F.bround("target").cast("long")
     taken, copies, times = F.lit(0), F.lit(0), []
     for k in range(most):

@@ -24,6 +24,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END_ID, LENGTH = 50256, 2048
 #: UTF-8 bytes of text per shard, about; ids take at most two bytes for each.
 SHARD_BYTES = 32 << 20
+#: Bytes that a piece counts besides its text.
+PIECE_BYTES = 200
 #: Words whose ids a worker remembers, at most.
 REMEMBERED = 600_000
 
@@ -160,7 +162,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long") + 1)).first()[0] or 0
+    # a piece is held as a tuple, whatever its length: tables of short texts get more shards
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + PIECE_BYTES)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     pieces = tokenized_pieces(docs, id_col, text_col, length, ranks_path)
     key = F.xxhash64("doc_id", "piece", "ids", "turn", F.spark_partition_id())  # repeated rows go to many shards

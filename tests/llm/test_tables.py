@@ -222,6 +222,16 @@ def test_mixing_cases(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_one_repeated_row(spark):
+    """A third of all rows alike, without an id: each has its place, as if they came one by one."""
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a b' ELSE concat('w ', id) END AS text", "CASE WHEN id % 3 = 0 THEN 'x' ELSE concat('s', id % 2) END AS source")
+    got = mixing.mix(rows)
+    assert got.count() == 30_000
+    r = got.where("source = 'x'").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count_distinct("position").alias("places"), F.count("position").alias("placed")).first()
+    assert r.n == 10_000 and abs(r.taken - r.target) <= 1 and r.places == r.placed > 0
+    assert got.where("taken > 2 * size").count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 400])
 def test_targets_of_many_sources(spark, n):
     """Targets and places against the rule applied round by round, with more sources than partitions."""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,6 +148,16 @@ def test_packing_is_lossless(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_of_empty_texts(spark):
+    """Shards are bounded by rows too: texts without a byte count PIECE_BYTES each."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '' END AS text")
+    rows = packing.pack(docs, shard_bytes=100 * packing.PIECE_BYTES).select("shard", "n_segments", "doc_ids").collect()
+    by = Counter()
+    for r in rows:
+        by[r.shard] += r.n_segments
+    assert sorted(d for r in rows for d in r.doc_ids) == list(range(4000)) and len(by) >= 38 and max(by.values()) < 200
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rng = random.Random(5)
     words = ["the", "of", "and", "there", "onward", "reader", "stone", "in", "a", "letter"]
