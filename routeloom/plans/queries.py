@@ -227,8 +227,7 @@ def argmax_actions(s, d):
 
 
 def candidate_rows(s, d):
-    wide = pivot_outcomes(s, d).where("cost_a1 is not null and cost_a2 is not null")
-    return allocation.candidate_rows(wide, "prompt_id", {a: (f"correct_{a}", f"cost_{a}") for a in ACTIONS[:2]})
+    return allocation.candidate_rows(pivot_outcomes(s, d), "prompt_id", {a: (f"correct_{a}", f"cost_{a}") for a in ACTIONS})
 
 
 def candidate_utility(s, d):

@@ -128,8 +128,7 @@ ORACLE_SQL = {
     "missed_revise": f"WITH {OUTCOMES} SELECT question_id, regime FROM o WHERE rg = 0 AND dpr = 1 AND NOT (confidence < 0.3 OR error > 0.7)",
     "regime_union": f"WITH {OUTCOMES} SELECT CASE WHEN question_id % 2 = 0 THEN 'easy' ELSE 'hard' END AS regime, count(*) AS n, CAST(sum(rg) AS BIGINT) AS rg, CAST(sum(CASE WHEN question_id % 2 = 0 THEN dpr END) AS BIGINT) AS dpr, count(*) FILTER (question_id % 2 = 1) AS missing FROM o GROUP BY 1",
     "argmax_actions": f"WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY final_utility - CAST(0.01 AS DOUBLE) * action_cost DESC, action_cost, action_name DESC) AS r FROM c) SELECT prompt_id, action_name, action_cost, final_utility FROM r WHERE r = 1",
-    "candidate_rows": f"""WITH {CANDIDATES}, b AS (SELECT * FROM c WHERE action IN ('a1', 'a2') AND prompt_id IN (SELECT prompt_id FROM c WHERE action IN ('a1', 'a2') GROUP BY prompt_id HAVING count(*) = 2))
-      SELECT prompt_id, action_name, action_cost, correct, row_number() OVER w - 1 AS cost_rank, correct - first_value(correct) OVER w AS gain_vs_cheapest FROM b WINDOW w AS (PARTITION BY prompt_id ORDER BY cost, action)""",
+    "candidate_rows": f"""WITH {CANDIDATES} SELECT prompt_id, action_name, action_cost, correct, row_number() OVER w - 1 AS cost_rank, correct - first_value(correct) OVER w AS gain_vs_cheapest FROM c WINDOW w AS (PARTITION BY prompt_id ORDER BY cost, action)""",
     "candidate_utility": f"WITH {CANDIDATES} SELECT prompt_id, action, round(final_utility + {_ADJ} + {_ADJ} - 0.1 * abs(0.5 - final_utility), 6) AS utility FROM c",
     "equal_shares": f"WITH {OUTCOMES} SELECT question_id, 37 // count(*) OVER w + CAST(row_number() OVER (w ORDER BY question_id) <= 37 % count(*) OVER w AS INT) AS share FROM o WINDOW w AS (PARTITION BY instance)",
     "robust_curves": f"SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, round({_S(3)}, 6) AS u0, round(greatest({_S(3)}, {_S(7)}), 6) AS u1, round(greatest({_S(3)}, {_S(7)}, {_S(11)}), 6) AS u2 FROM lineitem",
