@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import consistency as C
 from routeloom.functions.answers import math_answer, numeric_answer
+from routeloom.operators.outcomes import ratio
+from routeloom.operators.prefix import unused
 from routeloom.operators.routing import CONSTRAINT_WEIGHTS, escalation, revise_if, weighted_score
 
 # Patterns, weights and thresholds of the policies.
@@ -30,6 +32,7 @@ VIOLATION_WEIGHTS = {
 }
 VIOLATION_THRESHOLD = 3
 ROLE_MAYBE, ROLE_STRONG = 2, 3
+UNIFIED_ERROR, UNIFIED_MIXED, UNIFIED_CONFIDENCE = 0.34, 0.25, 0.45
 WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 SHORT_REASONING = 35
@@ -175,6 +178,46 @@ def candidate_consistency(question: Column, answer: Column) -> dict[str, Column]
     return {k: F.coalesce(c, F.lit(False)) for k, c in out.items()}
 
 
+def with_checkers(df: DataFrame, question: str, candidate: str) -> DataFrame:
+    """df with a struct of four checkers of a candidate answer, each whether it flags it and the signals why, by name:
+    `plain` (the signals of candidate_consistency), and these with role coverage (`role`), its calibrated decision
+    (`calibrated`) or the unified error (`unified`) of an output that only gives the answer."""
+    names = [unused(df.columns, n) for n in ("checked_plain", "checked_text", "checked_value")]
+    plain, text, value = names
+    p = candidate_consistency(F.col(question), F.col(candidate))
+    number = F.nullif(F.regexp_extract(C.full(F.col(candidate)), C.PLAIN_NUMBER, 0), F.lit("")).try_cast("double")
+    number = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), F.concat(number.cast("long").cast("string"), F.lit(".0"))).otherwise(number.cast("string"))
+    x = df.withColumns({plain: F.struct(*[c.alias(k) for k, c in p.items()]), text: F.concat(F.lit("Final answer: "), C.full(F.col(candidate))), value: F.coalesce(number, F.lit(""))})
+    parts = ("role", "constraint", "target", "self", "selective", "calibration", "step")
+    kept = {k: unused([*df.columns, *names, *parts], f"own_{k}") for k in parts if k in df.columns}
+    for k, own in kept.items():
+        x = x.withColumnRenamed(k, own)
+    x = C.with_unified_error(x, question, text, value)
+    fired = F.array_compact(F.array(*[F.when(F.col(plain)[k], k) for k in p]))
+    role, decision = F.col("role"), F.col("role")["calibrated_decision"]
+    error, confidence = F.col("unified_error_score"), F.col("unified_confidence_score")
+    calibrated = F.when(decision != "no_escalation", F.concat(F.lit("calibrated_"), decision))
+    unified = F.when((error >= UNIFIED_ERROR) | ((error >= UNIFIED_MIXED) & (confidence < UNIFIED_CONFIDENCE)), "unified_error_escalate")
+    signals = {"plain": fired, "role": F.concat(fired, role["signals"]), "calibrated": F.concat(fired, F.array_compact(F.array(calibrated))), "unified": F.concat(fired, F.array_compact(F.array(unified)))}
+    out = F.struct(*[F.struct((F.size(v) > 0).alias("flagged"), F.array_sort(F.array_distinct(v)).alias("signals")).alias(k) for k, v in signals.items()])
+    x = x.withColumn("checkers", out).drop(*names, *parts, "unified_error_score", "unified_confidence_score")
+    for k, own in kept.items():
+        x = x.withColumnRenamed(own, k)
+    return x.select(*df.columns, "checkers")
+
+
+def signal_tradeoff(rows: DataFrame, flags: dict[str, Column], correct: Column) -> DataFrame:
+    """(variant, wrong_recall, false_positive_rate_on_correct, recall_minus_fpr, balanced_utility, num_flagged) for each
+    checker: the shares of wrong and of right candidates that it flags, their difference, and the mean of the first and of
+    what the second leaves. A share of nothing is 0; null flags are off; candidates without a verdict are left out."""
+    each = F.array(*[F.struct(F.lit(k).alias("variant"), F.coalesce(v, F.lit(False)).alias("on")) for k, v in flags.items()])
+    right, on = unused(rows.columns, "right"), F.col("f.on")
+    g = rows.select(correct.cast("boolean").alias(right), F.explode(each).alias("f")).where(F.col(right).isNotNull()).groupBy("f.variant").agg(
+        F.count_if(on & ~F.col(right)).alias("hit"), F.count_if(~F.col(right)).alias("wrong"), F.count_if(on & F.col(right)).alias("false"), F.count_if(F.col(right)).alias("true"))
+    recall, fpr = ratio(F.col("hit"), F.col("wrong")), ratio(F.col("false"), F.col("true"))
+    return g.select("variant", recall.alias("wrong_recall"), fpr.alias("false_positive_rate_on_correct"), (recall - fpr).alias("recall_minus_fpr"), ((recall + 1 - fpr) / 2).alias("balanced_utility"), (F.col("hit") + F.col("false")).alias("num_flagged"))
+
+
 def _trust(categorical: Column, error: Column) -> Column:
     """Why the final answer is trusted or not; the first rule that fits."""
     c, r, a, t = F.col("constraint"), F.col("role"), F.col("parsed"), F.lower(F.col("__text"))

@@ -604,3 +604,33 @@ def setting_sweep(s, d):
   round(distance_to_oracle, 9), round(avg_cost, 9), round(accuracy, 9) DESC LIMIT 1""")
 def best_policy_setting(s, d):
     return candidates.best_setting(setting_sweep(s, d))
+
+
+# ---------------------------------------------------------------- checkers of candidate answers
+
+
+def _checked(s, d):
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
+    return policies.with_checkers(w.select("question_id", "q", "answer"), "q", "answer")
+
+
+@query()
+def consistency_variants(s, d):
+    """What four checkers say of each problem's answer."""
+    return _checked(s, d).select("question_id", *[F.col(f"checkers.{k}.flagged").alias(k) for k in ("plain", "role", "calibrated", "unified")], F.array_join("checkers.role.signals", "|").alias("role_signals"))
+
+
+_PLAIN = f"WITH k AS ({policy_sql.ORACLE_SQL['candidate_consistency']}), f AS ({policy_sql.ORACLE_SQL['constraint_flags']}), x AS (SELECT question_id % 3 = 0 AS correct, {' OR '.join(f'k.{c}' for c in policy_sql._CHECKS)} AS plain, n_signals > 0 AS constrained FROM k JOIN f USING (question_id)), u AS (SELECT 'plain' AS variant, plain AS flagged, correct FROM x UNION ALL SELECT 'constrained', constrained, correct FROM x), g AS (SELECT variant, count(*) FILTER (flagged AND NOT correct) AS hit, count(*) FILTER (NOT correct) AS wrong, count(*) FILTER (flagged AND correct) AS no, count(*) FILTER (correct) AS yes FROM u GROUP BY variant)"
+
+
+@query(f"""{_PLAIN}, r AS (SELECT variant, {_ratio('hit', 'wrong')} AS recall, {_ratio('no', 'yes')} AS fpr, hit + no AS num_flagged FROM g)
+  SELECT variant, round(recall, 9) AS wrong_recall, round(fpr, 9) AS false_positive_rate_on_correct, round(recall - fpr, 9) AS recall_minus_fpr, round((recall + 1 - fpr) / 2, 9) AS balanced_utility, num_flagged FROM r""")
+def signal_tradeoff(s, d):
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
+    plain = F.lit(False)
+    for c in policies.candidate_consistency(F.col("q"), F.col("answer")).values():
+        plain = plain | c
+    flags = queries.constraint_flags(s, d).select("question_id", (F.col("n_signals") > 0).alias("constrained"))
+    x = w.select("question_id", plain.alias("plain")).join(flags, "question_id")
+    r = policies.signal_tradeoff(x, {"plain": F.col("plain"), "constrained": F.col("constrained")}, F.col("question_id") % 3 == 0)
+    return r.select("variant", *[F.round(c, 9).alias(c) for c in ("wrong_recall", "false_positive_rate_on_correct", "recall_minus_fpr", "balanced_utility")], "num_flagged")

@@ -381,3 +381,20 @@ def test_policy_regret(spark):
     got = {r.policy: r for r in multiclass.policy_regret(d, {"pick": F.col("pick"), "y": F.lit("y")}, ["x", "y"], [0.1]).collect()}
     assert (got["pick"].n, got["pick"].mean_accuracy, got["pick"].mean_regret_accuracy) == (2, 1.0, 0.0)
     assert got["y"].n == 3 and abs(got["y"].mean_regret_accuracy - 1 / 3) < 1e-12 and abs(got["y"].mean_regret_utility_0 - (0.9 + 0.2) / 3) < 1e-9
+
+
+def test_checkers_of_candidates(spark):
+    rows = [("Ann has 9 apples and gave away 4. How many apples are left?", "5"), ("Ann has 9 apples and gave away 4. How many apples are left?", "9"), ("How many boxes?", "2.5"), ("How many boxes?", None), (None, "3"), ("How much is it?", "12000000")]
+    d = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "q string, a string, id int, role string")
+    got = policies.with_checkers(d, "q", "a")
+    assert got.columns == [*d.columns, "checkers"]
+    by = {r.id: r.checkers for r in got.collect()}
+    assert all(r.role == "x" for r in got.collect())
+    assert by[1].plain.flagged and by[2].plain.signals == ["non_integer_count"] and by[3].plain.signals == ["numeric_type_mismatch"]
+    for c in by.values():
+        assert all(x.flagged == bool(x.signals) and set(c.plain.signals) <= set(x.signals) for x in (c.role, c.calibrated, c.unified))
+    assert "missing_required_number" in by[0].role.signals  # an answer alone uses none of the question's numbers
+    x = spark.createDataFrame([(1, True), (1, False), (0, True), (0, None), (0, False), (None, True)], "ok int, flag boolean")
+    r = policies.signal_tradeoff(x, {"f": F.col("flag"), "never": F.lit(False)}, F.col("ok"))
+    by = {r.variant: tuple(r)[1:] for r in r.collect()}
+    assert by["f"] == (1 / 3, 0.5, 1 / 3 - 0.5, (1 / 3 + 0.5) / 2, 2) and by["never"] == (0.0, 0.0, 0.0, 0.5, 0)
