@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import answers as A
 from routeloom.functions import matching as M
 from routeloom.functions import text as T
-from routeloom.operators import allocation, boosting, candidates, learned, multiclass, neural, outcomes, policies, simulated, statistics
+from routeloom.operators import allocation, boosting, candidates, learned, matrix, multiclass, neural, outcomes, policies, simulated, statistics
 from routeloom.plans import inputs as I
 from routeloom.plans import policy_sql, queries
 from routeloom.plans.inputs import CANDIDATES, OUTCOMES, WORD_PROBLEMS
@@ -634,3 +634,22 @@ def signal_tradeoff(s, d):
     x = w.select("question_id", plain.alias("plain")).join(flags, "question_id")
     r = policies.signal_tradeoff(x, {"plain": F.col("plain"), "constrained": F.col("constrained")}, F.col("question_id") % 3 == 0)
     return r.select("variant", *[F.round(c, 9).alias(c) for c in ("wrong_recall", "false_positive_rate_on_correct", "recall_minus_fpr", "balanced_utility")], "num_flagged")
+
+
+# ---------------------------------------------------------------- fitted feature matrix
+
+_REGIMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_MATRIX = "SELECT c.prompt_id, c.action_name, regime, CAST(cost AS DOUBLE) AS feat_cost, CASE WHEN c.prompt_id % 11 = 0 THEN 'nan' WHEN c.prompt_id % 13 = 0 THEN 'none' ELSE CAST(final_utility AS VARCHAR) END AS hfeat_utility FROM c JOIN o ON o.question_id = c.prompt_id"
+
+
+@query(f"""WITH {CANDIDATES}, {OUTCOMES}, r AS ({_MATRIX}), x AS (SELECT *, CASE WHEN hfeat_utility = 'none' THEN 0.0 WHEN hfeat_utility = 'nan' THEN NULL ELSE CAST(hfeat_utility AS DOUBLE) END AS u FROM r)
+  SELECT prompt_id, action_name, feat_cost, round(coalesce(u, (SELECT median(u) FROM x)), 9) AS hfeat_utility, {', '.join(f"CAST(action_name = 'a{i}' AS DOUBLE) AS cat_action__a{i}" for i in range(1, 8))},
+    {', '.join(f"CAST(regime = '{x}' AS DOUBLE) AS r{i}" for i, x in enumerate(_REGIMES))} FROM x""")
+def feature_matrix(s, d):
+    """Candidate rows as a matrix of numbers and categories, fitted and applied."""
+    c, o = I.candidates(s, d), I.outcomes(s, d).select(F.col("question_id").alias("prompt_id"), "regime")
+    u, k = F.col("final_utility").cast("string"), F.col("prompt_id")
+    rows = c.join(o, "prompt_id").select("prompt_id", "action_name", "regime", F.col("cost").cast("double").alias("feat_cost"), F.when(k % 11 == 0, "nan").when(k % 13 == 0, "none").otherwise(u).alias("hfeat_utility"))
+    model = matrix.FeatureMatrix().fit(rows)
+    x = rows.select("prompt_id", F.col("action_name").alias("of"), *model.columns(rows)).withColumnRenamed("of", "action_name")
+    return x.select("prompt_id", "action_name", "feat_cost", F.round("hfeat_utility", 9).alias("hfeat_utility"), *[f"cat_action__a{i}" for i in range(1, 8)], *[F.col(f"`cat_regime__{r}`").alias(f"r{i}") for i, r in enumerate(_REGIMES)])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.functions import answers
-from routeloom.operators import allocation, analysis, boosting, candidates, multiclass, neural, outcomes, policies, prefix, simulated, statistics
+from routeloom.operators import allocation, analysis, boosting, candidates, matrix, multiclass, neural, outcomes, policies, prefix, simulated, statistics
 
 
 def plan_of(df):
@@ -398,3 +398,25 @@ def test_checkers_of_candidates(spark):
     r = policies.signal_tradeoff(x, {"f": F.col("flag"), "never": F.lit(False)}, F.col("ok"))
     by = {r.variant: tuple(r)[1:] for r in r.collect()}
     assert by["f"] == (1 / 3, 0.5, 1 / 3 - 0.5, (1 / 3 + 0.5) / 2, 2) and by["never"] == (0.0, 0.0, 0.0, 0.5, 0)
+
+
+def test_feature_matrix(spark, tmp_path):
+    rows = [("r1", "b", "1.5", 2, True), ("r2", "a", "nan", None, False), (None, "b", "x", 5, True), ("r1", None, "inf", 1, None), ("r1", "a", "4", 2, True)]
+    d = spark.createDataFrame(rows, "regime string, action_name string, feat_z string, hfeat_a int, feat_b boolean").withColumn("other", F.lit(1))
+    model = matrix.FeatureMatrix().fit(d)
+    assert model.medians == {"feat_b": 0.0, "feat_z": 2.75, "hfeat_a": 2.0} and model.values == {"regime": ["", "r1", "r2"], "action_name": ["", "a", "b"]}
+    assert model.names == ["feat_b", "feat_z", "hfeat_a", "cat_regime__", "cat_regime__r1", "cat_regime__r2", "cat_action__", "cat_action__a", "cat_action__b"]
+    got = [list(r.features) for r in model.transform(d).collect()]
+    assert got[0] == [0, 1.5, 2, 0, 1, 0, 0, 0, 1] and got[1] == [0, 2.75, 0, 0, 0, 1, 0, 1, 0] and got[2] == [0, 0, 5, 1, 0, 0, 0, 0, 1] and got[3] == [0, 2.75, 1, 0, 1, 0, 1, 0, 0]
+    model.save(f"{tmp_path}/model")
+    loaded = matrix.FeatureMatrixModel.load(f"{tmp_path}/model")
+    assert loaded.names == model.names and [list(r.features) for r in loaded.transform(d).collect()] == got
+    new = spark.createDataFrame([("r9", "c", "7", 1)], "regime string, action_name string, feat_z string, feat_new int")
+    assert list(loaded.transform(new).first().features) == [0, 7, 2, 0, 0, 0, 0, 0, 0]  # unseen values, a missing column
+    est = matrix.FeatureMatrix(prefixes=["feat_"], categories=["regime"], outputCol="x")
+    est.save(f"{tmp_path}/estimator")
+    assert matrix.FeatureMatrix.load(f"{tmp_path}/estimator").fit(d).names == ["feat_b", "feat_z", "cat_regime__", "cat_regime__r1", "cat_regime__r2"]
+    none = matrix.FeatureMatrix().fit(d.limit(0))
+    assert none.values == {"regime": [], "action_name": []} and none.transform(d).first().features.size == 3
+    t = spark.createDataFrame([(1, 0.5, 2.0), (0, -1.0, None)], "correct int, gain_vs_cheapest double, action_cost double")
+    assert [[r[0] for r in t.select(matrix.targets(k, price=0.25)).collect()] for k in ("success", "gain", "utility")] == [[1, 0], [1, 0], [0.5, 0.0]]
