@@ -233,7 +233,7 @@ def _trust(categorical: Column, error: Column) -> Column:
     )
 
 
-def _trusted(reason: Column) -> Column:
+def trusted(reason: Column) -> Column:
     return reason.isin("zero_answer_error_with_parse_and_finalization", "coherent_answer_high_coverage", "ok_despite_mild_answer_error")
 
 
@@ -263,7 +263,7 @@ def answer_error_policies(df: DataFrame, question: str, output: str) -> DataFram
     x = x.withColumn("trust", _trust(kind, F.col("answer_error_score")))
     warning, error = F.col("explanation_warning_score"), F.col("answer_error_score")
     combined = "explanation_pressure_plus_low_trust_plus_moderate_answer_error"
-    pressed = lambda e, trust: (warning >= WARNING_HIGH) & ~_trusted(F.col(trust)) & (e >= WARNING_COMBINED)
+    pressed = lambda e, trust: (warning >= WARNING_HIGH) & ~trusted(F.col(trust)) & (e >= WARNING_COMBINED)
     x = x.withColumn("revise_reason", F.when(error >= ANSWER_ERROR, "answer_error_high").when(pressed(error, "trust"), combined).otherwise("no_escalation"))
 
     s = C.stripped(F.col("__text"))
@@ -279,7 +279,7 @@ def answer_error_policies(df: DataFrame, question: str, output: str) -> DataFram
         "tail_equals_disagrees_with_final": numeric & (F.abs(F.regexp_replace(stated, ",", "").try_cast("double") - F.col("__value")) > 1e-6),
     }
     late = {k: F.coalesce(v, F.lit(False)) for k, v in late.items()}
-    unsure = ~_trusted(F.col("trust")) & (kind | (warning >= LOW_CONFIDENCE_WARNING))
+    unsure = ~trusted(F.col("trust")) & (kind | (warning >= LOW_CONFIDENCE_WARNING))
     x, v = C.staged(x, "late", late | {"low_confidence_escalate": unsure})
     x = x.withColumn("late", F.struct(*[c.alias(k) for k, c in v.items()]))
     x = x.withColumn("late_error_score", error + weighted_score({k: F.col("late")[k] for k in late}, LATE_WEIGHTS)[0])

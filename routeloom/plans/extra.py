@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import answers as A
 from routeloom.functions import matching as M
 from routeloom.functions import text as T
-from routeloom.operators import allocation, boosting, candidates, learned, matrix, multiclass, neural, outcomes, policies, simulated, statistics
+from routeloom.operators import allocation, boosting, candidates, features, learned, matrix, multiclass, neural, outcomes, policies, simulated, statistics
 from routeloom.plans import inputs as I
 from routeloom.plans import policy_sql, queries
 from routeloom.plans.inputs import CANDIDATES, OUTCOMES, WORD_PROBLEMS
@@ -653,3 +653,10 @@ def feature_matrix(s, d):
     model = matrix.FeatureMatrix().fit(rows)
     x = rows.select("prompt_id", F.col("action_name").alias("of"), *model.columns(rows)).withColumnRenamed("of", "action_name")
     return x.select("prompt_id", "action_name", "feat_cost", F.round("hfeat_utility", 9).alias("hfeat_utility"), *[f"cat_action__a{i}" for i in range(1, 8)], *[F.col(f"`cat_regime__{r}`").alias(f"r{i}") for i, r in enumerate(_REGIMES)])
+
+
+@query()
+def numeric_features(s, d):
+    """The flat feature row of every word problem."""
+    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
+    return features.numeric_features(w, "question_id", "q", "t", "answer")

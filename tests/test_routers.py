@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.functions import answers
-from routeloom.operators import allocation, analysis, boosting, candidates, matrix, multiclass, neural, outcomes, policies, prefix, simulated, statistics
+from routeloom.operators import allocation, analysis, boosting, candidates, features, matrix, multiclass, neural, outcomes, policies, prefix, simulated, statistics
 
 
 def plan_of(df):
@@ -420,3 +420,18 @@ def test_feature_matrix(spark, tmp_path):
     assert none.values == {"regime": [], "action_name": []} and none.transform(d).first().features.size == 3
     t = spark.createDataFrame([(1, 0.5, 2.0), (0, -1.0, None)], "correct int, gain_vs_cheapest double, action_cost double")
     assert [[r[0] for r in t.select(matrix.targets(k, price=0.25)).collect()] for k in ("success", "gain", "utility")] == [[1, 0], [1, 0], [0.5, 0.0]]
+
+
+def test_numeric_features(spark):
+    rows = [(1, "Ann has 9 apples and gave away 4. How many apples are left?", "She had 9 and gave 4 away, so 9 - 4 = 5.\nFinal answer: 5", "5"), (2, None, None, None), (3, "What is 50% of $8?", "Maybe 4, not sure", "4")]
+    d = spark.createDataFrame(rows, "id int, q string, t string, a string").withColumn("role", F.lit("x"))
+    got = {r.id: r.asDict() for r in features.numeric_features(d, "id", "q", "t", "a").collect()}
+    names = [k for k in got[1] if k != "id"]
+    starts = ("q_", "tq_", "cons_", "role_", "calibrated_", "self_", "cal_", "step_", "fp_", "unified_", "v6_", "v7_")
+    assert all(k.startswith(starts) for k in names) and all(any(k.startswith(x) for k in names) for x in starts) and len(names) >= 60
+    assert all(isinstance(v, float) for r in got.values() for k, v in r.items() if k != "id")
+    one = got[1]
+    assert one["q_num_numeric_mentions"] == 2 and one["tq_asks_remaining_or_left"] == 1 and one["fp_first_pass_parse_success"] == 1 and one["step_presence_of_equation_like_patterns"] == 1
+    assert got[2]["q_question_length_chars"] == 0 and got[2]["fp_first_pass_empty_or_malformed_flag"] == 1 and got[3]["q_has_percent_symbol"] == 1 and got[3]["fp_first_pass_has_uncertainty_phrase"] == 1
+    for k in ("v6", "v7"):
+        assert one[f"{k}_revise_recommended"] in (0, 1) and one[f"{k}_answer_error_score"] >= 0
