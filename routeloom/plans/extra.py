@@ -660,3 +660,18 @@ def numeric_features(s, d):
     """The flat feature row of every word problem."""
     w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
     return features.numeric_features(w, "question_id", "q", "t", "answer")
+
+
+# ---------------------------------------------------------------- SQL of greedy upgrades: a step of the recursion is an upgrade
+
+_TAKEN = "r.total + s.extra <= 150 AND s.u > coalesce(list_filter(r.now, lambda x: x.p = s.prompt_id)[1].u, s.base_u)"
+ORACLE_SQL["greedy_upgrade"] = f"""WITH RECURSIVE {CANDIDATES}, i AS (SELECT o_custkey AS instance, prompt_id, action_name, action_cost AS cost, final_utility AS u FROM c JOIN orders ON o_orderkey = prompt_id),
+  b AS (SELECT instance, prompt_id, arg_min(struct_pack(n := action_name, c := cost, u := u), struct_pack(c := cost, n := action_name)) AS m FROM i GROUP BY ALL),
+  s AS (SELECT i.instance, i.prompt_id, i.action_name, i.cost, i.u, m.u AS base_u, i.cost - m.c AS extra, row_number() OVER (PARTITION BY i.instance ORDER BY -((i.u - m.u) / (i.cost - m.c)), i.cost - m.c, CAST(i.prompt_id AS VARCHAR), i.action_name) AS k
+    FROM i JOIN b ON i.instance = b.instance AND i.prompt_id = b.prompt_id WHERE i.cost > m.c AND i.u > m.u),
+  r AS (SELECT instance, CAST(0 AS BIGINT) AS k, sum(m.c) AS total, CAST([] AS STRUCT(p BIGINT, u DOUBLE, n VARCHAR, c DOUBLE)[]) AS now FROM b GROUP BY instance
+    UNION ALL SELECT r.instance, s.k, CASE WHEN {_TAKEN} THEN r.total + s.extra ELSE r.total END,
+      CASE WHEN {_TAKEN} THEN list_append(list_filter(r.now, lambda x: x.p <> s.prompt_id), struct_pack(p := s.prompt_id, u := s.u, n := s.action_name, c := s.cost)) ELSE r.now END FROM r JOIN s ON s.instance = r.instance AND s.k = r.k + 1),
+  e AS (SELECT instance, arg_max(total, k) AS total, arg_max(now, k) AS now FROM r GROUP BY instance), p AS (SELECT instance, unnest(now) AS x FROM e)
+  SELECT b.instance, b.prompt_id, coalesce(x.n, m.n) AS action_name, coalesce(x.c, m.c) AS action_cost, coalesce(x.u, m.u) AS final_utility, e.total AS total_cost, e.total <= 150 AS feasible
+  FROM b JOIN e ON e.instance = b.instance LEFT JOIN p ON p.instance = b.instance AND p.x.p = b.prompt_id"""
