@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeloom.llm.common import bounded_batches, saved, table, text_or_empty, unused
@@ -27,6 +27,8 @@ from routeloom.llm.components import connected_components
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Columns of a wide fingerprint, 64 bits each.
 WIDE = ("fp", "fp1", "fp2", "fp3")
+#: Those of the longer ones that tell apart what is left of large groups.
+LONG_WIDE = ("fp", *(f"fp{k}" for k in range(1, 128)))
 #: A probe (a row that is shuffled and sorted) costs as much as so many comparisons in a bucket; a wide one, which also
 #: takes disk in proportion to its length, as WIDE_PROBE_COST.
 PROBE_COST, WIDE_PROBE_COST = 40.0, 400.0
@@ -95,6 +97,17 @@ def fingerprint_column(text_col: str, shingle: int = 3):
     return fingerprint(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _majority_column(hashes: str):
+    """Struct of the LONG_WIDE words of the fingerprint of a set of hashes."""
+
+    @F.pandas_udf(", ".join(f"{w} long" for w in LONG_WIDE))
+    def fingerprint(sets: pd.Series) -> pd.DataFrame:
+        rows = [_majority(np.frombuffer(x, np.uint64), len(LONG_WIDE)) for x in sets]
+        return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, len(LONG_WIDE)).view(np.int64), columns=LONG_WIDE)
+
+    return fingerprint(F.col(hashes))
+
+
 def set_column(text_col: str, shingle: int):
     """Struct of the WIDE words, signed, of the fingerprint of a text's distinct shingles, and `key`, a digest of that set
     (the XXH64 of its sorted hashes); null texts count as empty."""
@@ -221,7 +234,7 @@ def _probe_fn(parts: list[list[int]], ones: np.ndarray, total: int, radius: int,
                     if not len(rows):
                         continue
                     flips = masks[i][: upto[i][max(level, 0)]]  # level -1: the index row alone
-                    step = max(1, 100_000 // len(flips))
+                    step = max(1, 600_000 // max(6, len(names)) // len(flips))
                     for at in range(0, len(rows), step):
                         some = rows[at : at + step]
                         value = (own[some][:, None] ^ flips[None, :]).ravel()
@@ -408,9 +421,10 @@ def _graded_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np
     return np.append(y, rest[:, 0]), np.append(x, rest[:, 1]), np.append(np.zeros(len(x), np.int64), rest[:, 2])
 
 
-def _across_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarray, words: list[np.ndarray], radius: int, wide: int):
-    """(a, b, bits apart), a < b, of all pairs within `wide` whose last word, a label, differs. Rows of a bucket's
-    commonest label are only met by the others."""
+def _across_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarray, words: list[np.ndarray], radius: int, sure: int, wide: int):
+    """(a, b, bits apart), a < b, between rows whose last word, a label, differs. Pairs within `sure` bits over all words
+    are links, 0 apart, that join their labels at once; of the others within `wide`, those are given whose labels are still
+    apart at the bucket's end. Rows of a bucket's commonest label are only met by the others."""
     *words, label = words
     first = np.append(True, (part[1:] != part[:-1]) | (value[1:] != value[:-1]))
     starts = np.append(np.flatnonzero(first), len(first))
@@ -419,12 +433,22 @@ def _across_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np
         names, of, counts = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
         if len(names) < 2:
             continue
-        most = int(counts.argmax())
-        for x in (np.flatnonzero(of != most) + lo).tolist():
-            hit = np.flatnonzero((of != of[x - lo]) & (own[lo:hi] | own[x]) & (np.bitwise_count(words[0][lo:hi] ^ words[0][x]) <= radius)) + lo
-            apart = sum(np.bitwise_count(w[hit] ^ w[x]).astype(np.int64) for w in words)
-            hit, apart = hit[apart <= wide], apart[apart <= wide]
-            out.append(np.stack([np.minimum(node[hit], node[x]), np.maximum(node[hit], node[x]), apart]))
+        bits, mine, at = np.stack([w[lo:hi] for w in words], axis=1), own[lo:hi], node[lo:hi]
+        unsure = []
+        for x in np.flatnonzero(of != int(counts.argmax())).tolist():
+            hit = np.flatnonzero((of != of[x]) & (mine | mine[x]) & (np.bitwise_count(bits[:, 0] ^ bits[x, 0]) <= radius))
+            apart = np.concatenate([np.bitwise_count(bits[hit[k : k + 4096]] ^ bits[x]).sum(axis=1, dtype=np.int64) for k in range(0, len(hit), 4096)]) if len(hit) else hit
+            for y in hit[apart <= sure].tolist():
+                if of[y] != of[x]:
+                    out.append(np.array([[min(at[x], at[y])], [max(at[x], at[y])], [0]]))
+                    of[of == of[y]] = of[x]
+            some = (apart > sure) & (apart <= wide)
+            unsure.append((np.full(int(some.sum()), x), hit[some], apart[some]))
+        if unsure:
+            x, y, apart = (np.concatenate(c) for c in zip(*unsure))
+            keep = of[x] != of[y]
+            x, y, apart = at[x[keep]], at[y[keep]], apart[keep]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), apart]))
     return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
 
 
@@ -432,14 +456,14 @@ def _verify_fn(radius: int, wide: int = 0, sure: int | None = None, across: bool
     """Streams rows (part, value, own, node, fingerprint words) sorted by bucket."""
 
     def verify(batches):
-        kept, size, mark = [], 0, 200_000
+        kept, size, mark = [], 0, 0
 
         def columns(group):
             return [np.concatenate(c) for c in zip(*group)]
 
         def out(cols):
             if across or sure is not None:
-                found = _across_links(*cols[:4], cols[4:], radius, wide) if across else _graded_links(*cols[:4], cols[4:], radius, sure, wide)
+                found = _across_links(*cols[:4], cols[4:], radius, sure, wide) if across else _graded_links(*cols[:4], cols[4:], radius, sure, wide)
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "apart"])
             a, b = _links(*cols[:4], cols[4:], radius, wide)
             return pa.RecordBatch.from_pydict({"a": a, "b": b})
@@ -448,6 +472,8 @@ def _verify_fn(radius: int, wide: int = 0, sure: int | None = None, across: bool
             if not batch.num_rows:
                 continue
             got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            least = 1_800_000 // max(9, len(got))  # rows that are compared at once, about; fewer with many words
+            mark = mark or least
             kept.append(got[:4] + [w.view(np.uint64) for w in got[4:]])
             size += batch.num_rows
             if size < mark:
@@ -458,7 +484,7 @@ def _verify_fn(radius: int, wide: int = 0, sure: int | None = None, across: bool
             if cut:
                 yield out([c[:cut] for c in cols])
             kept, size = [[c[cut:] for c in cols]], len(cols[0]) - cut
-            mark = max(200_000, 2 * size)  # a bucket that goes on is put together at each doubling, not at each batch
+            mark = max(least, 2 * size)  # a bucket that goes on is put together at each doubling, not at each batch
         if size:
             yield out(columns(kept))
 
@@ -472,7 +498,7 @@ def hamming_links(distinct: DataFrame, radius: int = 3, partitions: int | None =
     between values of the column `key` instead of between values of fp. With `sure`, links have a third column, the bits
     `apart` over all words: rows within `sure` bits are linked as groups, 0 apart; of the pairs beyond, all are given that
     meet in buckets of up to PAIRS rows, and in larger ones those that join the groups there level by level. With `across`,
-    a column of labels (longs), all pairs are given whose labels differ, with `apart`.
+    a column of labels (longs), only pairs whose labels differ are: see _across_links.
     """
     spark = distinct.sparkSession
     cost = WIDE_PROBE_COST if rest else PROBE_COST
@@ -543,10 +569,10 @@ def _verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Links (a, b): the sure ones of `links`, and those beyond whose sets are similar, except where the ends are joined
     already. sets_of gives the sets of the keys it is given.
 
-    Where more than 4 candidate pairs a set are left, each set's nearest is verified first and what that joins needn't be
-    compared again; then all the others are.
+    Where more than 4 candidate pairs a set are left, each set's 4 nearest are verified first, and what these join needn't
+    be compared again; then the 16 nearest of those left, and so on until all are.
     """
-    known = links.where("apart = 0").select("a", "b")
+    nearest, known = 4, links.where("apart = 0").select("a", "b")
     edges, sets = links.where("apart > 0").groupBy("a", "b").agg(F.min("apart").alias("apart")), None
     while True:
         roots = connected_components(known)
@@ -561,9 +587,10 @@ def _verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:
         if many <= 4 * few:
             return known.union(_similar(edges, sets, similarity))
         ends = edges.select(F.explode(F.array("a", "b")).alias("key"), F.struct("apart", "a", "b").alias("e"))
-        best = saved(ends.groupBy("key").agg(F.min("e").alias("e")).select("e.*").distinct(), "nearest")
+        place = F.row_number().over(Window.partitionBy("key").orderBy("e"))
+        best = saved(ends.withColumn("place", place).where(F.col("place") <= nearest).select("e.*").distinct(), "nearest")
         known = saved(known.union(_similar(best, sets, similarity)), "links")
-        edges = edges.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        edges, nearest = edges.join(best.select("a", "b"), ["a", "b"], "left_anti"), 4 * nearest
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -575,7 +602,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the first 64 bits and within WIDE_DEVIATIONS in all. Candidates whose fingerprints say a similarity far above (4
     deviations: one in 30,000 pairs of just that similarity does) are links; all others are compared exactly, but for
     those between texts that are joined already. Groups of more than PAIRS texts take two passes: the first compares the
-    nearest candidates, the second all those between the groups that are left. So a link may be missing (README.md has
+    nearest candidates; in the second, the groups that are left are compared by fingerprints of 8,192 bits, whose
+    deviation is 0.005 at 0.8, and exactly where these are from 4 deviations nearer to 3 further than it. So a link may be missing (README.md has
     the shares by similarity), but none is false. Nulls, ids and empty tables as in
     near_duplicates; texts without words have the empty set and are one group.
     """
@@ -605,8 +633,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("apart") & (F.col("n") > PAIRS))
     open_ = saved(groups.join(loose.join(sizes, "loose", "left_semi"), F.col("key") == F.col("node")).select(*WIDE, "key", "root"), "open")
     if open_.limit(1).count():
-        more = saved(hamming_links(open_, radius, rest=WIDE[1:], wide=wide, across="root"), "links")
-        roots = connected_components(_verified(known.withColumn("apart", F.lit(0).cast("long")).union(more), sets_of, similarity))
+        sets = saved(sets_of(open_.select("key")), "sets")
+        many = 64 * len(LONG_WIDE)
+        labelled = saved(sets.select("key", _majority_column("hashes").alias("w")).select("key", "w.*").join(open_.select("key", "root"), "key"), "open")
+        more = hamming_links(labelled, radius, rest=LONG_WIDE[1:], wide=bits_apart(similarity, many, 3.0), sure=bits_apart(similarity, many, -4.0), across="root")
+        known = known.withColumn("apart", F.lit(0).cast("long")).union(saved(more, "links"))
+        roots = connected_components(_verified(known, lambda _: sets, similarity))
     rooted = groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
