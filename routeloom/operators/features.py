@@ -9,6 +9,7 @@ from routeloom.functions import consistency as C
 from routeloom.functions import text as T
 from routeloom.operators.policies import answer_error_policies, trusted
 from routeloom.operators.prefix import unused
+from routeloom.operators.texts import once_per_text, spread
 
 
 def flattened(df: DataFrame, prefix: str, column: str) -> list[Column]:
@@ -31,12 +32,18 @@ def flattened(df: DataFrame, prefix: str, column: str) -> list[Column]:
 def numeric_features(df: DataFrame, key: str, question: str, output: str, answer: str) -> DataFrame:
     """(key, q_*, tq_*, cons_*, role_*, calibrated_strong_escalation_candidate, self_*, cal_*, step_*, fp_*, unified_*, v6_*,
     v7_*), all doubles, of every row: question, target, constraint, role, self-verification, calibration, step and
-    first-pass features, the unified scores and the answer-error policies. Null texts count as empty. Each group is
-    staged as a struct before the next is computed, so that no text is read twice for one signal."""
+    first-pass features, the unified scores and the answer-error policies. Null texts count as empty. Equal texts are
+    worked on once. Each group is staged as a struct before the next is computed, and the groups are parted by `spread`, so
+    that no text is read twice for one signal."""
     names = [unused(df.columns, n) for n in ("question_text", "output_text", "answer_text")]
-    q, t, a = names
-    base = df.select(key, F.col(question).alias(q), F.col(output).alias(t), F.col(answer).alias(a))
-    x = C.with_unified_error(base, q, t, a)
+    base = df.select(key, *[F.col(c).alias(n) for c, n in zip((question, output, answer), names)])
+    x = once_per_text(base, names, lambda texts: _text_features(texts, *names))
+    return x.select(key, *[c for c in x.columns if c not in (key, *names)])
+
+
+def _text_features(base: DataFrame, q: str, t: str, a: str) -> DataFrame:
+    names = (q, t, a)
+    x = spread(C.with_unified_error(base, q, t, a), *names)
     x, parts = C.staged(x, "asked", T.text_parts(F.col(q)))
     constraint, role = F.col("constraint"), F.col("role")
     groups = {
@@ -47,11 +54,11 @@ def numeric_features(df: DataFrame, key: str, question: str, output: str, answer
         "fp": F.struct(*[c.alias(k) for k, c in T.first_pass_features(F.col(t), F.col(a)).items()]),
         "unified": F.struct(F.col("unified_error_score").alias("error_score"), F.col("unified_confidence_score").alias("confidence_score")),
     }
-    x = C.unstaged(x.withColumns(groups), "asked").select(key, *names, *groups)
-    x = answer_error_policies(x, q, t)
+    x = spread(C.unstaged(x.withColumns(groups), "asked").select(*names, *groups), *names)
+    x = spread(answer_error_policies(x, q, t), *names)
     x = x.withColumns({
         "v6": F.struct(F.col("answer_error_score"), F.col("explanation_warning_score"), trusted(F.col("trust")).alias("final_answer_confident"), (F.col("revise_reason") != "no_escalation").alias("revise_recommended")),
         "v7": F.struct(F.col("late_error_score").alias("answer_error_score"), (F.col("late_error_score") - F.col("answer_error_score")).alias("extra_answer_error"), trusted(F.col("late_trust")).alias("final_answer_confident"), (F.col("late_revise_reason") != "no_escalation").alias("revise_recommended")),
     })
     prefixes = {"role_of": "", "self_of": "self", "step_of": "step"}
-    return x.select(key, *[c for g in (*groups, "v6", "v7") for c in flattened(x, prefixes.get(g, g), g)])
+    return x.select(*names, *[c for g in (*groups, "v6", "v7") for c in flattened(x, prefixes.get(g, g), g)])
