@@ -10,6 +10,7 @@ from routeloom.functions import answers as A
 from routeloom.functions import consistency as C
 from routeloom.functions import text as T
 from routeloom.operators import allocation, analysis, learned, outcomes, policies, routing, statistics, sweeps
+from routeloom.operators.texts import once_per_text
 from routeloom.plans import inputs as I
 from routeloom.sources import writers
 from routeloom.streaming.metrics import windowed_outcomes
@@ -379,14 +380,19 @@ def constraint_flags(s, d):
 
 
 def number_records(s, d):
-    w = C.with_roles(I.word_problems(s, d), "q")
-    r = w.select("question_id", F.posexplode("roles").alias("position", "r"))
+    w = once_per_text(I.word_problems(s, d).select("question_id", "q"), ["q"], lambda x: C.with_roles(x, "q"))
+    # outer, as Spark would else ask for the size of the roles where they are made, and make them twice
+    r = w.select("question_id", F.posexplode_outer("roles").alias("position", "r")).where("position is not null")
     return r.select("question_id", "position", *[F.col("r")[k].alias(k) for k in ("surface", "value", "source", "sentence_index", "context", "unit", "role", "confidence", "required", "strong", "target_relation")])
 
 
+def _of_problems(s, d, add):
+    """Word problems with what `add` makes of their distinct texts and the answers in these."""
+    return once_per_text(I.word_problems(s, d), ["q", "t"], lambda x: add(x.withColumn("answer", A.numeric_answer(F.col("t")))))
+
+
 def role_coverage(s, d):
-    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
-    return _struct(C.with_role_coverage(w, "q", "t", "answer"), "role")
+    return _struct(_of_problems(s, d, lambda x: C.with_role_coverage(x, "q", "t", "answer").select("q", "t", "role")), "role")
 
 
 def role_cue_counts(s, d):
@@ -409,8 +415,9 @@ def step_verification(s, d):
 
 
 def unified_error(s, d):
-    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
-    return C.with_unified_error(w, "q", "t", "answer").select("question_id", F.round("unified_error_score", 6).alias("error"), F.round("unified_confidence_score", 6).alias("confidence"))
+    scores = {"error": F.round("unified_error_score", 6), "confidence": F.round("unified_confidence_score", 6)}
+    x = _of_problems(s, d, lambda x: C.with_unified_error(x, "q", "t", "answer").select("q", "t", *[c.alias(k) for k, c in scores.items()]))
+    return x.select("question_id", *scores)
 
 
 def violation_signals(s, d):
@@ -419,12 +426,12 @@ def violation_signals(s, d):
 
 
 def constraint_and_role_policies(s, d):
-    w = I.word_problems(s, d).withColumn("answer", A.numeric_answer(F.col("t")))
-    return policies.role_policies(w, "q", "t", "answer").select("question_id", "constraint_score", "constraint_action", "role_decision", "role_action", "unified_decision", "unified_action")
+    columns = ("constraint_score", "constraint_action", "role_decision", "role_action", "unified_decision", "unified_action")
+    return _of_problems(s, d, lambda x: policies.role_policies(x, "q", "t", "answer").select("q", "t", *columns)).select("question_id", *columns)
 
 
 def answer_error_policies(s, d):
-    w = policies.answer_error_policies(I.word_problems(s, d), "q", "t")
+    w = once_per_text(I.word_problems(s, d), ["q", "t"], lambda x: policies.answer_error_policies(x, "q", "t"))
     return w.select("question_id", "parsed", "categorical", "explanation_warning_score", "answer_error_score", F.array_join("answer_error_signals", "|").alias("signals"), "trust", "revise_reason", "answer_error_action", "late_error_score", "late_revise_reason", "late_action")
 
 
