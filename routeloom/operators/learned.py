@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from routeloom.operators.outcomes import ratio
+from routeloom.operators.texts import spread
 from routeloom.sources.scratch import ensure_checkpoints
 
 #: Sizes are those of the reference's hybrid registry.
@@ -48,9 +49,11 @@ def class_weights(counts: dict[float, int]) -> Column:
 
 def out_of_fold(rows: DataFrame, name: str, key: str, features: list[str], label: str, folds: int = 3) -> DataFrame:
     """(key, fold, label, probability): each fold scored by a model of the others, whose rows alone weigh the classes;
-    folds by hash of the key. With only one class in the training folds the probability is that class."""
+    folds by hash of the key. With only one class in the training folds the probability is that class. Rows are dealt over
+    all cores and sorted, for a model's passes have as many tasks as its rows have partitions, and samples are drawn by place."""
     ensure_checkpoints(rows.sparkSession)  # boosting cuts its lineage there every ten rounds
     x = rows.select(key, F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    x = spread(x, key).sortWithinPartitions(key)
     counts = {(r.fold, r.label): r.n for r in x.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def scored(k: int) -> DataFrame:

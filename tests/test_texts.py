@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from routeloom.operators import learned
 from routeloom.operators.texts import once_per_text, spread
 
 
@@ -22,3 +23,10 @@ def test_equal_texts_are_worked_on_once(spark):
 def test_spread_uses_all_cores(spark):
     one = spark.range(100).coalesce(1)
     assert spread(one, "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_out_of_fold_uses_all_cores(spark):
+    one = spark.range(300).selectExpr("id", "id % 7 AS x", "cast(id % 3 = 0 AS int) AS y").coalesce(1)
+    got = learned.out_of_fold(one, "logistic", "id", ["x"], "y")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert got.count() == 300
