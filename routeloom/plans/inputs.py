@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lines of orders in a partition, about.
+LINES = 100_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,8 +34,10 @@ OUTCOMES = """o AS (SELECT o_orderkey AS question_id, o_custkey AS instance, o_o
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, action, action_name, cost, action_cost, correct, final_utility): one row per order and line number."""
+    """(prompt_id, action, action_name, cost, action_cost, correct, final_utility): one row per order and line number. Lines
+    are dealt by order once, for all groupings by it, over partitions whose number grows with the table, not their size."""
     l = read(spark, sf_dir, "lineitem")
+    l = l.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), l.count() // LINES + 1), "l_orderkey")
     g = l.groupBy(F.col("l_orderkey").alias("prompt_id"), F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("action")).agg(
         F.min("l_quantity").cast("int").alias("cost"), F.max((F.col("l_suppkey") % 3 == 0).cast("int")).alias("correct"), F.max(F.col("l_partkey") % 100).alias("u"))
     return g.select("prompt_id", "action", F.col("action").alias("action_name"), "cost", F.col("cost").cast("double").alias("action_cost"), "correct", (F.col("u") / 100).alias("final_utility"))

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from routeloom.operators import learned
+from routeloom.operators import learned, outcomes
 from routeloom.operators.texts import once_per_text, spread
+from routeloom.plans import inputs
 
 
 def test_equal_texts_are_worked_on_once(spark):
@@ -30,3 +31,12 @@ def test_out_of_fold_uses_all_cores(spark):
     got = learned.out_of_fold(one, "logistic", "id", ["x"], "y")
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert got.count() == 300
+
+
+def test_partitions_of_candidates_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inputs, "LINES", 100, raising=False)
+    n = 4000
+    spark.range(n).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "cast(id % 9 AS double) AS l_quantity", "id AS l_suppkey", "id AS l_partkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    wide = outcomes.pivot_outcomes(inputs.candidates(spark, str(tmp_path)), "prompt_id", ["a0", "a1", "a2", "a3"])
+    assert wide.rdd.getNumPartitions() > n // 100
+    assert wide.where("cost_a0 is not null and cost_a3 is not null").count() == n // 4
