@@ -98,6 +98,19 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Inside, Spark deletes a query's shuffle files as it ends, not when the driver happens to collect garbage. For jobs of
+    many steps that save what they read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for small tables of iterative jobs; Spark's cleaner removes the files."""
     shared_dir(df.sparkSession)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import bounded_batches, saved, table, text_or_empty, unused
+from routeloom.llm.common import bounded_batches, saved, shuffles_freed, table, text_or_empty, unused
 from routeloom.llm.components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -566,8 +566,8 @@ def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """Links (a, b): the sure ones of `links`, and those beyond whose sets are similar, except where the ends are joined
-    already. sets_of gives the sets of the keys it is given.
+    """Links (a, b) that span the same components as the sure ones of `links` and those beyond whose sets are similar, except
+    where the ends are joined already. sets_of gives the sets of the keys it is given.
 
     Where more than 4 candidate pairs a set are left, each set's 4 nearest are verified first, and what these join needn't
     be compared again; then the 16 nearest of those left, and so on until all are.
@@ -576,6 +576,7 @@ def _verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:
     edges, sets = links.where("apart > 0").groupBy("a", "b").agg(F.min("apart").alias("apart")), None
     while True:
         roots = connected_components(known)
+        known = roots.where("root < node").select(F.col("root").alias("a"), F.col("node").alias("b"))
         for end in "ab":
             edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
         edges = saved(edges.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "apart"), "candidates")
@@ -611,34 +612,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(spark)
     text = text_or_empty(text_col)
     named = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.crc32(text.cast("binary")).alias("c"))
-    fps = saved(named.select("doc_id", "t", "c", set_column("text", shingle).alias("w")).select("doc_id", "t", "c", "w.*"), "fingerprints")
-    groups = saved(fps.groupBy("key", *WIDE).agg(F.min("doc_id").alias("least"), F.min(F.struct("t", "c")).alias("of")), "groups")
-    bits = 64 * len(WIDE)
-    radius, wide = bits_apart(similarity, 64, RADIUS_DEVIATIONS), bits_apart(similarity, bits, WIDE_DEVIATIONS)
-    links = saved(hamming_links(groups, radius, rest=WIDE[1:], wide=wide, sure=bits_apart(similarity, bits, -4.0)), "links")
-
-    def sets_of(keys):
-        @F.pandas_udf("binary")
-        def hashes(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: np.unique(shingle_hashes(t.encode(), shingle)).tobytes())
-
-        wanted = groups.join(keys, "key", "left_semi").select("key", "of.*")
-        texts = named.groupBy("t", "c").agg(F.first("text").alias("text"))
-        return texts.join(wanted, ["t", "c"]).select("key", hashes("text").alias("hashes"))
-
-    known = saved(_verified(links, sets_of, similarity), "verified")
-    roots = connected_components(known)
-    # what a larger bucket left out: candidates between the groups that verification has left of a large one
-    loose = connected_components(links).withColumnRenamed("root", "loose").join(roots, "node", "left").select("node", "loose", F.coalesce("root", "node").alias("root"))
-    sizes = loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("apart") & (F.col("n") > PAIRS))
-    open_ = saved(groups.join(loose.join(sizes, "loose", "left_semi"), F.col("key") == F.col("node")).select(*WIDE, "key", "root"), "open")
-    if open_.limit(1).count():
-        sets = saved(sets_of(open_.select("key")), "sets")
-        many = 64 * len(LONG_WIDE)
-        labelled = saved(sets.select("key", _majority_column("hashes").alias("w")).select("key", "w.*").join(open_.select("key", "root"), "key"), "open")
-        more = hamming_links(labelled, radius, rest=LONG_WIDE[1:], wide=bits_apart(similarity, many, 3.0), sure=bits_apart(similarity, many, -4.0), across="root")
-        known = known.withColumn("apart", F.lit(0).cast("long")).union(saved(more, "links"))
-        roots = connected_components(_verified(known, lambda _: sets, similarity))
+    with shuffles_freed(spark):
+        fps = saved(named.select("doc_id", "t", "c", set_column("text", shingle).alias("w")).select("doc_id", "t", "c", "w.*"), "fingerprints")
+        groups = saved(fps.groupBy("key", *WIDE).agg(F.min("doc_id").alias("least"), F.min(F.struct("t", "c")).alias("of")), "groups")
+        bits = 64 * len(WIDE)
+        radius, wide = bits_apart(similarity, 64, RADIUS_DEVIATIONS), bits_apart(similarity, bits, WIDE_DEVIATIONS)
+        links = saved(hamming_links(groups, radius, rest=WIDE[1:], wide=wide, sure=bits_apart(similarity, bits, -4.0)), "links")
+
+        def sets_of(keys):
+            @F.pandas_udf("binary")
+            def hashes(texts: pd.Series) -> pd.Series:
+                return texts.map(lambda t: np.unique(shingle_hashes(t.encode(), shingle)).tobytes())
+
+            wanted = groups.join(keys, "key", "left_semi").select("key", "of.*")
+            texts = named.groupBy("t", "c").agg(F.first("text").alias("text"))
+            return texts.join(wanted, ["t", "c"]).select("key", hashes("text").alias("hashes"))
+
+        known = saved(_verified(links, sets_of, similarity), "verified")
+        roots = connected_components(known)
+        # what a larger bucket left out: candidates between the groups that verification has left of a large one
+        loose = connected_components(links).withColumnRenamed("root", "loose").join(roots, "node", "left").select("node", "loose", F.coalesce("root", "node").alias("root"))
+        sizes = loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("apart") & (F.col("n") > PAIRS))
+        open_ = saved(groups.join(loose.join(sizes, "loose", "left_semi"), F.col("key") == F.col("node")).select(*WIDE, "key", "root"), "open")
+        if open_.limit(1).count():
+            sets = saved(sets_of(open_.select("key")), "sets")
+            many = 64 * len(LONG_WIDE)
+            labelled = saved(sets.select("key", _majority_column("hashes").alias("w")).select("key", "w.*").join(open_.select("key", "root"), "key"), "open")
+            more = hamming_links(labelled, radius, rest=LONG_WIDE[1:], wide=bits_apart(similarity, many, 3.0), sure=bits_apart(similarity, many, -4.0), across="root")
+            known = known.withColumn("apart", F.lit(0).cast("long")).union(saved(more, "links"))
+            roots = connected_components(_verified(known, lambda _: sets, similarity))
     rooted = groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")

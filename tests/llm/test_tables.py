@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from routeloom.llm import hashing, mixing, simhash, urls, warc
+from routeloom.llm import common, hashing, mixing, simhash, urls, warc
 from routeloom.llm.components import connected_components
 
 
@@ -180,6 +180,21 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 200))
 
 
+def test_components_of_random_edges_leave_one_table(spark):
+    """Edges are contracted, and only the result is left of what the rounds write, on disk as in the list of paths."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    root = {i: i for e in edges for i in e}
+    for _ in root:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    with common.collected() as paths:
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert len(paths) == 1 and all(paths[0].split("/")[-1] in f for f in got.inputFiles())
+    assert {r.node: r.root for r in got.collect()} == {i: r for i, r in root.items() if any(i in e and e[0] != e[1] for e in edges)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def waterfill(sizes, weights, total, most=2.0):
     target, open_ = {s: 0.0 for s in sizes}, set(sizes)
     left = total
