@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from routeloom.operators.texts import dealt
 from routeloom.sources.scratch import ensure_checkpoints
 
 
@@ -251,7 +252,7 @@ def _grouped(c: DataFrame, instance: str, solve) -> DataFrame:
 
     x = c.select(instance, "prompt_id", "action_name", F.col("action_cost").cast("double"), F.col("final_utility").cast("double"), F.coalesce(F.col("budget").cast("double"), F.lit(0.0)).alias("budget"))
     x = x.where("action_cost is not null and final_utility is not null")
-    return x.repartition(F.col(instance)).sortWithinPartitions(instance, "prompt_id", "action_cost", "action_name").mapInArrow(run, schema)
+    return dealt(x, instance).sortWithinPartitions(instance, "prompt_id", "action_cost", "action_name").mapInArrow(run, schema)
 
 
 def _cheapest(rows: list[tuple]) -> tuple:

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from routeloom.operators.allocation import knapsack
 from routeloom.operators.outcomes import ratio
+from routeloom.operators.texts import dealt, partitions_for
 
 #: Share, range of the first level and range of the whole gain, by difficulty.
 DIFFICULTIES = {"easy": (0.35, (0.45, 0.7), (0.15, 0.4)), "medium": (0.4, (0.2, 0.45), (0.2, 0.45)), "hard": (0.25, (0.02, 0.22), (0.35, 0.65))}
@@ -151,7 +152,7 @@ def equal_levels(table: DataFrame, instance: str, key: str, costs: list[int], cu
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), arrow.types)], schema=arrow)
 
     x = table.select(instance, key, "budget", F.col(curve).alias("curve"))
-    return x.repartition(F.col(instance)).sortWithinPartitions(instance, key).mapInArrow(run, schema)
+    return dealt(x, instance).sortWithinPartitions(instance, key).mapInArrow(run, schema)
 
 
 def knapsack_levels(table: DataFrame, instance: str, key: str, costs: list[int], curve: str = "curve") -> DataFrame:
@@ -206,13 +207,14 @@ def by_difficulty(rows: DataFrame, n_levels: int, order: tuple = ("easy", "mediu
 
 def _runs(table: DataFrame, instance: str, key: str, costs: list[int], allocators: list[str], curve: str) -> DataFrame:
     """(instance, budget, allocator, feasible, total_cost, true_utility, estimated_utility): an instance and budget is one
-    problem, and all problems of an allocator are one job."""
+    problem, and all problems of an allocator are one job. Curves meet their levels in a merge join over partitions_for
+    their rows: Spark takes the exploded table for as small as its file, and would broadcast it whole."""
     problem = F.struct(F.col(instance).alias("instance"), F.col("budget").alias("budget"))
     t = table.withColumn("problem", F.to_json(problem))
-    out = None
+    out, both, n = None, ["problem", key], partitions_for(t)
     for name in allocators:
         levels = allocate(name, t, "problem", key, costs, curve)
-        s = scored(t.join(levels, ["problem", key]), costs)
+        s = scored(t.repartition(n, *both).join(levels.repartition(n, *both).hint("merge"), both), costs)
         s = s.withColumn("estimated", F.when(F.col("level") >= 0, F.try_element_at(F.col(curve), F.col("level") + 1)))
         g = s.groupBy(instance, "budget").agg((F.min("level") >= 0).alias("feasible"), F.sum("cost").alias("total_cost"), F.sum("utility").alias("true_utility"), F.sum("estimated").alias("estimated_utility")).withColumn("allocator", F.lit(name))
         out = g if out is None else out.unionByName(g)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from routeloom.operators.prefix import unused
 
+#: Rows of a partition, about.
+ROWS = 100_000
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys over as many partitions as shuffles or cores have, however few files it comes from. Spark merges no
@@ -27,3 +30,13 @@ def once_per_text(df: DataFrame, texts: list[str], add: Callable[[DataFrame], Da
     done = add(spread(df.select(*texts).distinct(), *texts)).withColumnsRenamed(own)
     same = reduce(and_, [F.col(t).eqNullSafe(F.col(o)) for t, o in own.items()])
     return df.join(done, same, "left").drop(*own.values())
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions of some ROWS rows each, at least as many as shuffles have: their number grows with the rows, not their size."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS + 1)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df with equal keys together, over partitions_for its rows."""
+    return df.repartition(partitions_for(df), F.col(key))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from routeloom.operators import learned, outcomes
+from routeloom.operators import learned, outcomes, simulated, texts
 from routeloom.operators.texts import once_per_text, spread
 from routeloom.plans import inputs
 
@@ -40,3 +40,22 @@ def test_partitions_of_candidates_grow_with_the_lines(spark, tmp_path, monkeypat
     wide = outcomes.pivot_outcomes(inputs.candidates(spark, str(tmp_path)), "prompt_id", ["a0", "a1", "a2", "a3"])
     assert wide.rdd.getNumPartitions() > n // 100
     assert wide.where("cost_a0 is not null and cost_a3 is not null").count() == n // 4
+
+
+def test_instances_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(texts, "ROWS", 100, raising=False)
+    t = spark.range(4000).selectExpr("id div 20 AS i", "id AS q", "30 AS budget", "array(0.1D, 0.3D, 0.4D) AS curve")
+    for levels in (simulated.equal_levels(t, "i", "q", [0, 1, 2]), simulated.knapsack_levels(t, "i", "q", [0, 1, 2])):
+        assert levels.rdd.getNumPartitions() > 4000 // 100
+        assert levels.where("level >= 0").count() == 4000
+    with monkeypatch.context() as m:
+        m.setattr(texts, "ROWS", 100_000)
+        assert simulated.equal_levels(t, "i", "q", [0, 1, 2]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_levels_meet_curves_without_a_broadcast(spark):
+    t = spark.range(400).selectExpr("id div 20 AS i", "id AS q", "array(0.1D, 0.3D, 0.4D) AS curve")
+    runs = simulated.budget_sweep(t, "i", "q", [0, 1, 2], [10, 30])
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert runs.count() == 20 * 2 * 2
