@@ -79,6 +79,7 @@ def out_of_fold(rows: DataFrame, name: str, key: str, features: list[str], label
     ensure_checkpoints(rows.sparkSession)
     at = unused([key, *features], "fold")
     x = rows.where(F.col(label).isNotNull()).select(key, F.col(label).cast("string").alias("truth"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn(at, F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    x = x.checkpoint()  # else each pass of each model makes the rows anew, and one task those of all folds
     counts: dict[int, dict[str, int]] = {k: {} for k in range(folds)}
     for r in x.groupBy(at, "truth").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r[at]][r.truth] = r.n

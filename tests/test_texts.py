@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from routeloom.operators import learned, outcomes, simulated, texts
+from routeloom.operators import learned, multiclass, outcomes, simulated, texts
 from routeloom.operators.texts import once_per_text, spread
 from routeloom.plans import inputs
 
@@ -59,3 +59,11 @@ def test_levels_meet_curves_without_a_broadcast(spark):
     plan = runs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert runs.count() == 20 * 2 * 2
+
+
+def test_rows_of_many_actions_are_made_once(spark):
+    rows = spark.range(600).groupBy(F.col("id").alias("k")).agg(F.max(F.col("id") % 7).alias("x"), F.max((F.col("id") % 3).cast("string")).alias("y"))
+    got = multiclass.out_of_fold(rows, "tree", "k", ["x"], "y")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    assert got.count() == 600
