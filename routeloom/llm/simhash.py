@@ -27,8 +27,6 @@ from routeloom.llm.components import connected_components
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Columns of a wide fingerprint, 64 bits each.
 WIDE = ("fp", "fp1", "fp2", "fp3")
-#: Those of the longer ones that tell apart what is left of large groups.
-LONG_WIDE = ("fp", *(f"fp{k}" for k in range(1, 128)))
 #: A probe (a row that is shuffled and sorted) costs as much as so many comparisons in a bucket; a wide one, which also
 #: takes disk in proportion to its length, as WIDE_PROBE_COST.
 PROBE_COST, WIDE_PROBE_COST = 40.0, 400.0
@@ -38,8 +36,11 @@ RADIUS_DEVIATIONS, WIDE_DEVIATIONS = 1.5, 1.7
 SMALL = 8
 #: Buckets above this size are first divided by the other bits.
 LARGE = 4096
-#: Buckets up to this size give all their candidate pairs to exact verification at once.
+#: Buckets of wide fingerprints are compared by shifting up to this size.
 PAIRS = 64
+#: Groups whose texts are compared exactly are divided into blocks, each of which meets each: into 8 at most of BLOCK_LEAST
+#: rows or more, but for those that would have more than BLOCK_ROWS rows or about BLOCK_BYTES of hashes then.
+BLOCK_LEAST, BLOCK_ROWS, BLOCK_BYTES = 128, 2048, 16 << 20
 
 
 def simhash(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
@@ -97,17 +98,6 @@ def fingerprint_column(text_col: str, shingle: int = 3):
     return fingerprint(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _majority_column(hashes: str):
-    """Struct of the LONG_WIDE words of the fingerprint of a set of hashes."""
-
-    @F.pandas_udf(", ".join(f"{w} long" for w in LONG_WIDE))
-    def fingerprint(sets: pd.Series) -> pd.DataFrame:
-        rows = [_majority(np.frombuffer(x, np.uint64), len(LONG_WIDE)) for x in sets]
-        return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, len(LONG_WIDE)).view(np.int64), columns=LONG_WIDE)
-
-    return fingerprint(F.col(hashes))
-
-
 def set_column(text_col: str, shingle: int):
     """Struct of the WIDE words, signed, of the fingerprint of a text's distinct shingles, and `key`, a digest of that set
     (the XXH64 of its sorted hashes); null texts count as empty."""
@@ -347,51 +337,13 @@ def _links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarra
     return _forest(a, b) if len(a) else (a, b)
 
 
-def _graded(words: list[np.ndarray], own: np.ndarray, radius: int, levels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (row numbers, bits apart) of a large bucket that join its rows at each level with the fewest: at a level, rows
-    are searched breadth first, and of the rows of one group joined before that a row finds, the nearest is linked."""
-    label, out = np.arange(len(own)), []
-    for level in levels:
-        left = np.argsort(~own, kind="stable")
-        values = [w[left] for w in words]
-        ours, new = int(own.sum()), label.copy()
-        while ours and len(left) > 1:
-            first = left[0]
-            front, mine = [first], {int(label[first])}
-            left, values, ours = left[1:], [v[1:] for v in values], ours - 1
-            reached = [first]
-            while front and len(left):
-                x = front.pop()
-                scope = len(left) if own[x] else ours
-                hit = np.flatnonzero(np.bitwise_count(values[0][:scope] ^ words[0][x]) <= radius)
-                apart = sum(np.bitwise_count(v[hit] ^ w[x]).astype(np.int64) for v, w in zip(values, words)) if len(hit) else hit
-                near = apart <= level
-                hit, apart = hit[near], apart[near]
-                if not len(hit):
-                    continue
-                found = left[hit]
-                order = np.lexsort((found, apart))
-                groups, at = np.unique(label[found][order], return_index=True)
-                for g, i in zip(groups.tolist(), order[at].tolist()):
-                    if g not in mine:
-                        mine.add(g)
-                        out.append((x, found[i], apart[i]))
-                reached.extend(found.tolist())
-                front.extend(found.tolist())
-                ours -= int(own[found].sum())
-                left, values = np.delete(left, hit), [np.delete(v, hit) for v in values]
-            new[reached] = label[first]
-        label = new
-    return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _graded_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarray, words: list[np.ndarray], radius: int, sure: int, wide: int):
-    """(a, b, bits apart) of the sorted rows of whole buckets, a < b: all pairs within `wide` in buckets of up to PAIRS
-    rows, those of _graded in larger ones. Pairs within `sure` become links of their group's rows to its least, 0 apart."""
+def _loose_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarray, words: list[np.ndarray], radius: int, sure: int, wide: int):
+    """(a, b, loose) of the sorted rows of whole buckets: links that span the groups of pairs within `sure` bits, 0 loose,
+    and links that join these to the groups of pairs within `wide` bits, 1 loose. There are fewer than nodes."""
     first = np.append(True, (part[1:] != part[:-1]) | (value[1:] != value[:-1]))
     bucket = np.cumsum(first) - 1
     sizes = np.bincount(bucket)
-    out = []
+    near, far = [], []
     rows = np.flatnonzero(((sizes <= PAIRS) & (sizes > 1))[bucket])
     k = bucket[rows]
     for d in range(1, min(PAIRS, len(rows))):
@@ -399,60 +351,35 @@ def _graded_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np
         if not len(hit):
             break
         x, y = rows[:-d][hit], rows[d:][hit]
-        near = (own[x] | own[y]) & (np.bitwise_count(words[0][x] ^ words[0][y]) <= radius)
-        x, y = x[near], y[near]
+        met = (own[x] | own[y]) & (np.bitwise_count(words[0][x] ^ words[0][y]) <= radius)
+        x, y = x[met], y[met]
         apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
-        out.append((node[x], node[y], apart))
-    step = max(1, (wide - sure) // 4)
+        near.append((node[x[apart <= sure]], node[y[apart <= sure]]))
+        far.append((node[x[apart <= wide]], node[y[apart <= wide]]))
+    starts = np.flatnonzero(first)
     for g in np.flatnonzero(sizes > PAIRS):
-        at = int(np.flatnonzero(first)[g])
-        here = slice(at, at + int(sizes[g]))
+        here = slice(int(starts[g]), int(starts[g] + sizes[g]))
         if own[here].any():
-            x, y, apart = _graded([w[here] for w in words], own[here], radius, [*range(sure, wide, step), wide])
-            out.append((node[here][x], node[here][y], apart))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    a, b, apart = (np.concatenate(c) for c in zip(*out))
-    keep = (apart <= wide) & (a != b)
-    a, b, apart = np.minimum(a, b)[keep], np.maximum(a, b)[keep], apart[keep]
-    close = apart <= sure
-    x, y = _forest(a[close], b[close]) if close.any() else (a[:0], a[:0])
-    rest = np.unique(np.stack([a[~close], b[~close], apart[~close]], axis=1), axis=0)
-    return np.append(y, rest[:, 0]), np.append(x, rest[:, 1]), np.append(np.zeros(len(x), np.int64), rest[:, 2])
-
-
-def _across_links(part: np.ndarray, value: np.ndarray, own: np.ndarray, node: np.ndarray, words: list[np.ndarray], radius: int, sure: int, wide: int):
-    """(a, b, bits apart), a < b, between rows whose last word, a label, differs. Pairs within `sure` bits over all words
-    are links, 0 apart, that join their labels at once; of the others within `wide`, those are given whose labels are still
-    apart at the bucket's end. Rows of a bucket's commonest label are only met by the others."""
-    *words, label = words
-    first = np.append(True, (part[1:] != part[:-1]) | (value[1:] != value[:-1]))
-    starts = np.append(np.flatnonzero(first), len(first))
-    out = [np.zeros((3, 0), np.int64)]
-    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        names, of, counts = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            continue
-        bits, mine, at = np.stack([w[lo:hi] for w in words], axis=1), own[lo:hi], node[lo:hi]
-        unsure = []
-        for x in np.flatnonzero(of != int(counts.argmax())).tolist():
-            hit = np.flatnonzero((of != of[x]) & (mine | mine[x]) & (np.bitwise_count(bits[:, 0] ^ bits[x, 0]) <= radius))
-            apart = np.concatenate([np.bitwise_count(bits[hit[k : k + 4096]] ^ bits[x]).sum(axis=1, dtype=np.int64) for k in range(0, len(hit), 4096)]) if len(hit) else hit
-            for y in hit[apart <= sure].tolist():
-                if of[y] != of[x]:
-                    out.append(np.array([[min(at[x], at[y])], [max(at[x], at[y])], [0]]))
-                    of[of == of[y]] = of[x]
-            some = (apart > sure) & (apart <= wide)
-            unsure.append((np.full(int(some.sum()), x), hit[some], apart[some]))
-        if unsure:
-            x, y, apart = (np.concatenate(c) for c in zip(*unsure))
-            keep = of[x] != of[y]
-            x, y, apart = at[x[keep]], at[y[keep]], apart[keep]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), apart]))
-    return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
-
-
-def _verify_fn(radius: int, wide: int = 0, sure: int | None = None, across: bool = False):
+            for most, out in ((sure, near), (wide, far)):
+                x, y = _search([w[here] for w in words], own[here], radius, most)
+                out.append((node[here][x], node[here][y]))
+    none = np.zeros(0, np.int64)
+    near, far = ([np.concatenate(c) for c in zip(*some)] if some else [none, none] for some in (near, far))
+    low, root = _forest(*near) if len(near[0]) else (none, none)
+    a, b = (_renamed(c, low, root) for c in far)
+    x, y = _forest(a[a != b], b[a != b]) if (a != b).any() else (none, none)
+    return np.append(root, y), np.append(low, x), np.append(np.zeros(len(low), np.int64), np.ones(len(x), np.int64))
+
+
+def _renamed(labels: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The labels, those in `old` (sorted) replaced by their counterparts in `new`."""
+    if not len(old):
+        return labels
+    at = np.minimum(np.searchsorted(old, labels), len(old) - 1)
+    return np.where(old[at] == labels, new[at], labels)
+
+
+def _verify_fn(radius: int, wide: int = 0, sure: int | None = None):
     """Streams rows (part, value, own, node, fingerprint words) sorted by bucket."""
 
     def verify(batches):
@@ -462,8 +389,8 @@ def _verify_fn(radius: int, wide: int = 0, sure: int | None = None, across: bool
             return [np.concatenate(c) for c in zip(*group)]
 
         def out(cols):
-            if across or sure is not None:
-                found = _across_links(*cols[:4], cols[4:], radius, sure, wide) if across else _graded_links(*cols[:4], cols[4:], radius, sure, wide)
+            if sure is not None:
+                found = _loose_links(*cols[:4], cols[4:], radius, sure, wide)
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "apart"])
             a, b = _links(*cols[:4], cols[4:], radius, wide)
             return pa.RecordBatch.from_pydict({"a": a, "b": b})
@@ -491,29 +418,26 @@ def _verify_fn(radius: int, wide: int = 0, sure: int | None = None, across: bool
     return verify
 
 
-def hamming_links(distinct: DataFrame, radius: int = 3, partitions: int | None = None, rest: tuple = (), wide: int = 0, sure: int | None = None, across: str | None = None) -> DataFrame:
+def hamming_links(distinct: DataFrame, radius: int = 3, partitions: int | None = None, rest: tuple = (), wide: int = 0, sure: int | None = None) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of distinct fingerprints (column fp) within the radius.
 
     With further fingerprint words (columns `rest`), pairs must also be within `wide` bits over all words, and links are
-    between values of the column `key` instead of between values of fp. With `sure`, links have a third column, the bits
-    `apart` over all words: rows within `sure` bits are linked as groups, 0 apart; of the pairs beyond, all are given that
-    meet in buckets of up to PAIRS rows, and in larger ones those that join the groups there level by level. With `across`,
-    a column of labels (longs), only pairs whose labels differ are: see _across_links.
+    between values of the column `key` instead of between values of fp. With `sure`, links have a third column, `apart`:
+    those with 0 span the components of the pairs within `sure` bits over all words, and with those with 1 besides all
+    components. Either way a task gives fewer links than rows of its buckets, however large a group is.
     """
     spark = distinct.sparkSession
     cost = WIDE_PROBE_COST if rest else PROBE_COST
-    graded = sure is not None or across is not None
     parts, ones, total = plan_parts(distinct, radius, cost)
     if total < 2:
-        return spark.createDataFrame([], "a long, b long" + ", apart long" * graded)
+        return spark.createDataFrame([], "a long, b long" + ", apart long" * (sure is not None))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = [across] if across else []
-    names = ["fp", *rest, *["key"] * bool(rest), *labels]
+    names = ["fp", *rest, *["key"] * bool(rest)]
     schema = "part int, value long, own boolean, " + ", ".join(f"{c} long" for c in names)
     probes = distinct.select(*names).mapInArrow(_probe_fn(parts, ones, total, radius, names, cost), schema)
     buckets = probes.repartition(n, "part", "value").sortWithinPartitions("part", "value")
-    bucket_rows = buckets.select("part", "value", "own", F.col("key" if rest else "fp").alias("node"), "fp", *rest, *labels)
-    return bucket_rows.mapInArrow(_verify_fn(radius, wide, sure, bool(across)), "a long, b long" + ", apart long" * graded)
+    bucket_rows = buckets.select("part", "value", "own", F.col("key" if rest else "fp").alias("node"), "fp", *rest)
+    return bucket_rows.mapInArrow(_verify_fn(radius, wide, sure), "a long, b long" + ", apart long" * (sure is not None))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -544,54 +468,96 @@ def bits_apart(similarity: float, bits: int, deviations: float = 0.0) -> int:
     return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets, as sorted 64-bit hashes in `sets` (key, hashes), have at least that Jaccard
-    similarity."""
+def _similar(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the labels of sets with at least that Jaccard similarity. Sets of one side meet those of the other, or
+    each other if there is one side. Intersections are products of 0/1 matrices, whose columns are what two sets share."""
+    sizes = np.array([len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    column = np.bincount(at, minlength=len(values)) > 1
+    keep = column[at]
+    row, col = np.repeat(np.arange(len(sets)), sizes)[keep], (np.cumsum(column) - 1)[at[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    left, right = (left, right) if len(left) and len(right) else (np.arange(len(sets)),) * 2
+    both, step = np.zeros((len(left), len(right))), max(64, (1 << 22) // len(sets))
+    for lo in range(0, int(column.sum()), step):
+        some = slice(*np.searchsorted(col, (lo, lo + step)))
+        held = np.zeros((len(sets), min(step, int(col[-1]) + 1 - lo)), np.float32)
+        held[row[some], col[some] - lo] = 1
+        both += held[left] @ held[right].T
+    out = [(label[:0], label[:0])]
+    for lo in range(0, len(left), 256):
+        some, shared = left[lo : lo + 256], both[lo : lo + 256]
+        like = shared >= similarity * (sizes[some][:, None] + sizes[right][None, :] - shared) - 1e-9
+        x, y = np.nonzero(like & (label[some][:, None] != label[right][None, :]))
+        if len(x):
+            out.append(_forest(label[some][x], label[right][y]))
+            label = _renamed(label, *out[-1])
+    a, b = (np.concatenate(c) for c in zip(*out))
+    return b, a
+
+
+def _similar_fn(similarity: float):
+    """Streams rows (loose, i, j, side, root, hashes) sorted by loose, i, j: links between the roots of similar sets."""
 
     def run(batches):
-        for b in batches:
-            left, right = b.column(2), b.column(3)
-            keep = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                    both = int((y[at] == x).sum()) if len(y) else 0
-                    keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    left = edges.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        held, found, many = [], [], 0
+
+        def joined():
+            got = pa.Table.from_batches(held)
+            side, label = got.column(3).to_numpy(), got.column(4).to_numpy()
+            if (label == label[0]).all() or (last[1] != last[2] and (side == side[0]).all()):  # joined, or blocks without rows
+                return label[:0], label[:0]
+            return _similar([np.frombuffer(x.as_buffer(), np.uint64) for x in got.column(5)], side, label, similarity)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and (ids[lo] != last).any():
+                    found.append(joined())
+                    held, many = [], many + len(found[-1][0])
+                    if many >= 65536:
+                        yield out()
+                        found, many = [], 0
+                held.append(batch.slice(lo, hi - lo))
+                last = ids[lo]
+        if held:
+            found.append(joined())
+            yield out()
+
+    return run
 
 
 def _verified(links: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """Links (a, b) that span the same components as the sure ones of `links` and those beyond whose sets are similar, except
-    where the ends are joined already. sets_of gives the sets of the keys it is given.
+    """Links (a, b) that span the same components as the sure ones of `links` (0 apart) and all pairs of similar sets within
+    the groups that all of `links` join. sets_of gives the sets (key, hashes: sorted 64-bit hashes) of the keys it is given.
 
-    Where more than 4 candidate pairs a set are left, each set's 4 nearest are verified first, and what these join needn't
-    be compared again; then the 16 nearest of those left, and so on until all are.
+    A group's sets are dealt to blocks by hash, and each pair of blocks is compared exactly in one place, which gives fewer
+    links than it has rows. Groups that the sure links join already are left out.
     """
-    nearest, known = 4, links.where("apart = 0").select("a", "b")
-    edges, sets = links.where("apart > 0").groupBy("a", "b").agg(F.min("apart").alias("apart")), None
-    while True:
-        roots = connected_components(known)
-        known = roots.where("root < node").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        for end in "ab":
-            edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        edges = saved(edges.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "apart"), "candidates")
-        nodes = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        many, few = edges.count(), nodes.count()
-        if not many:
-            return known
-        sets = saved(sets_of(nodes), "sets") if sets is None else sets
-        if many <= 4 * few:
-            return known.union(_similar(edges, sets, similarity))
-        ends = edges.select(F.explode(F.array("a", "b")).alias("key"), F.struct("apart", "a", "b").alias("e"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("e"))
-        best = saved(ends.withColumn("place", place).where(F.col("place") <= nearest).select("e.*").distinct(), "nearest")
-        known = saved(known.union(_similar(best, sets, similarity)), "links")
-        edges, nearest = edges.join(best.select("a", "b"), ["a", "b"], "left_anti"), 4 * nearest
+    roots = connected_components(links.where("apart = 0").select("a", "b"))
+    known = roots.where("root < node").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    loose = connected_components(links.select("a", "b")).withColumnRenamed("root", "loose")
+    rooted = saved(loose.join(roots, "node", "left").select(F.col("node").alias("key"), "loose", F.coalesce("root", "node").alias("root")), "rooted")
+    parted = rooted.groupBy("loose").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_ = saved(rooted.join(parted, "loose", "left_semi"), "open")
+    if not open_.limit(1).count():
+        return known
+    sets = saved(sets_of(open_.select("key")), "sets")
+    each = open_.join(sets.select("key", F.length("hashes").alias("size")), "key").groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_ROWS), F.least(F.lit(8), F.ceil(F.col("n") / BLOCK_LEAST)))
+    placed = open_.join(each.select("loose", blocks.alias("blocks")), "loose").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    met = placed.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("loose", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("side"), "root", "hashes")
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return known.union(met.repartition(n, "loose", "i", "j").sortWithinPartitions("loose", "i", "j").mapInArrow(_similar_fn(similarity), "a long, b long"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -601,11 +567,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sets, not counts: repeated lines don't matter. Texts with equal sets (`key`, a 64-bit digest) count as one. Candidates
     are pairs of fingerprints of 64 x len(WIDE) bits that are within RADIUS_DEVIATIONS of what that similarity gives in
     the first 64 bits and within WIDE_DEVIATIONS in all. Candidates whose fingerprints say a similarity far above (4
-    deviations: one in 30,000 pairs of just that similarity does) are links; all others are compared exactly, but for
-    those between texts that are joined already. Groups of more than PAIRS texts take two passes: the first compares the
-    nearest candidates; in the second, the groups that are left are compared by fingerprints of 8,192 bits, whose
-    deviation is 0.005 at 0.8, and exactly where these are from 4 deviations nearer to 3 further than it. So a link may be missing (README.md has
-    the shares by similarity), but none is false. Nulls, ids and empty tables as in
+    deviations: one in 30,000 pairs of just that similarity does) are links. Of the others only links that span their
+    groups are kept, and in each such group all texts are compared exactly, block by block, but for those that are joined
+    already. So a link may be missing between texts of different groups (README.md has the shares by similarity), but
+    none is false. Nulls, ids and empty tables as in
     near_duplicates; texts without words have the empty set and are one group.
     """
     spark = docs.sparkSession
@@ -630,17 +595,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         known = saved(_verified(links, sets_of, similarity), "verified")
         roots = connected_components(known)
-        # what a larger bucket left out: candidates between the groups that verification has left of a large one
-        loose = connected_components(links).withColumnRenamed("root", "loose").join(roots, "node", "left").select("node", "loose", F.coalesce("root", "node").alias("root"))
-        sizes = loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("apart") & (F.col("n") > PAIRS))
-        open_ = saved(groups.join(loose.join(sizes, "loose", "left_semi"), F.col("key") == F.col("node")).select(*WIDE, "key", "root"), "open")
-        if open_.limit(1).count():
-            sets = saved(sets_of(open_.select("key")), "sets")
-            many = 64 * len(LONG_WIDE)
-            labelled = saved(sets.select("key", _majority_column("hashes").alias("w")).select("key", "w.*").join(open_.select("key", "root"), "key"), "open")
-            more = hamming_links(labelled, radius, rest=LONG_WIDE[1:], wide=bits_apart(similarity, many, 3.0), sure=bits_apart(similarity, many, -4.0), across="root")
-            known = known.withColumn("apart", F.lit(0).cast("long")).union(saved(more, "links"))
-            roots = connected_components(_verified(known, lambda _: sets, similarity))
     rooted = groups.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")

@@ -169,6 +169,49 @@ def test_each_nearest_candidate_first(spark):
     assert {k: roots.get(k, k) for k in sets} == root and len(asked) == 1
 
 
+def joined(nodes, pairs):
+    """The least node that each reaches."""
+    root = {i: i for i in nodes}
+    for a, b in pairs:
+        if root[a] != root[b]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {i: new if r == old else r for i, r in root.items()}
+    return root
+
+
+def test_links_of_a_group_are_fewer_than_its_rows(spark):
+    """Not a link for each pair, and the sure ones span what pairs within `sure` do."""
+    rng = random.Random(8)
+    flipped = lambda most: sum(1 << b for b in rng.sample(range(64), rng.randint(0, most)))
+    for n in (50, 200):
+        words = [[flipped(3) for _ in range(4)] for _ in range(n)]
+        rows = [(*[w - (1 << 64) if w >= 1 << 63 else w for w in four], i) for i, four in enumerate(words)]
+        distinct = spark.createDataFrame(rows, "fp long, fp1 long, fp2 long, fp3 long, key long")
+        links = simhash.hamming_links(distinct, 6, rest=("fp1", "fp2", "fp3"), wide=24, sure=4, partitions=1).collect()
+        assert len(links) < n
+        far = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(words[i], words[j]))
+        for apart, most in ((0, 4), (1, 24)):
+            want = joined(range(n), [(i, j) for i in range(n) for j in range(i + 1, n) if far(i, j) <= most])
+            assert joined(range(n), [(r.a, r.b) for r in links if r.apart <= apart]) == want
+
+
+def test_pairs_of_a_group_are_compared_without_candidates(spark, monkeypatch):
+    """All pairs of a group that links only span, in one block and in several, with long and empty sets."""
+    rng = random.Random(9)
+    sets = {k: np.unique(rng.sample(range(k % 3 * 1000, k % 3 * 1000 + 100), rng.choice([84, 88, 92]))).astype(np.uint64) for k in range(60)}
+    sets |= {60: np.arange(0, 0, dtype=np.uint64), 61: np.arange(60_000, dtype=np.uint64), 62: np.arange(11_000, 60_000, dtype=np.uint64)}
+    links = [(0, k, 1) for k in range(1, 63)] + [(70, 71, 0)]
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    root = joined([*sets, 70, 71], [(a, b) for a in sets for b in sets if a < b and like(a, b)] + [(70, 71)])
+    assert 5 < len(set(root.values())) < 60 and root[62] == 61
+    all_sets = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "key long, hashes binary")
+    for least, size in ((1000, 16 << 20), (10, 16 << 20), (1000, 50_000)):
+        monkeypatch.setattr(simhash, "BLOCK_LEAST", least)
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", size)
+        got = simhash._verified(spark.createDataFrame(links, "a long, b long, apart long"), lambda keys: all_sets.join(keys, "key"), 0.8)
+        assert joined(root, [(r.a, r.b) for r in got.collect()]) == root
+
+
 def test_near_copies_of_none(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_copies(docs).count() == 0
