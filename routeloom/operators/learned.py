@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from routeloom.operators.forests import BinnedForest
 from routeloom.operators.outcomes import ratio
 from routeloom.operators.texts import spread
 from routeloom.sources.scratch import ensure_checkpoints
@@ -40,6 +41,16 @@ def make_model(name: str, features: list[str]) -> Pipeline:
     ])
 
 
+def make_binned(name: str, features: list[str], counts: dict[float, int]) -> BinnedForest | None:
+    """The forest of that name over bins, with classes weighed as by class_weights; None if the model isn't one."""
+    model, n = MODELS[name](), sum(counts.values())
+    weights = {int(c): n / (2 * k) for c, k in counts.items() if c in (0.0, 1.0)}
+    if isinstance(model, RandomForestClassifier):
+        some = None if model.getFeatureSubsetStrategy() == "all" else math.ceil(math.sqrt(len(features)))
+        return BinnedForest(features, model.getNumTrees(), model.getMaxDepth(), some, model.getMinInstancesPerNode(), weights, model.getSeed(), model.getMaxBins())
+    return None
+
+
 def class_weights(counts: dict[float, int]) -> Column:
     """Weight n / (2 n_class) of `label` for counts by class; 1 for a class without rows."""
     n = sum(counts.values())
@@ -50,10 +61,12 @@ def class_weights(counts: dict[float, int]) -> Column:
 def out_of_fold(rows: DataFrame, name: str, key: str, features: list[str], label: str, folds: int = 3) -> DataFrame:
     """(key, fold, label, probability): each fold scored by a model of the others, whose rows alone weigh the classes;
     folds by hash of the key. With only one class in the training folds the probability is that class. Rows are dealt over
-    all cores and sorted, for a model's passes have as many tasks as its rows have partitions, and samples are drawn by place."""
-    ensure_checkpoints(rows.sparkSession)  # boosting cuts its lineage there every ten rounds
+    all cores, and sorted for pyspark.ml, whose passes have as many tasks as the rows have partitions and which draws samples
+    by place. Ensembles grow over bins instead: their rows are written once, and their passes are few."""
+    ensure_checkpoints(rows.sparkSession)
     x = rows.select(key, F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
-    x = spread(x, key).sortWithinPartitions(key)
+    x = spread(x, key)
+    x = x.sortWithinPartitions(key) if make_binned(name, features, {}) is None else x.checkpoint()
     counts = {(r.fold, r.label): r.n for r in x.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def scored(k: int) -> DataFrame:
@@ -64,6 +77,9 @@ def out_of_fold(rows: DataFrame, name: str, key: str, features: list[str], label
         train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
         if len(own) < 2:
             return test.select(key, "fold", "label", F.lit(float(next(iter(own), 0.0))).alias("probability"))
+        binned = make_binned(name, features, own)
+        if binned is not None:
+            return binned.fit(train).transform(test).select(key, "fold", "label", "probability")
         fitted = make_model(name, features).fit(train.withColumn("weight", class_weights(own)))
         return fitted.transform(test).select(key, "fold", "label", vector_to_array("probability")[1].alias("probability"))
 
