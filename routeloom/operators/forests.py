@@ -1,4 +1,4 @@
-"""Forests for two classes, grown over bins.
+"""Forests and boosted trees for two classes, grown over bins.
 
 Trees of pyspark.ml see a feature by its bins, 32 of them, and so do these; but rows with the same bins and label become one
 pattern with its count before the first tree, so that trees grow at the cost of the patterns, not of the rows. A bootstrap
@@ -9,13 +9,14 @@ trees is one job that adds up histograms by node, feature and bin, and chooses e
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -26,6 +27,8 @@ from routeloom.sources.scratch import ensure_checkpoints
 
 #: Patterns of a block and trees of a task, about; patterns that are broadcast when rows look up their score.
 BLOCK, TREES, SMALL = 65_536, 25, 200_000
+#: Rounds of boosting after which the margins so far are stored; pairs of bins of a job that a block adds up by, at most.
+ROUNDS, CELLS = 10, 100_000
 
 
 def _missing(v: Column) -> Column:
@@ -69,18 +72,28 @@ def _reached(bins: np.ndarray, feature: np.ndarray, upto: np.ndarray, depth: int
     return node
 
 
-def _histogram(bins: np.ndarray, place: np.ndarray, chosen: np.ndarray, weights: list[np.ndarray], n_bins: int) -> np.ndarray:
-    """Sums of each of the weights by place, chosen feature of the place, and bin."""
-    rows, places, out = np.arange(len(bins)), len(chosen), np.zeros((len(chosen), chosen.shape[1], n_bins, len(weights)))
-    for j in range(chosen.shape[1]):
-        at = bins[rows, chosen[place, j]] + n_bins * place
+def _followed(bins: np.ndarray, feature: np.ndarray, upto: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """of[the node that each row reaches], without a row's way being looked up: cheaper where a tree has few nodes."""
+
+    def at(node):
+        return of[node] if feature[node] < 0 else np.where(bins[:, feature[node]] > upto[node], at(2 * node + 2), at(2 * node + 1))
+
+    return np.broadcast_to(at(0), len(bins))
+
+
+def _histogram(bins: np.ndarray, place: np.ndarray, chosen: np.ndarray | None, places: int, weights: list[np.ndarray], n_bins: int) -> np.ndarray:
+    """Sums of each of the weights by place, feature that the place has chosen (all of them if None), and bin."""
+    some = bins.shape[1] if chosen is None else chosen.shape[1]
+    rows, start, out = np.arange(len(bins)), n_bins * place, np.zeros((places, some, n_bins, len(weights)))
+    for j in range(some):
+        at = start + (bins[:, j] if chosen is None else bins[rows, chosen[place, j]])
         for i, w in enumerate(weights):
             out[:, j, :, i] = np.bincount(at, weights=w, minlength=places * n_bins).reshape(places, n_bins)
     return out
 
 
 class _Binned:
-    """Bins, blocks and scores."""
+    """Bins, blocks and scores, which forests and boosted trees share."""
 
     features: list[str]
     bins: int
@@ -122,6 +135,13 @@ class _Binned:
     def _score(self, bins: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def _most_bins(self) -> int:
+        return max((len(s) for s, _ in self.starts), default=0) + 1
+
+    def fit(self, rows: DataFrame, label: str = "label"):
+        fit_all([self], [rows], label)
+        return self
+
     def transform(self, rows: DataFrame, out: str = "probability") -> DataFrame:
         """rows with the probability of label 1. Distinct patterns are scored once, and rows look theirs up."""
         x, names = self._columns(rows)
@@ -170,9 +190,14 @@ class BinnedForest(_Binned):
         j, at = np.divmod(best, left.shape[2])
         return np.where(gain[node, best] > 0, chosen[node, j], -1), at, np.stack([left[node, j, at], right[node, j, at]], axis=1)
 
-    def fit(self, rows: DataFrame, label: str = "label") -> BinnedForest:
-        sc, blocks = rows.sparkSession.sparkContext, self._blocks(rows, label)
-        n_bins = max((len(s) for s, _ in self.starts), default=0) + 1
+    @staticmethod
+    def _grow(models: list[BinnedForest], blocks: list[RDD]) -> None:
+        spark = SparkSession.active()
+        with ThreadPoolExecutor(len(models)) as pool:
+            list(pool.map(inheritable_thread_target(spark)(BinnedForest._grow_one), models, blocks))
+
+    def _grow_one(self, blocks: RDD) -> None:
+        sc, n_bins = blocks.context, self._most_bins()
         size = (2 << self.depth) - 1
         feature, upto = np.full((self.trees, size), -1, np.int16), np.zeros((self.trees, size), np.int16)
         held = np.zeros((self.trees, size, 2))
@@ -193,12 +218,10 @@ class BinnedForest(_Binned):
                 feature[t, node], upto[t, node] = f, at
                 held[t, 2 * node[split] + 1], held[t, 2 * node[split] + 2] = sides[split, 0], sides[split, 1]
             state.unpersist()
-        blocks.unpersist()
         self._prune(feature, held * self.weights)
         w = held * self.weights
         n = w.sum(-1)
         self.model = feature, upto, np.where(n > 0, w[..., 1] / np.where(n > 0, n, 1), 0.5)
-        return self
 
     def _drawn(self, tree: int, block) -> np.ndarray:
         number, _, n, _ = block
@@ -220,7 +243,7 @@ class BinnedForest(_Binned):
                 use = (node >= 0) & (n > 0)
                 use[use] = open_[t][node[use]]
                 y, n = block[1][use], n[use]
-                yield t, _histogram(block[3][use], place[node[use]], chosen(t, level)[open_[t]], [n * (y == 0), n * (y == 1)], n_bins)
+                yield t, _histogram(block[3][use], place[node[use]], chosen(t, level)[open_[t]], int(open_[t].sum()), [n * (y == 0), n * (y == 1)], n_bins)
 
         return tasks.flatMap(sums).reduceByKey(add, numPartitions=tasks.getNumPartitions()).map(lambda x: (x[0], *best(x[1], chosen(x[0], level)[state.value[2][x[0]]])))
 
@@ -234,3 +257,139 @@ class BinnedForest(_Binned):
 
     def _score(self, bins: np.ndarray) -> np.ndarray:
         return sum(p[_reached(bins, f, u, self.depth)] for f, u, p in zip(*self.model)) / self.trees
+
+
+class BinnedBoosting(_Binned):
+    """Regression trees boosted on the logistic loss as in pyspark.ml: the first tree fits labels -1 and 1 and counts whole,
+    each later one the loss's gradient, and counts by `rate`; the probability is a logistic curve of twice the margin.
+
+    Rounds follow each other, so their number of jobs is what takes time: models that are fitted together share each job,
+    and a job that also adds up by pairs of bins gives the splits of two levels, where such sums are few enough."""
+
+    def __init__(self, features: list[str], rounds: int, rate: float, depth: int, least: int = 1, weights: dict[int, float] | None = None, bins: int = 32):
+        self.features, self.rounds, self.rate, self.depth, self.least, self.bins = features, rounds, rate, depth, least, bins
+        self.weights = np.array([(weights or {}).get(c, 1.0) for c in (0, 1)])
+        self.pairs = list(combinations(range(len(features)), 2))
+
+    @staticmethod
+    def _grow(models: list[BinnedBoosting], blocks: list[RDD]) -> None:
+        one, sc = models[0], blocks[0].context
+        for m in models:
+            m.model = []
+        held = [(k, b) for k, b in enumerate(blocks) if not b.isEmpty()]
+        if not held:
+            return
+        depth, size, n_bins = one.depth, (2 << one.depth) - 1, max(m._most_bins() for m in models)
+        number = lambda k, b: b.map(lambda x: (k, (*x[:3], np.asfortranarray(x[3])), np.zeros(len(x[1]))))
+        state, recent = sc.union([number(k, b) for k, b in held]).persist(), []
+        for r in range(one.rounds):
+            trees = {k: (np.full(size, -1, np.int16), np.zeros(size, np.int16), np.zeros(size)) for k, _ in held}
+            level = 0
+            while level < max(depth, 1):
+                first = (1 << level) - 1
+                inner = np.arange((first - 1) // 2, first) if level else []
+                nodes = {k: [2 * p + side for p in inner for side in (1, 2) if t[0][p] >= 0] if level else [0] for k, t in trees.items()}
+                if not any(nodes.values()):
+                    break
+                two = level + 1 < depth and (1 << level) * len(one.pairs) * n_bins**2 <= CELLS
+                got = state.map(_sums_of([m.weights for m in models], nodes, trees, tuple(recent), one.pairs if two else None, n_bins, r == 0)).treeReduce(_merged)
+                for k, (single, double) in got.items():
+                    for i, node in enumerate(nodes[k]):
+                        split = models[k]._split(trees[k], node, single[i])
+                        if two and split:
+                            for side, child in ((0, 2 * node + 1), (1, 2 * node + 2)):
+                                models[k]._split(trees[k], child, models[k]._side(single[i], double[i], *split, side))
+                level += 2 if two else 1
+            done = {k: (f, u, v if r == 0 else one.rate * v) for k, (f, u, v) in trees.items()}
+            for k, t in done.items():
+                models[k].model.append(t)
+            recent.append(done)
+            if len(recent) == ROUNDS:
+                new = state.map(lambda x, seen=tuple(recent): (x[0], x[1], _margin(x, seen))).persist()
+                new.count()
+                state.unpersist()
+                state, recent = new, []
+        state.unpersist()
+
+    def _split(self, tree, node: int, sums: np.ndarray) -> tuple[int, int] | None:
+        """Sets a node's value from its sums by feature and bin and, where it gains, its split and its children's values."""
+        feature, upto, value = tree
+        left = np.cumsum(sums, axis=1)[:, :-1]
+        both = sums.sum(axis=1)[:, None]
+        right = both - left
+        mean = lambda s: s[..., 1] ** 2 / np.where(s[..., 0] > 0, s[..., 0], 1)
+        if node == 0:
+            value[0] = both[0, 0, 1] / both[0, 0, 0]
+        gain = np.where((left[..., 2] >= self.least) & (right[..., 2] >= self.least), mean(left) + mean(right) - mean(both), -1.0)
+        if not self.depth or not gain.size or gain.max() <= 1e-12 * both[0, 0, 0]:
+            return None
+        f, at = (int(i) for i in np.unravel_index(gain.argmax(), gain.shape))
+        feature[node], upto[node] = f, at
+        for child, s in ((2 * node + 1, left[f, at]), (2 * node + 2, right[f, at])):
+            value[child] = s[1] / s[0]
+        return f, at
+
+    def _side(self, single: np.ndarray, double: np.ndarray, f: int, at: int, side: int) -> np.ndarray:
+        """Sums by feature and bin of the rows whose bin of feature f is at most `at`, or above it for side 1."""
+        part, out = slice(at + 1, None) if side else slice(at + 1), np.zeros_like(single)
+        out[f, part] = single[f, part]
+        for sums, (a, b) in zip(double, self.pairs):
+            if a == f:
+                out[b] = sums[part].sum(axis=0)
+            elif b == f:
+                out[a] = sums[:, part].sum(axis=1)
+        return out
+
+    def _score(self, bins: np.ndarray) -> np.ndarray:
+        at = sum((_followed(bins, f, u, v) for f, u, v in self.model), np.zeros(len(bins)))
+        return 1 / (1 + np.exp(-2 * np.clip(at, -300, 300)))
+
+
+def _margin(x, seen) -> np.ndarray:
+    """A block's margins with the trees seen since they were stored."""
+    k, block, at = x
+    return at + sum((_followed(block[3], *trees[k]) for trees in seen), np.zeros(len(at)))
+
+
+def _sums_of(weights, nodes, trees, seen, pairs, n_bins, start):
+    """Of a block: {model: (sums of weight, weight x aim and rows by node, feature and bin; the same by pairs of bins)}."""
+
+    def sums(x):
+        k, block, _ = x
+        sign = 2.0 * block[1] - 1
+        aim = sign if start else 4 * sign / (1 + np.exp(np.minimum(2 * sign * _margin(x, seen), 700)))
+        w, (feature, upto, value) = block[2] * weights[k][block[1]], trees[k]
+        number = np.full(len(value), -1, np.int64)
+        number[nodes[k]] = range(len(nodes[k]))
+        place, bins, stats = _followed(block[3], feature, upto, number), block[3], [w, w * aim, block[2]]
+        if place.min() < 0:  # rows of nodes that weren't split
+            use = place >= 0
+            place, bins, stats = place[use], bins[use], [v[use] for v in stats]
+        single = _histogram(bins, place, None, len(nodes[k]), stats, n_bins)
+        if pairs is None:
+            return {k: (single, None)}
+        double = np.zeros((len(nodes[k]), len(pairs), n_bins, n_bins, len(stats)))
+        for i, (f, g) in enumerate(pairs):
+            at = (place * n_bins + bins[:, f]) * n_bins + bins[:, g]
+            for j, v in enumerate(stats):
+                double[:, i, ..., j] = np.bincount(at, weights=v, minlength=len(nodes[k]) * n_bins**2).reshape(-1, n_bins, n_bins)
+        return {k: (single, double)}
+
+    return sums
+
+
+def _merged(a: dict, b: dict) -> dict:
+    plus = lambda x, y: tuple(u if u is None else u + v for u, v in zip(x, y))
+    return a | {k: plus(a[k], v) if k in a else v for k, v in b.items()}
+
+
+def fit_all(models: list[BinnedForest] | list[BinnedBoosting], rows: list[DataFrame], label: str = "label") -> None:
+    """Fits models of one kind and size, each to its rows, side by side."""
+    if not models:
+        return
+    with ThreadPoolExecutor(len(models)) as pool:
+        target = inheritable_thread_target(rows[0].sparkSession)
+        blocks = list(pool.map(target(lambda m, r: m._blocks(r, label)), models, rows))
+    type(models[0])._grow(models, blocks)
+    for b in blocks:
+        b.unpersist()

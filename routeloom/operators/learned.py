@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from routeloom.operators.forests import BinnedForest
+from routeloom.operators.forests import BinnedBoosting, BinnedForest, fit_all
 from routeloom.operators.outcomes import ratio
 from routeloom.operators.texts import spread
 from routeloom.sources.scratch import ensure_checkpoints
@@ -41,13 +41,15 @@ def make_model(name: str, features: list[str]) -> Pipeline:
     ])
 
 
-def make_binned(name: str, features: list[str], counts: dict[float, int]) -> BinnedForest | None:
-    """The forest of that name over bins, with classes weighed as by class_weights; None if the model isn't one."""
+def make_binned(name: str, features: list[str], counts: dict[float, int]) -> BinnedForest | BinnedBoosting | None:
+    """The ensemble of that name over bins, with classes weighed as by class_weights; None if the model isn't one."""
     model, n = MODELS[name](), sum(counts.values())
     weights = {int(c): n / (2 * k) for c, k in counts.items() if c in (0.0, 1.0)}
     if isinstance(model, RandomForestClassifier):
         some = None if model.getFeatureSubsetStrategy() == "all" else math.ceil(math.sqrt(len(features)))
         return BinnedForest(features, model.getNumTrees(), model.getMaxDepth(), some, model.getMinInstancesPerNode(), weights, model.getSeed(), model.getMaxBins())
+    if isinstance(model, GBTClassifier):
+        return BinnedBoosting(features, model.getMaxIter(), model.getStepSize(), model.getMaxDepth(), model.getMinInstancesPerNode(), weights, model.getMaxBins())
     return None
 
 
@@ -69,19 +71,22 @@ def out_of_fold(rows: DataFrame, name: str, key: str, features: list[str], label
     x = x.sortWithinPartitions(key) if make_binned(name, features, {}) is None else x.checkpoint()
     counts = {(r.fold, r.label): r.n for r in x.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def scored(k: int) -> DataFrame:
-        own: dict[float, int] = {}
+    own: list[dict[float, int]] = [{} for _ in range(folds)]
+    for k in range(folds):
         for (fold, c), n in counts.items():
             if fold != k:
-                own[c] = own.get(c, 0) + n
-        train, test = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
-        if len(own) < 2:
-            return test.select(key, "fold", "label", F.lit(float(next(iter(own), 0.0))).alias("probability"))
-        binned = make_binned(name, features, own)
-        if binned is not None:
-            return binned.fit(train).transform(test).select(key, "fold", "label", "probability")
-        fitted = make_model(name, features).fit(train.withColumn("weight", class_weights(own)))
-        return fitted.transform(test).select(key, "fold", "label", vector_to_array("probability")[1].alias("probability"))
+                own[k][c] = own[k].get(c, 0) + n
+    train, test = [x.where(F.col("fold") != k) for k in range(folds)], [x.where(F.col("fold") == k) for k in range(folds)]
+    binned = {k: m for k in range(folds) if len(own[k]) > 1 and (m := make_binned(name, features, own[k])) is not None}
+    fit_all(list(binned.values()), [train[k] for k in binned])
+
+    def scored(k: int) -> DataFrame:
+        if len(own[k]) < 2:
+            return test[k].select(key, "fold", "label", F.lit(float(next(iter(own[k]), 0.0))).alias("probability"))
+        if k in binned:
+            return binned[k].transform(test[k]).select(key, "fold", "label", "probability")
+        fitted = make_model(name, features).fit(train[k].withColumn("weight", class_weights(own[k])))
+        return fitted.transform(test[k]).select(key, "fold", "label", vector_to_array("probability")[1].alias("probability"))
 
     with ThreadPoolExecutor(folds) as pool:  # folds are fitted side by side
         return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(folds)))

@@ -1,4 +1,4 @@
-"""Forests over bins against pyspark.ml's on the same bins."""
+"""Forests and boosted trees over bins against pyspark.ml's on the same bins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -40,13 +40,23 @@ def test_a_whole_tree_is_that_of_pyspark(spark):
     assert np.allclose(told(own.transform(d)), theirs(DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=2, weightCol="weight"), d))
 
 
+@pytest.mark.parametrize(("block", "cells"), [(65_536, 100_000), (100, 0)])
+def test_boosting_is_that_of_pyspark(spark, monkeypatch, block, cells):
+    """In one block and in many, with two levels a job and with one."""
+    monkeypatch.setattr(forests, "BLOCK", block)
+    monkeypatch.setattr(forests, "CELLS", cells)
+    d = labelled(spark, 3000)
+    own = forests.BinnedBoosting(["a", "b", "c"], 12, 0.3, 3, weights=WEIGHTS).fit(d)
+    assert np.allclose(told(own.transform(d)), theirs(GBTClassifier(maxIter=12, stepSize=0.3, maxDepth=3, weightCol="weight"), d))
+
+
 @pytest.mark.parametrize("some", ["all", "sqrt"])
 def test_a_forest_is_near_that_of_pyspark(spark, monkeypatch, some):
     monkeypatch.setattr(forests, "BLOCK", 300)
     d = labelled(spark, 3000)
-    own = forests.BinnedForest(["a", "b", "c"], 120, 5, None if some == "all" else 2, 2, WEIGHTS)
+    own = forests.BinnedForest(["a", "b", "c"], 60, 5, None if some == "all" else 2, 2, WEIGHTS)
     got = told(own.fit(d).transform(d))
-    want = theirs(RandomForestClassifier(numTrees=120, maxDepth=5, minInstancesPerNode=2, featureSubsetStrategy=some, weightCol="weight", seed=42), d)
+    want = theirs(RandomForestClassifier(numTrees=60, maxDepth=5, minInstancesPerNode=2, featureSubsetStrategy=some, weightCol="weight", seed=42), d)
     assert np.abs(got - want).mean() < 0.03 and np.corrcoef(got, want)[0, 1] > 0.98
     assert np.array_equal(got, told(own.fit(d).transform(d)))
 
@@ -76,19 +86,19 @@ def test_bins(spark):
 
 def test_models_without_rows_or_features_to_split(spark):
     d = spark.range(50).selectExpr("id", "1D AS a", "cast(id % 5 = 0 AS double) AS label")
-    for make in (lambda: forests.BinnedForest(["a"], 30, 3),):
+    for make in (lambda: forests.BinnedForest(["a"], 30, 3), lambda: forests.BinnedBoosting(["a"], 3, 0.1, 3)):
         assert {r.probability for r in make().fit(d.limit(0)).transform(d).collect()} == {0.5}
         assert len({r.probability for r in make().fit(d).transform(d).collect()}) == 1
 
 
-@pytest.mark.parametrize("name", ["random_forest"])
+@pytest.mark.parametrize("name", ["random_forest", "boosting"])
 def test_ensembles_grow_over_patterns(spark, monkeypatch, name):
     """Twenty times the rows, the same work: trees meet each pattern once, with its count, and pyspark.ml isn't asked."""
     model = learned.MODELS[name]()
     small = model.copy({model.numTrees: 5} if model.hasParam("numTrees") else {model.maxIter: 4})
     monkeypatch.setitem(learned.MODELS, name, lambda: small)
     seen, blocks = [], forests._Binned._blocks
-    monkeypatch.setattr(forests._Binned, "_blocks", lambda *a: seen.append(blocks(*a)) or seen[-1], raising=False)
+    monkeypatch.setattr(forests._Binned, "_blocks", lambda *a: seen.append(blocks(*a)) or seen[-1])
     d = spark.range(20_000).selectExpr("id", "id % 7 AS x", "CASE WHEN id % 11 > 0 THEN id % 5 END AS z", "cast(id % 3 = 0 AS int) AS y")
     got = learned.out_of_fold(d, name, "id", ["x", "z"], "y")
     assert got.count() == 20_000 and got.where("probability between 0 and 1").count() == 20_000 and got.columns == ["id", "fold", "label", "probability"]
