@@ -91,7 +91,7 @@ def test_models_without_rows_or_features_to_split(spark):
         assert len({r.probability for r in make().fit(d).transform(d).collect()}) == 1
 
 
-@pytest.mark.parametrize("name", ["random_forest", "boosting"])
+@pytest.mark.parametrize("name", ["random_forest", "bagging", "boosting"])
 def test_ensembles_grow_over_patterns(spark, monkeypatch, name):
     """Twenty times the rows, the same work: trees meet each pattern once, with its count, and pyspark.ml isn't asked."""
     model = learned.MODELS[name]()
